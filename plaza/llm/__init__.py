@@ -7,7 +7,7 @@ import importlib
 from plaza.registry import Registry
 
 #: Modules of queries.
-QUERIES = ["q_residue"]
+QUERIES = ["q_abuse", "q_residue"]
 
 
 def register(reg: Registry) -> None:

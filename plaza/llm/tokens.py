@@ -34,13 +34,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a batch: hash, text index, byte start and end, and the sentence index (counted over the batch)."""
+    """Words of a batch: hash, text index, byte start and end, sentence (counted over the batch), and the byte before."""
 
     hash: np.ndarray
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
     sentence: np.ndarray
+    before: np.ndarray
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ def words(texts: list[bytes], extra: bytes = b"") -> Words:
     """
     if not texts:
         e = np.zeros(0, np.int64)
-        return Words(e.astype(np.uint64), e, e, e, e)
+        return Words(e.astype(np.uint64), e, e, e, e, e.astype(np.uint8))
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     word = _WORD
@@ -70,7 +71,7 @@ def words(texts: list[bytes], extra: bytes = b"") -> Words:
     doc_end = np.cumsum(size)
     doc = np.searchsorted(doc_end, start, side="right")
     stops = np.flatnonzero(_STOP[raw] & ~inside)
-    return Words(_hash(low, start, end), doc, start, end, np.searchsorted(stops, start))
+    return Words(_hash(low, start, end), doc, start, end, np.searchsorted(stops, start), raw[start - 1])
 
 
 def _hash(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -105,10 +106,16 @@ class Table:
     def __init__(self, hashes: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.values = hashes[order], values[order]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
     def get(self, h: np.ndarray, default: int = -1) -> np.ndarray:
         """The value of each hash, or ``default``."""
-        if not len(self.hashes):
-            return np.full(len(h), default, self.values.dtype if len(self.values) else np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.values[at], default)
+        out = np.full(len(h), default, self.values.dtype)
+        near = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+        if len(near):
+            own = h[near]
+            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            same = self.hashes[at] == own
+            out[near[same]] = self.values[at[same]]
+        return out
