@@ -421,9 +421,10 @@ def fit(records: DataFrame, judgements: DataFrame, terms: list[str]) -> tuple[Li
         F.countDistinct(F.when(F.col("abusive") == 1, F.col("annotator"))).alias("n_for"), F.countDistinct(F.when(F.col("abusive") == 0, F.col("annotator"))).alias("n_against")
     )
     order = F.xxhash64("record_table", "record_id")
+    # At most MAX_JUDGED keys, so they may be broadcast.
     said = said.orderBy(order, "record_table", "record_id").limit(MAX_JUDGED)
     keys = ["record_table", "record_id"]
-    judged = records.join(said, keys).groupBy(*keys).agg(F.max("text").alias("text"), F.max("n_for").alias("n_for"), F.max("n_against").alias("n_against"))
+    judged = records.join(F.broadcast(said), keys).groupBy(*keys).agg(F.max("text").alias("text"), F.max("n_for").alias("n_for"), F.max("n_against").alias("n_against"))
     judged_rows = [(r.text, r.n_for, r.n_against) for r in judged.filter("text IS NOT NULL").orderBy(*keys).collect()]
     share = min(1.0, MAX_UNJUDGED / max(1, n_records))
     some = records.filter((F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").isNotNull())
