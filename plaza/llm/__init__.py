@@ -7,7 +7,7 @@ import importlib
 from plaza.registry import Registry
 
 #: Modules of queries.
-QUERIES = ["q_abuse", "q_conversations", "q_residue", "q_neardup"]
+QUERIES = ["q_abuse", "q_conversations", "q_raking", "q_neardup", "q_packing", "q_mixing", "q_residue"]
 
 
 def register(reg: Registry) -> None:
