@@ -243,11 +243,11 @@ def register(reg: Registry) -> None:
         gone = table(spark, sf_dir, "removed_keys").filter("table_name = 'post'").select(F.col("record_key").alias("post_id"))
         return rows(spark, sf_dir, "p").select("post_id").join(gone, "post_id", "left_anti")
 
-    @reg.add("incremental_scan", with_sql("c", "w AS (SELECT max(comment_id) // 2 AS last_id FROM c)") + "SELECT comment_id FROM c, w WHERE comment_id > last_id AND contains(content, 'LBL:') ORDER BY comment_id LIMIT 50")
+    @reg.add("incremental_scan", with_sql("p", "w AS (SELECT max(post_id) // 2 AS last_id FROM p)") + "SELECT post_id FROM p, w WHERE post_id > last_id AND contains(content, 'LBL:') ORDER BY post_id LIMIT 50")
     def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        last = table(spark, sf_dir, "post_comment").agg(F.expr("max(comment_id) div 2").alias("last_id"))
-        c = rows(spark, sf_dir, "c").join(F.broadcast(last)).filter(F.col("comment_id") > F.col("last_id"))
-        return c.filter(F.col("content").contains("LBL:")).orderBy("comment_id").limit(50).select("comment_id")
+        last = table(spark, sf_dir, "post").agg(F.expr("max(post_id) div 2").alias("last_id"))
+        p = rows(spark, sf_dir, "p").join(F.broadcast(last)).filter(F.col("post_id") > F.col("last_id"))
+        return p.filter(F.col("content").contains("LBL:")).orderBy("post_id").limit(50).select("post_id")
 
     @reg.add("thread_context", with_sql("c") + "SELECT post_id, CAST(rank AS INTEGER) AS rank, comment_id FROM (SELECT post_id, comment_id, row_number() OVER (PARTITION BY post_id ORDER BY comment_id DESC) AS rank FROM c WHERE post_id IS NOT NULL) WHERE rank <= 2")
     def thread_context(spark: SparkSession, sf_dir: str) -> DataFrame:
