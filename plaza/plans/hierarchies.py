@@ -43,9 +43,15 @@ SELECT table_name, node AS node_id,
 FROM onto GROUP BY table_name, node"""
 
 
+def tree(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The hierarchy of one linked table."""
+    node, parent = next((n, p) for t, n, p in LINKS if t == name)
+    return hierarchy(table(spark, sf_dir, name).select(node, parent), node, parent)
+
+
 def trees(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     """The hierarchy of each linked table."""
-    return [(name, hierarchy(table(spark, sf_dir, name).select(node, parent), node, parent)) for name, node, parent in LINKS]
+    return [(name, tree(spark, sf_dir, name)) for name, _, _ in LINKS]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
