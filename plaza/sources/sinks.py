@@ -28,7 +28,7 @@ def safe_name(c):
 
 def write_by_label(df: DataFrame, labels: str, path: str) -> None:
     """A directory per label; a row with several labels is written under each."""
-    rows = df.withColumn("label", safe_name(F.explode(labels)))
+    rows = df.withColumn("label", F.explode(labels)).withColumn("label", safe_name(F.col("label")))
     rows.write.mode("overwrite").partitionBy("label").json(path)
 
 
