@@ -32,6 +32,8 @@ from plaza.llm.tokens import Table, Words, pair_hash, word_hash, words
 
 #: Words of the longest passage; longer sentences are cut into passages that overlap by half.
 PASSAGE = 16
+#: Words of the shorter passages that are scored as well, so that a few words among others are not outweighed.
+SHORT_PASSAGE = 8
 #: Judged and unjudged records the classifier is fitted on, at most (taken by hash).
 MAX_JUDGED, MAX_UNJUDGED = 20_000, 8_000
 #: Hashed features.
@@ -116,8 +118,8 @@ class Passages:
     doc: np.ndarray
 
 
-def passages(w: Words) -> Passages:
-    """Sentences, the long ones as half-overlapping windows; no passage spans two texts."""
+def passages(w: Words, longest: int = PASSAGE) -> Passages:
+    """Sentences, those above ``longest`` words as half-overlapping windows; no passage spans two texts."""
     n = len(w.hash)
     if not n:
         e = np.zeros(0, np.int64)
@@ -126,11 +128,11 @@ def passages(w: Words) -> Passages:
     new[1:] = (w.sentence[1:] != w.sentence[:-1]) | (w.doc[1:] != w.doc[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
-    half = PASSAGE // 2
+    half = longest // 2
     count = np.maximum(1, -(-(size - half) // half))
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.repeat(first, count) + k * half
-    end = np.minimum(start + PASSAGE, np.repeat(first + size, count))
+    end = np.minimum(start + longest, np.repeat(first + size, count))
     return Passages(start, end, w.doc[start])
 
 
@@ -149,6 +151,16 @@ class Reader:
         return w, passages(w)
 
 
+def worst(w: Words, n: int, linear: Linear, lex: Lexemes) -> np.ndarray:
+    """The log odds of the worst passage of each of ``n`` texts, short passages (within long sentences) included."""
+    out = np.full(n, -40.0)
+    for longest in (PASSAGE, SHORT_PASSAGE):
+        p = passages(w, longest)
+        if len(p.start):
+            np.maximum.at(out, p.doc, linear.logits(w, p, votes(w, p, lex)))
+    return out
+
+
 def votes(w: Words, p: Passages, lex: Lexemes) -> np.ndarray:
     """One bit per voter that speaks, for each passage."""
     n = len(w.hash)
@@ -205,7 +217,13 @@ class LabelModel:
             for k in range(len(VOTERS)):
                 score[y] += np.log(self.table[y, k, v[:, self.parent[y, k]], v[:, k]])
         odds = np.log(self.prior / (1 - self.prior)) + score[1] - score[0]
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        # What the voters are assumed to know: sure ones are right at least half the time if nothing speaks against
+        # them, two of them more often, and passages on which no voter for abuse speaks are harmless.
+        against = np.array([x in AGAINST for x in VOTERS])
+        sure = np.where(v[:, against].any(1), 0, v[:, [x in SURE for x in VOTERS]].sum(1))
+        q = np.maximum(q, np.select([sure > 1, sure == 1], [0.8, 0.5], 0.0))
+        return np.where(v[:, ~against].any(1), q, np.minimum(q, 0.01))
 
     @classmethod
     def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 12) -> LabelModel:
@@ -250,8 +268,6 @@ class LabelModel:
             m.table = np.clip(m.table, 1e-6, 1)
             m.prior = float(np.clip((q @ counts + weight[1]) / (counts.sum() + weight.sum()), 1e-4, 0.5))
             q = m.posterior(patterns)
-            # A passage on which no voter for abuse speaks is harmless as far as voters can tell.
-            q = np.where(v[:, ~against].any(1), q, np.minimum(q, 0.01))
         return m
 
     def accuracy(self, patterns: np.ndarray, counts: np.ndarray) -> list[tuple[str, float, float]]:
@@ -363,11 +379,6 @@ def train(judged: list[tuple[str, int, int]], unjudged: list[str], lex: Lexemes,
     found = np.concatenate(by_part)
     kinds, back = np.unique(found, return_inverse=True)
     q0 = model.posterior(kinds)[back]
-    positive = np.zeros(len(found), bool)
-    for i, name in enumerate(VOTERS):
-        if name not in AGAINST:
-            positive |= (found >> i) & 1 == 1
-    q0 = np.where(positive, q0, np.minimum(q0, 0.01))
     lean = np.array([a - b for _, a, b in judged] + [0] * len(unjudged), float)
     ratio = np.exp(np.clip(lean * np.log((1 - ANNOTATOR_ERROR) / ANNOTATOR_ERROR), -20, 20))[rec]
     known = np.zeros(len(texts), bool)
@@ -439,10 +450,8 @@ def score(records: DataFrame, linear: Linear, lex: Lexemes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, one = Reader(lex), Linear(*shared.value)
         for b in batches:
-            w, p = read(b.column(2).to_pylist())
-            out = np.full(b.num_rows, -40.0)
-            if len(p.start):
-                np.maximum.at(out, p.doc, one.logits(w, p, votes(w, p, lex)))
+            w, _ = read(b.column(2).to_pylist())
+            out = worst(w, b.num_rows, one, lex)
             prob = np.where(out <= -40.0, 0.0, 1 / (1 + np.exp(-np.clip(out, -30, 30))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prob)], ["record_table", "record_id", "score"])
 

@@ -124,7 +124,8 @@ def _stream(rows: DataFrame, shuffle: int | None) -> DataFrame:
     """(thread, n_rows, verdict) of every thread emitted by the stream over ``rows``."""
     spark = rows.sparkSession
     base = scratch_path(spark, "conversations")
-    feed = rows.select("thread", "post_id", "parent_id", "user_id", F.coalesce("at", F.timestamp_seconds(F.lit(0))).alias("at"), F.unix_millis("at").alias("ms"), "blank")
+    # A row without time, or before 1970, must not fall behind the first watermark.
+    feed = rows.select("thread", "post_id", "parent_id", "user_id", F.greatest("at", F.timestamp_seconds(F.lit(86_400))).alias("at"), F.unix_millis("at").alias("ms"), "blank")
     feed.write.parquet(f"{base}/feed")
     tick = spark.range(1).select(F.lit(_TICK).alias("thread"), F.lit(_TICK).alias("post_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("user_id"), F.to_timestamp(F.lit(_FAR)).alias("at"), F.lit(0).cast("long").alias("ms"), F.lit(True).alias("blank"))
     tick.coalesce(1).write.mode("append").parquet(f"{base}/feed")

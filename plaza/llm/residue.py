@@ -206,9 +206,12 @@ def default_index() -> Index:
     return Index.of(RESIDUE.strip().split("\n"), HARMLESS.strip().split("\n"))
 
 
+_TAG = re.compile(rf"</?(?:{_HTML})\b[^<>\n]*>")
+
+
 def analyse(texts: list[str | None]) -> list[bytes]:
-    """Texts with every slot as the word SLOT, in lower case."""
-    return [b"" if not t else _SLOT.sub(f" {SLOT} ", t).replace("’", "'").lower().encode("utf-8", "replace") for t in texts]
+    """Texts with every slot as the word SLOT and mark-up as line ends, in lower case."""
+    return [b"" if not t else _SLOT.sub(f" {SLOT} ", _TAG.sub("\n", t)).replace("’", "'").lower().encode("utf-8", "replace") for t in texts]
 
 
 def term_counts(index: Index, table: Table, texts: list[str | None]) -> np.ndarray:
