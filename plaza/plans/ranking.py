@@ -97,18 +97,18 @@ def register(reg: Registry) -> None:
         r = s.groupBy("label").agg((F.max("base") - F.min("base")).alias("span"), F.max("vec_id").alias("newest"))
         return s.join(r, "label")
 
-    @reg.add("rec_trace_adjusted", score_sql + " SELECT s.vec_id, s.label, round(base + (liked - disliked) * span / 2, 6) AS score FROM s JOIN r ON s.label = r.label")
+    @reg.add("rec_trace_adjusted", score_sql + " SELECT s.vec_id, s.label, round(base + (liked - disliked) * span / 2, 6) + 0.0 AS score FROM s JOIN r ON s.label = r.label")
     def rec_trace_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scored(spark, sf_dir).select("vec_id", "label", F.round(F.col("base") + (F.col("liked") - F.col("disliked")) * F.col("span") / 2, 6).alias("score"))
+        return scored(spark, sf_dir).select("vec_id", "label", (F.round(F.col("base") + (F.col("liked") - F.col("disliked")) * F.col("span") / 2, 6) + 0.0).alias("score"))
 
-    @reg.add("rec_recency_cosine", score_sql + " SELECT s.vec_id, s.label, round(base * ln((271.8 - (newest - s.vec_id) / 20.0) / 100), 6) AS score FROM s JOIN r ON s.label = r.label WHERE 271.8 - (newest - s.vec_id) / 20.0 > 0")
+    @reg.add("rec_recency_cosine", score_sql + " SELECT s.vec_id, s.label, round(base * ln((271.8 - (newest - s.vec_id) / 20.0) / 100), 6) + 0.0 AS score FROM s JOIN r ON s.label = r.label WHERE 271.8 - (newest - s.vec_id) / 20.0 > 0")
     def rec_recency_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = F.lit(271.8) - (F.col("newest") - F.col("vec_id")) / 20.0
-        return scored(spark, sf_dir).withColumn("left", left).filter("left > 0").select("vec_id", "label", F.round(F.col("base") * F.log(F.col("left") / 100), 6).alias("score"))
+        return scored(spark, sf_dir).withColumn("left", left).filter("left > 0").select("vec_id", "label", (F.round(F.col("base") * F.log(F.col("left") / 100), 6) + 0.0).alias("score"))
 
-    @reg.add("like_similarity", score_sql + " SELECT vec_id, round(liked, 6) AS similarity FROM s")
+    @reg.add("like_similarity", score_sql + " SELECT vec_id, round(liked, 6) + 0.0 AS similarity FROM s")
     def like_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scored(spark, sf_dir).select("vec_id", F.round("liked", 6).alias("similarity"))
+        return scored(spark, sf_dir).select("vec_id", (F.round("liked", 6) + 0.0).alias("similarity"))
 
     @reg.add("liked_history", with_sql("l", "t AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS LAST, like_id DESC) AS k FROM l WHERE post_id IS NOT NULL)") + "SELECT user_id, string_agg(CAST(post_id AS VARCHAR), ',' ORDER BY k) || repeat(',0', CAST(5 - count(*) AS INTEGER)) AS history FROM t WHERE k <= 5 GROUP BY user_id")
     def liked_history(spark: SparkSession, sf_dir: str) -> DataFrame:
