@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: list[str] = []
 
@@ -50,3 +50,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` with its lineage cut: later work reads a written table."""
     return written(df, name)[0]
+
+
+def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, str, dict]:
+    """``written``, with aggregates of ``df`` taken while it is written."""
+    seen = Observation()
+    exprs = [c.alias(n) for n, c in metrics.items()]
+    table, path = written(df.observe(seen, *exprs), name)
+    return table, path, seen.get

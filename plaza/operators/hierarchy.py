@@ -22,34 +22,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaza.lineage import cut, drop_path, written
+from plaza.lineage import counted, cut, drop_path
 from plaza.operators.skew import collect_hot, lookup_join
 
 #: Nodes of the largest component that one task walks.
 MAX_COMPONENT = 100_000
 #: Rows gathered before a task walks the whole components among them.
 WALK_ROWS = 50_000
+#: Fewer rows than this are joined without looking for hot keys first.
+FEW_ROWS = 200_000
+
+
+def _hot(df: DataFrame, keys: list[str], rows: int) -> list[tuple]:
+    return collect_hot(df, keys) if rows > FEW_ROWS else []
 
 
 def parent_links(df: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, parent): one row per node; the parent is null where it is null or has no row."""
     one = df.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("parent"))
-    one = cut(one, "links")
+    one, _, n = counted(one, "links", rows=F.count(F.lit(1)))
     known = one.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    joined = lookup_join(one, known, ["parent"], collect_hot(one, ["parent"]), ["node"])
+    joined = lookup_join(one, known, ["parent"], _hot(one, ["parent"], n["rows"]), ["node"])
     return joined.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
 
 
-def _double(state: DataFrame, fixed: DataFrame) -> DataFrame:
-    """One doubling: every open node of ``state`` jumps over the node it points at."""
+def _double(state: DataFrame, fixed: DataFrame, rows: int) -> DataFrame:
+    """One doubling: every open node of ``state`` (so many rows) jumps over the node it points at."""
     step = fixed.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("done").alias("_done"), F.col("low").alias("_low"), F.col("up").alias("_up"))
-    out = lookup_join(state, step, ["ptr"], collect_hot(state, ["ptr"]), ["node"])
+    out = lookup_join(state, step, ["ptr"], _hot(state, ["ptr"], rows), ["node"])
     return out.select(
         "node", F.col("_ptr").alias("ptr"), F.col("_done").alias("done"), F.least("low", "_low").alias("low"), F.concat("up", "_up").alias("up")
     )
 
 
-def ancestors(links: DataFrame, paths: bool = False) -> DataFrame:
+def _rings(open_: DataFrame, rows: int, rounds: int, max_component: int, kind: str, one: pa.DataType) -> tuple[DataFrame, list[str]]:
+    """(node, cycle) of nodes of which each is on a cycle or below one.
+
+    At most ``max_component`` of them are walked by one task; more go on
+    doubling until every cycle has been walked round.
+    """
+    if rows <= max_component:
+        schema = pa.schema([("node", one), ("cycle", one)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(list(batches), schema=pa.schema([("node", one), ("ptr", one)]))
+            node = t.column(0).to_pylist()
+            if node:
+                got = walk(node, t.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(node, one), pa.array([got[n][3] for n in node], one)], schema=schema)
+
+        return open_.select("node", F.col("first").alias("ptr")).coalesce(1).mapInArrow(run, f"node {kind}, cycle {kind}"), []
+    paths = []
+    state = open_
+    while (1 << rounds) < rows:
+        state, path, _ = counted(_double(state, state, rows), "cycle", rows=F.count(F.lit(1)))
+        paths.append(path)
+        rounds += 1
+    turn = state.select(F.col("node").alias("ptr"), F.col("low").alias("cycle"))
+    return lookup_join(state.select("node", "ptr"), turn, ["ptr"], _hot(state, ["ptr"], rows), ["node"]).select("node", "cycle"), paths
+
+
+def ancestors(links: DataFrame, paths: bool = False, max_component: int = MAX_COMPONENT) -> DataFrame:
     """(node, root, cycle, up): the root of each node, or the least node of the cycle its chain runs into.
 
     ``up`` lists the ancestors from the parent to the root where ``paths`` is
@@ -59,45 +92,42 @@ def ancestors(links: DataFrame, paths: bool = False) -> DataFrame:
     kind = links.schema["node"].dataType.simpleString()
     empty = F.array().cast(f"array<{kind}>")
     up = F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(empty) if paths else empty
-    state, path = written(
-        links.select("node", F.coalesce("parent", "node").alias("ptr"), F.col("parent").isNull().alias("done"), F.col("node").alias("low"), up.alias("up")), "up"
+    not_done = F.count(F.when(~F.col("done"), 1))
+    state, path, n = counted(
+        links.select("node", F.coalesce("parent", "node").alias("ptr"), F.col("parent").isNull().alias("done"), F.col("node").alias("low"), up.alias("up")), "up", open=not_done
     )
-    closed, paths_used = [], [path]
-    open_n, rounds = state.filter("NOT done").count(), 0
-    fixed = state
-    closed.append(state.filter("done"))
+    used, open_n, rounds = [path], n["open"], 0
+    closed = [state.filter("done")]
     while open_n:
-        state, path = written(_double(fixed.filter("NOT done"), fixed), "up")
-        paths_used.append(path)
-        rounds += 1
-        closed.append(state.filter("done"))
-        left = state.filter("NOT done").count()
-        if left == open_n:  # only cycles are left: go on until every cycle has been walked round
-            while (1 << rounds) < left:
-                state, path = written(_double(state, state), "cycle")
-                paths_used.append(path)
-                rounds += 1
-            break
-        open_n = left
         fixed = state.filter("NOT done")
         for c in closed:
             fixed = fixed.unionByName(c)
-        if not left:
+        state, path, n = counted(_double(state.filter("NOT done"), fixed, open_n), "up", open=not_done)
+        used.append(path)
+        rounds += 1
+        closed.append(state.filter("done"))
+        if n["open"] == open_n:
             break
+        open_n = n["open"]
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)
     out = out.select("node", F.col("ptr").alias("root"), F.lit(None).cast(kind).alias("cycle"), "up")
     if open_n:
-        turn = state.select(F.col("node").alias("ptr"), F.col("low").alias("cycle"))
-        ring = lookup_join(state.filter("NOT done").select("node", "ptr"), turn, ["ptr"], collect_hot(state, ["ptr"]), ["node"])
+        first = links.select("node", F.col("parent").alias("first"))
+        ring, more = _rings(state.filter("NOT done").join(first, "node"), open_n, rounds, max_component, kind, _arrow(kind))
+        used += more
         out = out.unionByName(ring.select("node", F.lit(None).cast(kind).alias("root"), "cycle", empty.alias("up")))
     result = cut(out, "ancestors")
-    for p in paths_used:
+    for p in used:
         drop_path(links.sparkSession, p)
     return result
 
 
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
 def walk(nodes: list, parents: list) -> dict:
     """Depth-first walk of one component with node colours.
 
@@ -198,25 +228,24 @@ def hierarchy(df: DataFrame, node: str, parent: str, max_component: int = MAX_CO
     """
     links = cut(parent_links(df, node, parent), "links")
     kind = links.schema["node"].dataType.simpleString()
-    found = ancestors(links).select("node", F.coalesce("root", "cycle").alias("component"))
+    found = ancestors(links, max_component=max_component).select("node", F.coalesce("root", "cycle").alias("component"))
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     large = F.broadcast(size.filter(F.col("n") > max_component).select("component", F.lit(True).alias("large")))
-    known = cut(links.join(found, "node").join(large, "component", "left"), "components")
+    known, _, n = counted(links.join(found, "node").join(large, "component", "left"), "components", large=F.count("large"))
     # The comparison of (component, node) sorts within a task only; no component is split by the hash of its id.
     small = known.filter("large IS NULL").select("component", "node", "parent").repartition("component").sortWithinPartitions("component", "node")
     ddl = f"node {kind}, parent {kind}, root {kind}, depth int, path array<{kind}>, n_descendants long, cycle {kind}"
-    one = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    one = _arrow(kind)
     schema = pa.schema([("node", one), ("parent", one), ("root", one), ("depth", pa.int32()), ("path", pa.list_(one)), ("n_descendants", pa.int64()), ("cycle", one)])
     out = small.mapInArrow(lambda batches: _walk_batches(schema, batches), ddl)
-    big = known.filter("large").select("node", "parent")
-    if big.isEmpty():
+    if not n["large"]:
         return out
-    return out.unionByName(_large(big, kind))
+    return out.unionByName(_large(known.filter("large").select("node", "parent"), kind))
 
 
 def _large(links: DataFrame, kind: str) -> DataFrame:
     """The rows of components too large for one task, by doubling alone."""
-    up = ancestors(links, paths=True)
+    up = ancestors(links, paths=True, max_component=0)
     below = up.select(F.explode("up").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     rows = up.join(links, "node").join(below, "node", "left")
     free = F.col("cycle").isNull()
