@@ -1,9 +1,10 @@
 """Message rows to ordered conversations, by keyed streaming state.
 
-Rows arrive as a stream keyed by thread.  The state of a thread buffers its
-rows, early or late, and a thread is judged and emitted when the event-time
-watermark has passed its last row by ``GAP``: by then it is closed.  A closing
-tick after the last arrival moves the watermark past every thread.
+Rows arrive as a stream keyed by shard, a hash of the thread, so that one
+state serves some thousands of rows and not a handful.  A state buffers the
+rows of its threads, early or late; a thread is judged and emitted when the
+event-time watermark has passed its last row by ``GAP``: by then it is closed.
+A closing tick after the last arrival moves the watermark past every thread.
 
 No row may be lost to the watermark: threads whose emitted rows are fewer than
 their arrivals (late rows, or rows after a closure) and threads of more than
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plaza.lineage import cut, drop_path, scratch_path
+from plaza.lineage import counted, cut, drop_path, scratch_path
 from plaza.operators.hierarchy import ancestors, parent_links
 from plaza.operators.rank import grouped_rank
 from plaza.operators.skew import collect_hot, lookup_join
@@ -36,12 +37,14 @@ from plaza.operators.skew import collect_hot, lookup_join
 #: Quiet time after which a thread is closed, and how late a row may be and still meet its thread's state.
 GAP, LATENESS = "1 day", "2 days"
 _GAP_MS = 86_400_000
-#: Rows of the largest thread whose rows are held as one state.
+#: Rows of the largest thread whose rows are held in a state.
 MAX_STATE = 20_000
 #: Verdicts in the order in which they are tried.
 VERDICTS = ("roots", "orphan", "cycle", "empty", "unanswered")
 _FAR = "2200-01-01 00:00:00"
-_TICK = "\x00tick"
+_TICK = -1
+#: Rows a shard's state serves on average.
+SHARD_ROWS = 2_000
 
 
 def event_time(c: Column) -> Column:
@@ -106,31 +109,41 @@ def judge(rows: list[list]) -> str | None:
 
 
 def _update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Buffer the rows of a shard's threads; on timeout emit the threads that are closed by then."""
+    threads: dict[str, list[list]] = json.loads(state.get[0]) if state.exists else {}
+    if not state.hasTimedOut:
+        for p in parts:
+            blank_, ms = p["blank"].tolist(), p["ms"].astype(object).where(p["ms"].notna(), None).tolist()
+            texts = [p[c].astype(object).where(p[c].notna(), None).tolist() for c in ("thread", "post_id", "parent_id", "user_id")]
+            for t, i, up, user, m, b in zip(*texts, ms, blank_, strict=True):
+                threads.setdefault(t, []).append([i, up, user, None if m is None else int(m), bool(b)])
+    now = state.getCurrentWatermarkMs()
+    closes = {t: max((r[3] for r in rows if r[3] is not None), default=0) + _GAP_MS for t, rows in threads.items()}
     if state.hasTimedOut:
-        rows = json.loads(state.get[0])
+        due = [t for t, at in closes.items() if at <= now]
+        rows = [threads.pop(t) for t in due]
+        if due and key[0] != _TICK:
+            yield pd.DataFrame({"thread": due, "n_rows": [len(r) for r in rows], "verdict": [judge(r) for r in rows]})
+    if threads:
+        state.update((json.dumps(threads),))
+        state.setTimeoutTimestamp(int(max(min(closes[t] for t in threads), now + 1)))
+    else:
         state.remove()
-        if key[0] != _TICK:
-            yield pd.DataFrame({"thread": [key[0]], "n_rows": [len(rows)], "verdict": [judge(rows)]})
-        return
-    rows = json.loads(state.get[0]) if state.exists else []
-    for p in parts:
-        rows += [[None if pd.isna(v) else v for v in r] for r in zip(p["post_id"], p["parent_id"], p["user_id"], p["ms"], p["blank"].tolist(), strict=True)]
-    state.update((json.dumps(rows),))
-    latest = max([r[3] for r in rows if r[3] is not None], default=0)
-    state.setTimeoutTimestamp(int(max(latest, state.getCurrentWatermarkMs()) + _GAP_MS))
-
-
-def _stream(rows: DataFrame, shuffle: int | None) -> DataFrame:
-    """(thread, n_rows, verdict) of every thread emitted by the stream over ``rows``."""
+
+
+def _stream(rows: DataFrame, n: int) -> DataFrame:
+    """(thread, n_rows, verdict) of every thread emitted by the stream over ``rows``, of which there are ``n``."""
     spark = rows.sparkSession
     base = scratch_path(spark, "conversations")
     # A row without time, or before 1970, must not fall behind the first watermark.
-    feed = rows.select("thread", "post_id", "parent_id", "user_id", F.greatest("at", F.timestamp_seconds(F.lit(86_400))).alias("at"), F.unix_millis("at").alias("ms"), "blank")
+    shards = max(1, -(-n // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("thread"), F.lit(shards)).cast("int").alias("shard")
+    feed = rows.select(shard, "thread", "post_id", "parent_id", "user_id", F.greatest("at", F.timestamp_seconds(F.lit(86_400))).alias("at"), F.unix_millis("at").alias("ms"), "blank")
     feed.write.parquet(f"{base}/feed")
-    tick = spark.range(1).select(F.lit(_TICK).alias("thread"), F.lit(_TICK).alias("post_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("user_id"), F.to_timestamp(F.lit(_FAR)).alias("at"), F.lit(0).cast("long").alias("ms"), F.lit(True).alias("blank"))
+    tick = spark.range(1).select(F.lit(_TICK).alias("shard"), F.lit("").alias("thread"), F.lit("").alias("post_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("user_id"), F.to_timestamp(F.lit(_FAR)).alias("at"), F.lit(0).cast("long").alias("ms"), F.lit(True).alias("blank"))
     tick.coalesce(1).write.mode("append").parquet(f"{base}/feed")
     source = spark.readStream.schema(feed.schema).parquet(f"{base}/feed").withWatermark("at", LATENESS)
-    out = source.groupBy("thread").applyInPandasWithState(_update, "thread string, n_rows long, verdict string", "rows string", "append", GroupStateTimeout.EventTimeTimeout)
+    out = source.groupBy("shard").applyInPandasWithState(_update, "thread string, n_rows long, verdict string", "rows string", "append", GroupStateTimeout.EventTimeTimeout)
     query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
     drop_path(spark, f"{base}/checkpoint")
@@ -164,10 +177,10 @@ def judge_by_joins(rows: DataFrame) -> DataFrame:
 def conversations(df: DataFrame, max_state: int = MAX_STATE) -> tuple[DataFrame, DataFrame]:
     """(rows with their thread, (thread, n_rows, verdict)); a null verdict marks a sound conversation."""
     rows = cut(arrivals(df), "rows")
-    sizes = cut(rows.groupBy("thread").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes, _, total = counted(rows.groupBy("thread").agg(F.count(F.lit(1)).alias("n")), "sizes", rows=F.sum("n"))
     # A thread above max_state holds so many rows that there are at most rows / max_state of them.
     big = F.broadcast(sizes.filter(F.col("n") > max_state).select("thread"))
-    emitted = cut(_stream(rows.join(big, "thread", "left_anti"), None), "emitted")
+    emitted = cut(_stream(rows.join(big, "thread", "left_anti"), total["rows"] or 0), "emitted")
     whole = emitted.join(sizes.withColumnRenamed("n", "n_rows"), ["thread", "n_rows"], "left_semi")
     rest = cut(sizes.select("thread").join(whole, "thread", "left_anti"), "rest")
     if rest.isEmpty():

@@ -181,7 +181,7 @@ def test_stream_emits_every_thread(spark):
     from plaza.llm.conversations import _stream
 
     rows = arrivals(spark.createDataFrame(messages(), SCHEMA))
-    assert {r.thread: (r.n_rows, r.verdict) for r in _stream(rows, None).collect()} == {t: (n, WANT[t]) for t, n in (("t1", 4), ("t2", 2), ("t3", 3), ("t4", 2), ("t5", 3), ("t6", 2), ("t7", 2))}
+    assert {r.thread: (r.n_rows, r.verdict) for r in _stream(rows, 20).collect()} == {t: (n, WANT[t]) for t, n in (("t1", 4), ("t2", 2), ("t3", 3), ("t4", 2), ("t5", 3), ("t6", 2), ("t7", 2))}
 
 
 def test_random_threads_agree(spark):
