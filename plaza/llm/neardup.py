@@ -31,6 +31,8 @@ from plaza.operators.skew import collect_hot, lookup_join
 
 #: Rows of a band and bands: two records of similarity 0.7 meet with a chance of 0.999.
 BAND_ROWS, BANDS = 6, 56
+#: Tables one run may compare (ids must be below 2**55).
+MAX_TABLES = 256
 #: Ranks taken at once, and element tables kept by a task.
 _BLOCK, _WORDS, _SLICE = 64, 1 << 14, 1 << 14
 
@@ -158,11 +160,19 @@ class NearDuplicates:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(keys.ravel())], ["table_name", "rep", "key"])
 
         bands = self.classes.select("table_name", "rep", "words").mapInArrow(run, "table_name string, rep long, key long")
-        bands = bands.select(F.xxhash64("table_name", "key").alias("key"), "table_name", "rep")
+        # A class goes by one number, so a band row is two longs; few keys are shared, and only these go on.
+        names = sorted(r.table_name for r in self.classes.select("table_name").distinct().limit(MAX_TABLES + 1).collect())
+        if len(names) > MAX_TABLES:
+            raise ValueError(f"more than {MAX_TABLES} tables")
+        code = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map()
+        bands = bands.select(F.xxhash64("table_name", "key").alias("key"), (F.col("rep") * MAX_TABLES + (code[F.col("table_name")] if names else F.lit(0))).alias("class"))
         n = F.count(F.lit(1)).over(Window.partitionBy("key"))
         shared = cut(bands.withColumn("n", n).filter("n > 1").drop("n"), "bands")
-        left, right = shared.withColumnRenamed("rep", "a"), shared.select("key", F.col("table_name").alias("t"), F.col("rep").alias("b"))
-        return left.join(right, "key").filter("a < b AND table_name = t").select("table_name", "a", "b").distinct()
+        left, right = shared.withColumnRenamed("class", "x"), shared.withColumnRenamed("class", "y")
+        pairs = left.join(right, "key").filter((F.col("x") < F.col("y")) & (F.pmod("x", F.lit(MAX_TABLES)) == F.pmod("y", F.lit(MAX_TABLES)))).select("x", "y").distinct()
+        name = F.get(F.array(*[F.lit(n) for n in names] or [F.lit("")]), F.pmod("x", F.lit(MAX_TABLES)).cast("int"))
+        rep = lambda c: F.expr(f"({c} - pmod({c}, {MAX_TABLES})) div {MAX_TABLES}")
+        return pairs.select(name.alias("table_name"), rep("x").alias("a"), rep("y").alias("b"))
 
     def links(self) -> DataFrame:
         """(table_name, a, b, similarity), a < b: similar classes by their representatives."""
