@@ -16,6 +16,23 @@ PATHS = {
     "formality": "P.communication_style.formality",
 }
 
+_SQL = r"""WITH a AS (SELECT DISTINCT cache_id, regexp_replace(payload, '^\s+|\s+$', '', 'g') AS t FROM spc_cache),
+b AS (SELECT cache_id, CASE WHEN t LIKE '"%' THEN CASE WHEN json_valid(t) THEN json_extract_string(t, '$') END
+  WHEN t LIKE '[%' THEN CASE WHEN json_valid(t) THEN CASE WHEN json_array_length(t) = 1 THEN CAST(json_extract(t, '$[0]') AS VARCHAR) END END ELSE t END AS t FROM a),
+c AS (SELECT cache_id, nullif(regexp_extract(t, '\{.*\}', 0, 's'), '') AS t FROM b),
+d AS (SELECT cache_id, CAST(t AS JSON) AS j FROM c WHERE json_valid(t)),
+e AS (SELECT cache_id, CASE json_type(j, '$.S') WHEN 'VARCHAR' THEN j->>'$.S' ELSE CAST(j->'$.S' AS VARCHAR) END AS s,
+  CASE json_type(j, '$.P') WHEN 'VARCHAR' THEN j->>'$.P' ELSE CAST(j->'$.P' AS VARCHAR) END AS p FROM d),
+f AS (SELECT cache_id, CASE WHEN json_valid(s) THEN CAST(s AS JSON) END AS s, CASE WHEN json_valid(p) THEN CAST(p AS JSON) END AS p FROM e),
+g AS (SELECT cache_id, unnest(range(CAST(json_array_length(s, '$.groups') AS BIGINT))) AS i, s FROM f WHERE json_type(s, '$.groups') = 'ARRAY'
+  UNION ALL SELECT cache_id, -1, s FROM f WHERE json_type(s, '$.groups') IN ('VARCHAR', 'OBJECT')),
+h AS (SELECT cache_id, greatest(i, 0) AS i, CASE WHEN i < 0 THEN s->'$.groups' ELSE json_extract(s, '$.groups[' || i || ']') END AS x FROM g),
+v AS (SELECT cache_id, 'S.groups' AS field_path, CAST(i AS INTEGER) AS ordinal, CASE WHEN json_type(x) = 'OBJECT' THEN x->>'$.name' ELSE json_extract_string(x, '$') END AS value FROM h
+  UNION ALL SELECT cache_id, 'S.demographics.age_band', 0, s->>'$.demographics.age_band' FROM f
+  UNION ALL SELECT cache_id, 'P.traits.openness', 0, CASE WHEN json_type(p, '$.traits') = 'ARRAY' THEN list_filter(CAST(p->'$.traits' AS JSON[]), lambda x: x->>'$.name' = 'openness')[1]->>'$.value' ELSE p->>'$.traits.openness' END FROM f
+  UNION ALL SELECT cache_id, 'P.communication_style.formality', 0, p->>'$.communication_style.formality' FROM f)
+SELECT DISTINCT cache_id, field_path, ordinal{more} FROM v WHERE regexp_matches(value, '\S')"""
+
 
 def _one(c):
     """A value as a list of one, an absent value as an empty list."""
@@ -50,7 +67,7 @@ def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(reg: Registry) -> None:
     """Add the queries of this module."""
 
-    @reg.add("p7_found")
+    @reg.add("p7_found", _SQL.replace("{more}", ""))
     def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return field_values(spark, sf_dir).select("cache_id", F.col("field").alias("field_path"), "ordinal").distinct()
 

@@ -209,7 +209,7 @@ def register(reg: Registry) -> None:
         spans = F.when(F.size(parts) > 0, parts).otherwise(F.array(X.squeeze(F.col("text"))))
         return docs(spark, sf_dir).select("doc_id", F.posexplode(spans).alias("position", "span"))
 
-    @reg.add("unicode_clean")
+    @reg.add("unicode_clean", with_sql("d") + "SELECT doc_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b-\\x1f]', '', 'g') AS result FROM d")
     def unicode_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         from plaza.functions.udfs import nfc
 
@@ -260,7 +260,7 @@ def register(reg: Registry) -> None:
         label = F.when(F.col("num_reports") > 0, "reported").when(F.col("num_dislikes") > 0, "disliked").when(F.col("num_likes") > 0, "liked").otherwise("silent")
         return rows(spark, sf_dir, "p").select("post_id", label.alias("label"))
 
-    @reg.add("text_columns_with_token")
+    @reg.add("text_columns_with_token", "SELECT column_name FROM (SELECT 'content' AS column_name, bool_or(contains(content, 'LBL:')) AS hit FROM post UNION ALL SELECT 'quote_content', bool_or(contains(quote_content, 'LBL:')) FROM post) WHERE hit")
     def text_columns_with_token(spark: SparkSession, sf_dir: str) -> DataFrame:
         from plaza.sources.tables import text_columns_with
 
