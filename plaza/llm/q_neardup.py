@@ -11,6 +11,15 @@ from plaza.sources.tables import table
 
 TEXTS = [("post", "post_id"), ("post_comment", "comment_id")]
 
+FOUND_SQL = """WITH t AS (
+  SELECT 'post' AS table_name, post_id AS id, max(content) AS x FROM post GROUP BY post_id
+  UNION ALL SELECT 'post_comment', comment_id, max(content) FROM post_comment GROUP BY comment_id),
+s AS (SELECT table_name, id, list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')) AS ws FROM t),
+w AS (SELECT table_name, id, len(ws) AS n, unnest(ws) AS word FROM s WHERE len(ws) >= 18),
+p AS (SELECT a.table_name, a.id AS id_a, b.id AS id_b, a.n + b.n AS both_n, count(*) AS shared
+  FROM w a JOIN w b ON a.table_name = b.table_name AND a.word = b.word AND a.id < b.id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT table_name, id_a, id_b FROM p WHERE 10 * shared >= 7 * (both_n - shared)"""
+
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_name, id, text) of both tables."""
@@ -21,7 +30,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(reg: Registry) -> None:
     """Add the queries of this module."""
 
-    @reg.add("p6_found")
+    @reg.add("p6_found", FOUND_SQL)
     def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return NearDuplicates(rows(spark, sf_dir)).pairs()
 
