@@ -137,13 +137,15 @@ class NearDuplicates:
 
     def __init__(self, rows: DataFrame, threshold: tuple[int, int] = (7, 10), min_words: int = 18, k: int = 1) -> None:
         self.num, self.den = threshold
-        one = rows.filter("id IS NOT NULL AND text IS NOT NULL").select("table_name", "id", "text").distinct()
-        sets = one.withColumn("words", word_set(F.col("text"), k)).filter(F.size("words") >= min_words)
-        sets = sets.select("table_name", "id", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(5), "words").alias("h2"))
-        same = sets.groupBy("table_name", "id").agg(F.max(F.struct("words", "h1", "h2")).alias("s")).select("table_name", "id", "s.*")
-        self.sets = cut(same, "sets")
+        text = rows.filter("id IS NOT NULL AND text IS NOT NULL").select("table_name", "id", word_set(F.col("text"), k).alias("words")).filter(F.size("words") >= min_words)
+        hashed = cut(text.select("table_name", "id", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(5), "words").alias("h2")), "sets")
         self.key = ["table_name", "h1", "h2"]
-        self.classes = cut(self.sets.groupBy(*self.key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words")), "classes")
+        # Word sets travel once, to their class; ids travel with hashes only.
+        one = hashed.groupBy("table_name", "id").agg(F.max(F.struct("h1", "h2")).alias("s"))
+        self.sets = cut(one.select("table_name", "id", "s.h1", "s.h2"), "ids")
+        sizes = self.sets.groupBy(*self.key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        words = hashed.groupBy(*self.key).agg(F.first("words").alias("words"))
+        self.classes = cut(sizes.join(words, self.key), "classes")
 
     def candidates(self) -> DataFrame:
         """(table_name, a, b), a < b: class representatives that share a band key."""
