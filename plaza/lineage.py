@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
@@ -53,8 +53,6 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, str, dict]:
-    """``written``, with aggregates of ``df`` taken while it is written."""
-    seen = Observation()
-    exprs = [c.alias(n) for n, c in metrics.items()]
-    table, path = written(df.observe(seen, *exprs), name)
-    return table, path, seen.get
+    """``written``, with aggregates of the table, which read only the columns they need."""
+    table, path = written(df, name)
+    return table, path, table.agg(*[c.alias(n) for n, c in metrics.items()]).first().asDict()
