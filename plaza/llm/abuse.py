@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaza.llm.spelling import Speller
-from plaza.llm.tokens import Table, Words, pair_hash, word_hash, words
+from plaza.llm.tokens import Table, Words, pair_hash, slices, word_hash, words
 
 #: Words of the longest passage; longer sentences are cut into passages that overlap by half.
 PASSAGE = 16
@@ -416,8 +416,9 @@ def fit(records: DataFrame, judgements: DataFrame, terms: list[str]) -> tuple[Li
         n = 0
         for b in batches:
             n += b.num_rows
-            w, p = read(b.column(0).to_pylist())
-            total += np.bincount(votes(w, p, lex), minlength=len(total))
+            for _, texts in slices(b.column(0)):
+                w, p = read(texts)
+                total += np.bincount(votes(w, p, lex), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(np.append(at, -1).astype(np.int32)), "n": pa.array(np.append(total[at], n))})
 
@@ -450,8 +451,10 @@ def score(records: DataFrame, linear: Linear, lex: Lexemes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, one = Reader(lex), Linear(*shared.value)
         for b in batches:
-            w, _ = read(b.column(2).to_pylist())
-            out = worst(w, b.num_rows, one, lex)
+            out = np.full(b.num_rows, -40.0)
+            for i, texts in slices(b.column(2)):
+                w, _ = read(texts)
+                out[i : i + len(texts)] = worst(w, len(texts), one, lex)
             prob = np.where(out <= -40.0, 0.0, 1 / (1 + np.exp(-np.clip(out, -30, 30))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prob)], ["record_table", "record_id", "score"])
 

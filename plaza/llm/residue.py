@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaza.llm.tokens import Table, Words, word_hash, words
+from plaza.llm.tokens import Table, Words, slices, word_hash, words
 
 #: Share of an exemplar's weight that a window must hold.
 MIN_CONTAINMENT = 0.8
@@ -317,7 +317,8 @@ def inverse_frequencies(docs: DataFrame, text: str, index: Index) -> np.ndarray:
         table, n, df = index.table(), 0, np.zeros(len(index.terms), np.int64)
         for b in batches:
             n += b.num_rows
-            df += term_counts(index, table, b.column(0).to_pylist())
+            for _, texts in slices(b.column(0)):
+                df += term_counts(index, table, texts)
         term = np.arange(-1, len(index.terms), dtype=np.int32)
         yield pa.RecordBatch.from_pydict({"term": pa.array(term), "n": pa.array(np.concatenate([[n], df]))})
 
@@ -335,6 +336,7 @@ def residue(docs: DataFrame, key: str, text: str, index: Index | None = None) ->
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Judge(index, idf)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(one(b.column(1).to_pylist()))], [key, "is_residue"])
+            hit = [one(texts) for _, texts in slices(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(hit) if hit else np.zeros(0, bool))], [key, "is_residue"])
 
     return docs.select(key, text).mapInArrow(judge, f"`{key}` {kind}, is_residue boolean")

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plaza.llm.tokens import slices
+
 #: Vocabulary used where none is named.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _ENCODERS: dict[str, object] = {}
@@ -45,9 +47,8 @@ def token_lengths(df: DataFrame, keep: list[str], text: str, path: str | None =
         enc = encoder(path)
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
-            for i in range(0, b.num_rows, 256):
-                texts = [t or "" for t in b.column(len(keep)).slice(i, 256).to_pylist()]
-                n[i : i + 256] = [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]
+            for i, texts in slices(b.column(len(keep)), 1 << 20):
+                n[i : i + len(texts)] = [len(x) for x in enc.encode_ordinary_batch([t or "" for t in texts], num_threads=1)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n)], [*keep, name])
 
     return rows.mapInArrow(run, f"{ddl}, {name} long")

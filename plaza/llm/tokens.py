@@ -7,9 +7,12 @@ is made for it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _R = 0x9E3779B97F4A7C15 | 1
 _RI = pow(_R, -1, 1 << 64)
@@ -23,6 +26,19 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 _CHUNK = 1 << 21
 _POW: list[np.ndarray] = []
+#: Bytes of text worked on at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of consecutive rows of a text column, at most ``most`` bytes or one row at a time."""
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    end = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, end[i] - size[i] + most, side="right")))
+        yield i, column.slice(i, j - i).to_pylist()
+        i = j
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from plaza.llm.packing import pack, plan
 from plaza.llm.raking import Sample, Target, rake, repair
 from plaza.llm.spelling import Speller, disguised
 from plaza.llm.tokenizer import token_lengths
-from plaza.llm.tokens import word_hash, words
+from plaza.llm.tokens import slices, word_hash, words
 
 # --- words ---------------------------------------------------------------
 
@@ -38,6 +39,14 @@ def test_words_in_large_batches_hash_alike():
     assert set(w.hash.tolist()) == {word_hash("alpha"), word_hash("beta")}
 
 
+def test_slices_cover_every_row_once():
+    texts = ["ab", None, "c" * 50, "", "d" * 9, "e"]
+    got = list(slices(pa.array(texts), 10))
+    assert [t for _, part in got for t in part] == texts
+    assert [i for i, _ in got] == [0, 2, 3]
+    assert list(slices(pa.array([], pa.string()))) == []
+
+
 # --- spelling ------------------------------------------------------------
 
 LEXICON = {"idiot", "vermin", "trash", "brainless", "fuck", "rats", "sex", "maggot"}
