@@ -25,11 +25,15 @@ def weights(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float
     return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("w")), idf
 
 
-def search(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, score, rank): the ``k`` best documents of each query (query_id, text) with a score above 0."""
+def hits(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
+    """(query_id, key, score): all documents that share a term with a query (query_id, text)."""
     w, idf = weights(docs, key, text)
     q = postings(queries, "query_id", "text").join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
     length = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("length"))
     q = q.join(length, "query_id").select("query_id", "term", (F.col("qw") / F.col("length")).alias("qw"))
-    hits = w.join(q, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score")).filter("score > 0")
-    return top_per_group(hits, ["query_id"], [F.desc("score"), F.asc(key)], k)
+    return w.join(q, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score")).filter("score > 0")
+
+
+def search(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, score, rank): the ``k`` best documents of each query."""
+    return top_per_group(hits(docs, key, text, queries), ["query_id"], [F.desc("score"), F.asc(key)], k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plaza.functions.hashing import hash_order
 from plaza.functions.text import squeeze
 from plaza.operators.rank import grouped_rank, top_per_group
+from plaza.operators.skew import collect_hot, lookup_join
 from plaza.plans.reports import _CLEAN, _LABEL, clean_labels
 from plaza.registry import Registry
 from plaza.sources.domain import rows, with_sql
@@ -55,7 +56,8 @@ def register(reg: Registry) -> None:
         own = F.filter(clean_labels(F.col("category_labels")), lambda x: x != "")
         r = rows(spark, sf_dir, "r").select("post_id", own.alias("own"), "persona_id")
         k = rows(spark, sf_dir, "k").select("persona_id", F.lower(F.trim("primary_label")).alias("main"))
-        return r.join(k, "persona_id", "left").select("post_id", F.when(F.size("own") > 0, F.array_join("own", ",")).otherwise(F.coalesce("main", F.lit("benign"))).alias("labels"))
+        both = lookup_join(r, k, ["persona_id"], collect_hot(r, ["persona_id"]), ["post_id"])
+        return both.select("post_id", F.when(F.size("own") > 0, F.array_join("own", ",")).otherwise(F.coalesce("main", F.lit("benign"))).alias("labels"))
 
     @reg.add("text_precedence", with_sql("p") + "SELECT post_id, CASE WHEN trim(quote_content) <> '' THEN 'rag-llm' WHEN trim(content) <> '' THEN 'skip' ELSE 'v0-mvp' END AS provenance FROM p")
     def text_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,8 @@ def register(reg: Registry) -> None:
         n = rows(spark, sf_dir, "u").select("user_id", "user_name", F.lower(F.trim("user_name")).alias("key")).join(k, "key", "left").select("user_id", "user_name", F.coalesce("primary_label", F.lit("unknown")).alias("label"))
         part = lambda t, name, key: rows(spark, sf_dir, t).select(F.lit(name).alias("type"), F.col(key).alias("id"), "user_id", "content")
         a = part("p", "post", "post_id").unionByName(part("c", "comment", "comment_id")).filter("trim(content) <> ''")
-        return a.join(n, "user_id", "left").select("type", "id", "user_name", "content", F.coalesce("label", F.lit("unknown")).alias("label"))
+        both = lookup_join(a, n, ["user_id"], collect_hot(a, ["user_id"]), ["type", "id"])
+        return both.select("type", "id", "user_name", "content", F.coalesce("label", F.lit("unknown")).alias("label"))
 
     @reg.add("action_log", with_sql("pclf") + "SELECT 'post' AS source, CASE WHEN original_post_id IS NULL THEN 'create_post' WHEN coalesce(quote_content, '') = '' THEN 'repost' ELSE 'quote_post' END AS action, user_id, post_id AS target_id, created_at FROM p UNION ALL SELECT 'comment', 'create_comment', user_id, post_id, created_at FROM c UNION ALL SELECT 'like', 'like_post', user_id, post_id, created_at FROM l UNION ALL SELECT 'follow', 'follow', follower_id, followee_id, created_at FROM f")
     def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plaza.functions.hashing import hash_order, seed32, uniform
 from plaza.lineage import cut
 from plaza.operators.rank import grouped_rank, top_per_group
-from plaza.operators.tfidf import search
+from plaza.operators.tfidf import hits
 from plaza.plans.datasets import label
 from plaza.plans.ranking import _SEARCH, QUERIES, query_frame
 from plaza.plans.reports import _LABEL
@@ -64,9 +64,8 @@ def register(reg: Registry) -> None:
     @reg.add("merged_search", with_sql("d", _SEARCH.strip(), "s AS (SELECT h.query_id, coalesce(lower(trim(d.source)), 'unknown') AS dataset, h.doc_id, h.score FROM hits h JOIN d ON h.doc_id = d.doc_id WHERE h.score > 0.05)", "a AS (SELECT *, row_number() OVER (PARTITION BY query_id, dataset ORDER BY score DESC, doc_id) AS k FROM s)") + "SELECT query_id, dataset, doc_id, round(score, 6) AS score FROM a WHERE k <= 2")
     def merged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = rows(spark, sf_dir, "d")
-        n = docs.count()
-        hits = search(docs, "doc_id", "text", query_frame(spark), n).filter("score > 0.05")
-        named = hits.drop("rank").join(docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("dataset")), "doc_id")
+        found = hits(docs, "doc_id", "text", query_frame(spark)).filter("score > 0.05")
+        named = found.join(docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("dataset")), "doc_id")
         return top_per_group(named, ["query_id", "dataset"], [F.desc("score"), F.asc("doc_id")], 2).select("query_id", "dataset", "doc_id", F.round("score", 6).alias("score"))
 
     @reg.add("phrase_per_token", with_sql("p") + f"SELECT post_id, list_extract({QUERIES}, 1 + CAST('0x' || substr(sha256('phrase:' || post_id), 1, 8) AS BIGINT) % {len(QUERIES)}) AS phrase FROM p WHERE contains(content, 'LBL:')")

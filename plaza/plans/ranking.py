@@ -9,7 +9,7 @@ from plaza.functions.hashing import hash_order
 from plaza.functions.scores import hot_score
 from plaza.operators.rank import top_per_group
 from plaza.operators.search import nearest
-from plaza.operators.tfidf import search, weights
+from plaza.operators.tfidf import hits, search, weights
 from plaza.registry import Registry
 from plaza.sources.domain import rows, with_sql
 from plaza.sources.tables import table
@@ -142,8 +142,7 @@ def register(reg: Registry) -> None:
     @reg.add("best_dataset", with_sql("d", _SEARCH.strip(), "s AS (SELECT h.query_id, coalesce(lower(trim(d.source)), 'unknown') AS dataset, max(h.score) AS score FROM hits h JOIN d ON h.doc_id = d.doc_id WHERE h.score > 0 GROUP BY ALL)") + "SELECT query_id, dataset, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset) AS k FROM s) WHERE k = 1")
     def best_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = rows(spark, sf_dir, "d")
-        # The best document of all is the best of its dataset, so the first of every query decides; ties go by dataset.
-        top = search(docs, "doc_id", "text", query_frame(spark), 50).join(docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("dataset")), "doc_id")
+        top = hits(docs, "doc_id", "text", query_frame(spark)).join(docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("dataset")), "doc_id")
         s = top.groupBy("query_id", "dataset").agg(F.max("score").alias("score"))
         return top_per_group(s, ["query_id"], [F.desc("score"), F.asc("dataset")], 1).select("query_id", "dataset", F.round("score", 6).alias("score"))
 
