@@ -14,6 +14,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_SCRATCH: list[str] = []
+
+
+def _clean() -> None:
+    """At the end of the driver: scratch tables that were not dropped before."""
+    spark = SparkSession.getActiveSession()
+    for path in _SCRATCH:
+        try:
+            if spark is not None:
+                drop_path(spark, path)
+            elif path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), True)
+        except Exception:  # the cluster may be gone already
+            return
+
+
+atexit.register(_clean)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/plaza/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/plaza/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
