@@ -52,9 +52,11 @@ PROFANE = "fuck fucking fucker stfu shit cunt gtfo"
 SEXUAL = "nudes nude naked porn porno orgy horny tits boobs cock dick pussy panties cum blowjob xxx uncensored sext hardcore suck sex"
 THREAT_VERBS = "kill smash burn stab shoot beat break bleed knife bat strangle hang bury ditch jaw teeth"
 FOREIGN = (
-    "imbécil idiota basura asco cállate pudras ratas echarlos desnuda lárgate crétin crever gueule débile connard salope sale dehors vollidiot widerlicher fresse versager ungeziefer "
-    "verjagt blutest schlampe lixo nojento sangrar ratos expulsos burro vadia casser dents puta mierda merda nazi scheiße arschloch hure"
+    "imbécil basura cállate pudras echarlos lárgate puta mierda crétin crever gueule connard salope merde "
+    "vollidiot widerlicher fresse versager ungeziefer verjagt blutest schlampe scheiße arschloch "
+    "lixo nojento sangrar vadia caralho"
 )
+FOREIGN_PAIRS = "das asco|basura humana|son ratas|que echarlos|te pudras|te busco|fotos desnuda|idiota nojento|sale crétin|va crever|ta gueule|casser les|sont des|des parasites|halt die|die fresse|sind ungeziefer|gehören verjagt|finde dich|dann blutest|cala a|seu lixo|são ratos|ser expulsos|te pegar|vai sangrar"
 PHRASES = {
     "exclude": "be wiped|wiped out|be put|put down|be driven|driven out|of town|never be|be allowed|to vote|no exceptions|belong among|among humans|was clean|blood is|is dirty|lock them|in cages|like vermin|deserve to|be beaten|the street|crawled out|go back|your lot|your kind|a mistake|breathing the|same air|goes missing|hires them|sick of|last one|never trust|they are|more brains|put together|back to|the kitchen|ruin every|they touch",
     "wish": "drop dead|kys|kill yourself|choke on|go rot|go die|stop existing|waking up|highest bridge|get hit|you disappeared|get lost|and vanish|your hole|stepped on|end yourself",
@@ -100,6 +102,7 @@ class Lexemes:
         ):
             put(text.split(), name)
         put(listed, "listed")
+        put(FOREIGN_PAIRS.split("|"), "foreign")
         for name, text in PHRASES.items():
             put(text.split("|"), name)
         self.words = {w for w, bits in one.items() if bits & ~(_bit("group") | _bit("you") | _bit("will"))}
@@ -222,7 +225,7 @@ class LabelModel:
         # them, two of them more often, and passages on which no voter for abuse speaks are harmless.
         against = np.array([x in AGAINST for x in VOTERS])
         sure = np.where(v[:, against].any(1), 0, v[:, [x in SURE for x in VOTERS]].sum(1))
-        q = np.maximum(q, np.select([sure > 1, sure == 1], [0.8, 0.5], 0.0))
+        q = np.maximum(q, np.select([sure > 1, sure == 1], [0.9, 0.65], 0.0))
         return np.where(v[:, ~against].any(1), q, np.minimum(q, 0.01))
 
     @classmethod
