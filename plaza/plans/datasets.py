@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from plaza.functions.hashing import hash_order
 from plaza.functions.text import squeeze
+from plaza.operators.datasets import apportion, balanced, clean_labels, split
 from plaza.operators.rank import grouped_rank, top_per_group
 from plaza.operators.skew import collect_hot, lookup_join
-from plaza.plans.reports import _CLEAN, _LABEL, clean_labels
+from plaza.plans.reports import _CLEAN, _LABEL
 from plaza.registry import Registry
 from plaza.sources.domain import rows, with_sql
 from plaza.sources.tables import table
@@ -23,14 +24,6 @@ def label(c):
     return F.translate(F.lower(F.trim(c)), "- ", "__")
 
 
-def split_names(ranked: DataFrame, rank: str, total: str, cuts: list[tuple[str, int]]) -> DataFrame:
-    """``split`` by percent cuts of the rank within the total, the last name for the rest."""
-    out = F.lit(cuts[-1][0])
-    for name, upto in reversed(cuts[:-1]):
-        out = F.when(F.col(rank) < F.expr(f"{total} * {upto} div 100"), name).otherwise(out)
-    return ranked.withColumn("split", out)
-
-
 def register(reg: Registry) -> None:
     """Add the queries of this module."""
 
@@ -67,23 +60,18 @@ def register(reg: Registry) -> None:
 
     @reg.add("split_stratified", with_sql("k", f"t AS (SELECT persona_id, coalesce({_LABEL.format(x='primary_label')}, '') AS stratum FROM k)", "s AS (SELECT persona_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || persona_id), persona_id) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n FROM t)") + f"SELECT persona_id, stratum, {cut_sql} AS split FROM s")
     def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = rows(spark, sf_dir, "k").select("persona_id", F.coalesce(label(F.col("primary_label")), F.lit("")).alias("stratum")).withColumn("h", hash_order("42", F.col("persona_id")))
-        n = t.groupBy("stratum").agg(F.count("*").alias("n"))
-        ranked = grouped_rank(t, ["stratum"], [F.col("h").asc(), F.col("persona_id").asc()], "k").join(n, "stratum")
-        return split_names(ranked, "k", "n", [("train", 70), ("test", 85), ("holdout", 100)]).select("persona_id", "stratum", "split")
+        t = rows(spark, sf_dir, "k").select("persona_id", F.coalesce(label(F.col("primary_label")), F.lit("")).alias("stratum"))
+        return split(t, "persona_id", ["stratum"], "42", [("train", 70), ("test", 85), ("holdout", 100)])
 
     @reg.add("split_global", with_sql("u", "s AS (SELECT user_id, row_number() OVER (ORDER BY md5('7:' || user_id), user_id) - 1 AS k, count(*) OVER () AS n FROM u)") + "SELECT user_id, CASE WHEN k < n * 75 // 100 THEN 'train' WHEN k < n * 90 // 100 THEN 'val' ELSE 'test' END AS split FROM s")
     def split_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-        u = rows(spark, sf_dir, "u").select("user_id", F.lit(0).alias("one")).withColumn("h", hash_order("7", F.col("user_id")))
-        n = u.agg(F.count("*").alias("n"))
-        ranked = grouped_rank(u, ["one"], [F.col("h").asc(), F.col("user_id").asc()], "k").join(F.broadcast(n))
-        return split_names(ranked, "k", "n", [("train", 75), ("val", 90), ("test", 100)]).select("user_id", "split")
+        u = rows(spark, sf_dir, "u").select("user_id", F.lit(0).alias("one"))
+        return split(u, "user_id", ["one"], "7", [("train", 75), ("val", 90), ("test", 100)]).select("user_id", "split")
 
     @reg.add("sample_balanced", with_sql("k", f"t AS (SELECT persona_id, {_LABEL.format(x='primary_label')} <> 'benign' AS harmful FROM k WHERE primary_label IS NOT NULL)", "s AS (SELECT *, row_number() OVER (PARTITION BY harmful ORDER BY md5('1:' || persona_id), persona_id) AS k FROM t)", "m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM t GROUP BY harmful))") + "SELECT persona_id, harmful FROM s, m WHERE k <= m")
     def sample_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = rows(spark, sf_dir, "k").filter("primary_label IS NOT NULL").select("persona_id", (label(F.col("primary_label")) != "benign").alias("harmful")).withColumn("h", hash_order("1", F.col("persona_id")))
-        m = t.groupBy("harmful").agg(F.count("*").alias("n")).agg(F.min("n").alias("m"))
-        return grouped_rank(t, ["harmful"], [F.col("h").asc(), F.col("persona_id").asc()], "k").join(F.broadcast(m)).filter("k < m").select("persona_id", "harmful")
+        t = rows(spark, sf_dir, "k").filter("primary_label IS NOT NULL").select("persona_id", (label(F.col("primary_label")) != "benign").alias("harmful"))
+        return balanced(t, "persona_id", "harmful", "1")
 
     @reg.add("sample_quota", with_sql("r", f"t AS (SELECT post_id, CASE WHEN coalesce({_LABEL.format(x='category_labels[1]')}, 'benign') = 'benign' THEN 0 ELSE 1 END AS harmful FROM r)", "s AS (SELECT *, row_number() OVER (PARTITION BY harmful ORDER BY md5('9:' || post_id), post_id) AS k FROM t)") + "SELECT post_id, harmful FROM s WHERE k <= CASE harmful WHEN 1 THEN 200 ELSE 800 END")
     def sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +119,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("action_log", with_sql("pclf") + "SELECT 'post' AS source, CASE WHEN original_post_id IS NULL THEN 'create_post' WHEN coalesce(quote_content, '') = '' THEN 'repost' ELSE 'quote_post' END AS action, user_id, post_id AS target_id, created_at FROM p UNION ALL SELECT 'comment', 'create_comment', user_id, post_id, created_at FROM c UNION ALL SELECT 'like', 'like_post', user_id, post_id, created_at FROM l UNION ALL SELECT 'follow', 'follow', follower_id, followee_id, created_at FROM f")
     def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from plaza.plans.feeds import post_type
+        from plaza.operators.feeds import post_type
 
         kind = post_type(F.col("original_post_id"), F.col("quote_content"))
         p = rows(spark, sf_dir, "p").select(F.lit("post").alias("source"), F.when(kind == "common", "create_post").when(kind == "repost", "repost").otherwise("quote_post").alias("action"), "user_id", F.col("post_id").alias("target_id"), "created_at")
@@ -164,11 +152,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("apportion_weighted", "WITH t AS (SELECT source, target_weight * 1000 AS want FROM mix_targets), x AS (SELECT source, CAST(floor(want + 1e-9) AS BIGINT) AS base, round(want - floor(want + 1e-9), 9) AS rest FROM t), y AS (SELECT *, row_number() OVER (ORDER BY rest DESC, source) AS k, 1000 - sum(base) OVER () AS left_over FROM x) SELECT source, base + CASE WHEN k <= left_over THEN 1 ELSE 0 END AS n FROM y")
     def apportion_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-        want = F.col("target_weight") * 1000
-        x = table(spark, sf_dir, "mix_targets").select("source", F.floor(want + 1e-9).alias("base"), F.round(want - F.floor(want + 1e-9), 9).alias("rest"))
-        w = Window.orderBy(F.desc("rest"), "source")
-        y = x.withColumns({"k": F.row_number().over(w), "left_over": 1000 - F.sum("base").over(Window.partitionBy())})
-        return y.select("source", (F.col("base") + F.when(F.col("k") <= F.col("left_over"), 1).otherwise(0)).alias("n"))
+        return apportion(table(spark, sf_dir, "mix_targets"), "source", "target_weight", 1000)
 
     @reg.add("apportion_uniform", "WITH t AS (SELECT category, row_number() OVER (ORDER BY category) AS k, count(*) OVER () AS n FROM label_targets WHERE scope = 'post_record') SELECT category, 100 // n + CASE WHEN k <= 100 % n THEN 1 ELSE 0 END AS quota FROM t")
     def apportion_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaza.functions.hashing import hash_order, seed32, uniform
 from plaza.lineage import cut
+from plaza.operators.datasets import split
 from plaza.operators.rank import grouped_rank, top_per_group
 from plaza.operators.tfidf import hits
 from plaza.plans.datasets import label
@@ -95,10 +96,8 @@ def register(reg: Registry) -> None:
     @reg.add("split_two_keys", with_sql("d", "t AS (SELECT doc_id, coalesce(lang, '') || '|' || coalesce(lower(trim(source)), '') AS stratum FROM d)", "s AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('80:' || doc_id), doc_id) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n FROM t)") + "SELECT doc_id, CASE WHEN k < n * 80 // 100 THEN 'train' ELSE 'test' END AS split FROM s")
     def split_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = lambda c: F.coalesce(c, F.lit(""))
-        t = rows(spark, sf_dir, "d").select("doc_id", F.concat(e(F.col("lang")), F.lit("|"), e(F.lower(F.trim("source")))).alias("stratum")).withColumn("h", hash_order("80", F.col("doc_id")))
-        n = t.groupBy("stratum").agg(F.count("*").alias("n"))
-        ranked = grouped_rank(t, ["stratum"], [F.col("h").asc(), F.col("doc_id").asc()], "k").join(n, "stratum")
-        return ranked.select("doc_id", F.when(F.col("k") < F.expr("n * 80 div 100"), "train").otherwise("test").alias("split"))
+        t = rows(spark, sf_dir, "d").select("doc_id", F.concat(e(F.col("lang")), F.lit("|"), e(F.lower(F.trim("source")))).alias("stratum"))
+        return split(t, "doc_id", ["stratum"], "80", [("train", 80), ("test", 100)]).select("doc_id", "split")
 
     @reg.add("quota_plan", "WITH t AS (SELECT category, target_pct, greatest(1, CAST(floor(target_pct * 200 / 100.0) AS INTEGER)) AS quota FROM label_targets WHERE scope = 'post_record') SELECT category, quota, CAST(sum(quota) OVER (ORDER BY quota DESC, category) AS BIGINT) AS upto FROM t")
     def quota_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

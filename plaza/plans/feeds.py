@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaza.functions.text import display_name, render_post
+from plaza.operators.feeds import following_feed, post_type, roots, search, trend
 from plaza.operators.rank import grouped_rank, neighbours, top_per_group
 from plaza.operators.skew import collect_hot, lookup_join
 from plaza.registry import Registry
@@ -16,20 +17,6 @@ _NAME = "CASE WHEN trim({u}name) <> '' THEN {u}name WHEN trim({u}user_name) <> '
 _TYPE = "CASE WHEN {p}original_post_id IS NULL THEN 'common' WHEN coalesce({p}quote_content, '') = '' THEN 'repost' ELSE 'quote' END"
 
 
-def post_type(original, quote):
-    """``common``, ``repost`` or ``quote``."""
-    return F.when(original.isNull(), "common").when(F.coalesce(quote, F.lit("")) == "", "repost").otherwise("quote")
-
-
-def roots(posts: DataFrame) -> DataFrame:
-    """``posts`` with ``root_id``: what a repost or quote of a row would point at.
-
-    A repost resolves to the post it repeats, a quote stands for itself.
-    """
-    kind = post_type(F.col("original_post_id"), F.col("quote_content"))
-    return posts.withColumn("root_id", F.when(kind == "repost", F.col("original_post_id")).otherwise(F.col("post_id")))
-
-
 def register(reg: Registry) -> None:
     """Add the queries of this module."""
 
@@ -83,12 +70,7 @@ def register(reg: Registry) -> None:
         FROM e JOIN p ON p.user_id = e.followee_id) WHERE rank <= 3""",
     )
     def feed_following_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        order = [F.col("num_likes").desc(), F.col("post_id").asc()]
-        # No follower sees more than n posts of one author, so each author brings at most n rows to the join.
-        posts = top_per_group(rows(spark, sf_dir, "p").select(F.col("user_id").alias("followee_id"), "post_id", "num_likes"), ["followee_id"], order, 3).drop("rank")
-        edges = rows(spark, sf_dir, "f").filter("followee_id IS NOT NULL").select("follower_id", "followee_id").distinct()
-        seen = edges.join(posts, "followee_id")
-        return top_per_group(seen, ["follower_id"], order, 3).select("follower_id", "rank", "post_id", "num_likes")
+        return following_feed(rows(spark, sf_dir, "p"), rows(spark, sf_dir, "f"), 3)
 
     @reg.add(
         "feed_comments",
@@ -104,24 +86,18 @@ def register(reg: Registry) -> None:
         named = named.select("post_id", "comment_id", F.coalesce("who", F.lit("?")).alias("who"), "score")
         return grouped_rank(named, ["post_id"], [F.col("comment_id").asc()], "position").select("post_id", "position", "comment_id", "who", "score")
 
-    @reg.add("search_posts", with_sql("p") + "SELECT post_id, user_id FROM p WHERE content ILIKE '%kettle%' OR CAST(post_id AS VARCHAR) LIKE '%77%' OR CAST(user_id AS VARCHAR) LIKE '%77%'")
+    @reg.add("search_posts", with_sql("p") + "SELECT post_id, user_id FROM p WHERE content ILIKE '%77 %' OR CAST(post_id AS VARCHAR) LIKE '%77 %' OR CAST(user_id AS VARCHAR) LIKE '%77 %' UNION SELECT post_id, user_id FROM p WHERE content ILIKE '%kettle%'")
     def search_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hit = F.coalesce(F.col("content").ilike("%kettle%"), F.lit(False)) | F.col("post_id").cast("string").contains("77") | F.col("user_id").cast("string").contains("77")
-        return rows(spark, sf_dir, "p").filter(hit).select("post_id", "user_id")
+        p, ids = rows(spark, sf_dir, "p"), ["post_id", "user_id"]
+        return search(p, "77 ", ["content"], ids).select(*ids).union(search(p, "kettle", ["content"], []).select(*ids)).distinct()
 
-    @reg.add("search_users", with_sql("u") + "SELECT user_id FROM u WHERE user_name ILIKE '%bren%' OR name ILIKE '%bren%' OR bio ILIKE '%bren%' OR CAST(user_id AS VARCHAR) LIKE '%99%'")
+    @reg.add("search_users", with_sql("u") + "SELECT user_id FROM u WHERE user_name ILIKE '%99%' OR name ILIKE '%99%' OR bio ILIKE '%99%' OR CAST(user_id AS VARCHAR) LIKE '%99%'")
     def search_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hit = F.col("user_id").cast("string").contains("99")
-        for c in ("user_name", "name", "bio"):
-            hit = hit | F.coalesce(F.col(c).ilike("%bren%"), F.lit(False))
-        return rows(spark, sf_dir, "u").filter(hit).select("user_id")
+        return search(rows(spark, sf_dir, "u"), "99", ["user_name", "name", "bio"], ["user_id"]).select("user_id")
 
     @reg.add("trend_week", with_sql("p", "m AS (SELECT max(created_at) AS top FROM p)") + "SELECT post_id, num_likes FROM p, m WHERE created_at >= top - INTERVAL 7 DAYS ORDER BY num_likes DESC, post_id LIMIT 10")
     def trend_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = rows(spark, sf_dir, "p")
-        top = table(spark, sf_dir, "post").agg(F.max("created_at").alias("top"))
-        recent = p.join(F.broadcast(top)).filter(F.expr("created_at >= top - INTERVAL 7 DAYS"))
-        return recent.orderBy(F.desc("num_likes"), "post_id").limit(10).select("post_id", "num_likes")
+        return trend(rows(spark, sf_dir, "p"), 7, 10).select("post_id", "num_likes")
 
     @reg.add("top_liked", with_sql("pl", "n AS (SELECT post_id, count(*) AS likes FROM l GROUP BY post_id)") + "SELECT p.post_id, coalesce(n.likes, 0) AS likes FROM p LEFT JOIN n ON p.post_id = n.post_id ORDER BY likes DESC, p.post_id DESC LIMIT 15")
     def top_liked(spark: SparkSession, sf_dir: str) -> DataFrame:

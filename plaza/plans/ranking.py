@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaza.functions.hashing import hash_order
 from plaza.functions.scores import hot_score
+from plaza.operators.feeds import matrix
 from plaza.operators.rank import top_per_group
 from plaza.operators.search import nearest
 from plaza.operators.tfidf import hits, search, weights
@@ -125,10 +126,8 @@ def register(reg: Registry) -> None:
     @reg.add("rec_matrix", with_sql("ul", "t AS (SELECT DISTINCT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id) AS k FROM (SELECT DISTINCT user_id, post_id FROM l WHERE post_id IS NOT NULL))") + "SELECT u.user_id, coalesce(string_agg(CAST(t.post_id AS VARCHAR), ',' ORDER BY t.post_id), '') AS posts FROM u LEFT JOIN t ON u.user_id = t.user_id AND t.k <= 50 GROUP BY u.user_id")
     def rec_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         # A row of the matrix holds at most 50 posts, so no list grows with the data.
-        t = rows(spark, sf_dir, "l").filter("post_id IS NOT NULL").select("user_id", "post_id").distinct()
-        t = top_per_group(t, ["user_id"], [F.asc("post_id")], 50).groupBy("user_id").agg(F.array_sort(F.collect_list("post_id")).alias("ids"))
-        u = rows(spark, sf_dir, "u").select("user_id").join(t, "user_id", "left")
-        return u.select("user_id", F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("posts"))
+        m = matrix(rows(spark, sf_dir, "u"), rows(spark, sf_dir, "l").select("user_id", "post_id"), 50)
+        return m.select("user_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("posts"))
 
     @reg.add("tfidf_weights", with_sql("d", _TFIDF.strip()) + "SELECT doc_id, term, round(w, 6) AS weight, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS k FROM w) WHERE k <= 10")
     def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

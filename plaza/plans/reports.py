@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plaza.operators.datasets import class_metrics as metrics_of
+from plaza.operators.datasets import clean_labels, share
+from plaza.operators.datasets import multilabel_rate as multilabel
 from plaza.operators.rank import grouped_rank, top_per_group
 from plaza.registry import Registry
 from plaza.sources.domain import rows, with_sql
@@ -19,23 +22,6 @@ _LABEL = "replace(replace(lower(trim({x})), '-', '_'), ' ', '_')"
 _CLEAN = "list_transform(coalesce(category_labels, []), lambda x: " + _LABEL.format(x="x") + ")"
 
 
-def clean_labels(c):
-    """Labels in one spelling; null is no label."""
-    return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.translate(F.lower(F.trim(x)), "- ", "__"))
-
-
-def share(n, total):
-    """A ratio to six places, 0 where there is nothing to divide by."""
-    return F.round(F.coalesce(F.try_divide(n, total), F.lit(0.0)), 6)
-
-
-def f1_scores(cells: DataFrame, by: str) -> DataFrame:
-    """(by, tp, fp, fn, f1) from rows (by, truth, guess) of 0 and 1; an empty class scores 0."""
-    n = lambda t, g: F.count(F.when((F.col("truth") == t) & (F.col("guess") == g), 1))
-    c = cells.groupBy(by).agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"))
-    return c.withColumn("f1", share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
-
-
 def register(reg: Registry) -> None:
     """Add the queries of this module."""
 
@@ -92,12 +78,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("multilabel_rate", with_sql("r", f"t AS (SELECT {_CLEAN} AS labels FROM r)", "h AS (SELECT labels, len(list_filter(labels, lambda x: x <> 'benign')) AS harm FROM t)") + "SELECT count(*) FILTER (WHERE harm > 0) AS harmful, count(*) FILTER (WHERE harm > 1) AS multi, round(coalesce(count(*) FILTER (WHERE harm > 1) * 1.0 / nullif(count(*) FILTER (WHERE harm > 0), 0), 0), 6) AS rate, count(*) FILTER (WHERE labels = ['benign']) AS benign_only FROM h")
     def multilabel_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = rows(spark, sf_dir, "r").select(clean_labels(F.col("category_labels")).alias("labels"))
-        t = t.withColumn("harm", F.size(F.filter("labels", lambda x: x != "benign")))
-        n = lambda c: F.count(F.when(c, 1))
-        return t.agg(
-            n(F.col("harm") > 0).alias("harmful"), n(F.col("harm") > 1).alias("multi"), share(n(F.col("harm") > 1), n(F.col("harm") > 0)).alias("rate"), n(F.col("labels") == F.array(F.lit("benign"))).alias("benign_only")
-        )
+        return multilabel(rows(spark, sf_dir, "r"), "category_labels")
 
     @reg.add("label_pairs", with_sql("r", f"t AS (SELECT list_sort(list_filter({_CLEAN}, lambda x: x <> 'benign')) AS h FROM r)") + "SELECT h[1] || '+' || h[2] AS pair, count(*) AS n FROM t WHERE len(h) > 1 GROUP BY 1 ORDER BY n DESC, pair LIMIT 10")
     def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +121,7 @@ def register(reg: Registry) -> None:
     def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         clean = lambda c: F.coalesce(F.translate(F.lower(F.trim(c)), "- ", "__"), F.lit(""))
         t = rows(spark, sf_dir, "r").select(clean(F.get("category_labels", F.lit(0))).alias("truth"), clean(F.col("persona_id")).alias("guess"))
-        # Each row counts for its true and for its guessed class: a sum, where a join would meet every class with every row.
-        pairs = t.groupBy("truth", "guess").agg(F.count("*").alias("n"))
-        sides = pairs.select(F.inline(F.array(F.struct(F.col("truth").alias("class"), F.col("n").alias("t"), F.lit(0).cast("long").alias("g"), F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("guess").alias("class"), F.lit(0).cast("long").alias("t"), F.col("n").alias("g"), F.lit(0).cast("long").alias("tp")))))
-        return sides.groupBy("class").agg(F.sum("t").alias("support"), share(2 * F.sum("tp"), F.sum("t") + F.sum("g")).alias("f1"))
+        return metrics_of(t)
 
     wide = [*BENIGN, *RECOVERY, *RISKY]
     tiers = {**{x: "tier_benign" for x in BENIGN}, **{x: "tier_recovery" for x in RECOVERY}, **{x: "tier_risky" for x in RISKY}}
