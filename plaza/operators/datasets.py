@@ -41,9 +41,10 @@ def balanced(df: DataFrame, key: str, group: str, seed: str) -> DataFrame:
 def apportion(df: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """(key, n): ``total`` shared out by ``weight``, the largest remainders rounded up; a table of few rows."""
     whole = F.sum(weight).over(Window.partitionBy())
-    x = df.select(key, (F.col(weight) / whole * total).alias("want")).select(key, F.floor(F.col("want") + 1e-9).alias("base"), F.round(F.col("want") - F.floor(F.col("want") + 1e-9), 9).alias("rest"))
-    y = x.withColumns({"k": F.row_number().over(Window.orderBy(F.desc("rest"), key)), "left_over": total - F.sum("base").over(Window.partitionBy())})
-    return y.select(key, (F.col("base") + F.when(F.col("k") <= F.col("left_over"), 1).otherwise(0)).alias("n"))
+    x = df.select(key, (F.col(weight) / whole * total).alias("_want"))
+    x = x.select(key, F.floor(F.col("_want") + 1e-9).alias("_base"), F.round(F.col("_want") - F.floor(F.col("_want") + 1e-9), 9).alias("_rest"))
+    y = x.withColumns({"_k": F.row_number().over(Window.orderBy(F.desc("_rest"), key)), "_left": total - F.sum("_base").over(Window.partitionBy())})
+    return y.select(key, (F.col("_base") + F.when(F.col("_k") <= F.col("_left"), 1).otherwise(0)).alias("n"))
 
 
 def class_metrics(df: DataFrame) -> DataFrame:
