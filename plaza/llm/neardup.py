@@ -31,6 +31,8 @@ from plaza.operators.skew import collect_hot, lookup_join
 
 #: Rows of a band and bands: two records of similarity 0.7 meet with a chance of 0.999.
 BAND_ROWS, BANDS = 6, 56
+#: Bits of the sketch (one of each of so many signature values) by which pairs of a band are told from chance meetings.
+SKETCH = 128
 #: Tables one run may compare (ids must be below 2**55).
 MAX_TABLES = 256
 #: Ranks taken at once, and element tables kept by a task.
@@ -123,6 +125,18 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first SKETCH values, as 64-bit integers: equal in (1 + similarity) / 2 of the places."""
+    bits = (signature[:, :SKETCH] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_differing(similarity: float) -> int:
+    """Sketch bits in which a pair of this similarity differs at most, but for a chance of about one in a million."""
+    p = (1 - similarity) / 2
+    return int(np.floor(SKETCH * p + 4.75 * np.sqrt(SKETCH * p * (1 - p))))
+
+
 def word_set(text: Column, k: int = 1) -> Column:
     """Sorted 64-bit hashes of the distinct runs of ``k`` words (``a-z0-9``) of the lower-case text."""
     w = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -157,21 +171,26 @@ class NearDuplicates:
                     part = b.slice(i, 2048)
                     lists = part.column(2)
                     size = np.diff(lists.offsets.to_numpy())
-                    keys = band_keys(sign(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), size))
+                    signature = sign(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), size)
+                    keys, bits = band_keys(signature), np.repeat(sketches(signature), BANDS, axis=0)
                     at = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(keys.ravel())], ["table_name", "rep", "key"])
+                    cols = [part.column(0).take(at), part.column(1).take(at), pa.array(keys.ravel()), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+                    yield pa.RecordBatch.from_arrays(cols, ["table_name", "rep", "key", "s1", "s2"])
 
-        bands = self.classes.select("table_name", "rep", "words").mapInArrow(run, "table_name string, rep long, key long")
-        # A class goes by one number, so a band row is two longs; few keys are shared, and only these go on.
+        bands = self.classes.select("table_name", "rep", "words").mapInArrow(run, "table_name string, rep long, key long, s1 long, s2 long")
+        # A class goes by one number, so a band row is four longs; few keys are shared, and only these go on.
         names = sorted(r.table_name for r in self.classes.select("table_name").distinct().limit(MAX_TABLES + 1).collect())
         if len(names) > MAX_TABLES:
             raise ValueError(f"more than {MAX_TABLES} tables")
         code = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map()
-        bands = bands.select(F.xxhash64("table_name", "key").alias("key"), (F.col("rep") * MAX_TABLES + (code[F.col("table_name")] if names else F.lit(0))).alias("class"))
+        bands = bands.select(F.xxhash64("table_name", "key").alias("key"), (F.col("rep") * MAX_TABLES + (code[F.col("table_name")] if names else F.lit(0))).alias("class"), "s1", "s2")
         n = F.count(F.lit(1)).over(Window.partitionBy("key"))
         shared = cut(bands.withColumn("n", n).filter("n > 1").drop("n"), "bands")
-        left, right = shared.withColumnRenamed("class", "x"), shared.withColumnRenamed("class", "y")
-        pairs = left.join(right, "key").filter((F.col("x") < F.col("y")) & (F.pmod("x", F.lit(MAX_TABLES)) == F.pmod("y", F.lit(MAX_TABLES)))).select("x", "y").distinct()
+        left, right = shared.withColumnRenamed("class", "x"), shared.select("key", F.col("class").alias("y"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+        same = (F.col("x") < F.col("y")) & (F.pmod("x", F.lit(MAX_TABLES)) == F.pmod("y", F.lit(MAX_TABLES)))
+        # Most meetings in a band are by chance; the sketches end them before any pair is written.
+        differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+        pairs = left.join(right, "key").filter(same & (differ <= most_differing(self.num / self.den))).select("x", "y").distinct()
         name = F.get(F.array(*[F.lit(n) for n in names] or [F.lit("")]), F.pmod("x", F.lit(MAX_TABLES)).cast("int"))
         rep = lambda c: F.expr(f"({c} - pmod({c}, {MAX_TABLES})) div {MAX_TABLES}")
         return pairs.select(name.alias("table_name"), rep("x").alias("a"), rep("y").alias("b"))
