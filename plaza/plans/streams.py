@@ -45,7 +45,7 @@ def register(reg: Registry) -> None:
     def like_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows(spark, sf_dir, "l").filter("post_id IS NOT NULL").select("user_id", "post_id").distinct().groupBy("post_id").agg(F.count("*").alias("num_likes"))
 
-    @reg.add("timed_events_active", f"WITH {_TIMED}, s AS (SELECT name, archetype, strength, unnest(range(first, first + steps)) AS step FROM tm) SELECT CAST(step AS INTEGER) AS step, archetype, round(sum(strength), 6) AS total, max(strength) AS strongest, string_agg(name, ',' ORDER BY name) AS names FROM s GROUP BY ALL")
+    @reg.add("timed_events_active", f"WITH {_TIMED}, s AS (SELECT name, archetype, strength, unnest(range(first, first + steps)) AS step FROM tm) SELECT CAST(step AS INTEGER) AS step, archetype, round(CAST(sum(strength) AS DOUBLE), 6) AS total, CAST(max(strength) AS DOUBLE) AS strongest, string_agg(name, ',' ORDER BY name) AS names FROM s GROUP BY ALL")
     def timed_events_active(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = timed(spark).select("name", "archetype", "strength", F.explode(F.sequence("first", F.col("first") + F.col("steps") - 1)).alias("step"))
         return s.groupBy("step", "archetype").agg(F.round(F.sum("strength"), 6).alias("total"), F.max("strength").cast("double").alias("strongest"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
