@@ -53,10 +53,13 @@ def categories(c: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array(F.lit("benign")))
 
 
-def confidence(c: Column) -> Column:
-    """By density of matches; 0.8 where there are none."""
-    words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    n = matches(c)
+def n_words(c: Column) -> Column:
+    """Number of words between white space."""
+    return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+
+
+def confidence(n: Column, words: Column) -> Column:
+    """By density of the ``n`` matches; 0.8 where there are none."""
     return F.when(n == 0, 0.8).otherwise(F.least(F.lit(0.9), 0.3 + F.try_divide(n, words) * 2))
 
 
