@@ -41,3 +41,15 @@ def uniform(*keys: Column) -> Column:
 def hash_order(seed: str, key: Column) -> Column:
     """A random-looking but fixed order of keys."""
     return F.md5(F.concat(F.lit(seed + ":"), key.cast("string")))
+
+
+def distinct_draw(n: Column, k: int, *keys: Column) -> Column:
+    """``k`` distinct numbers of 0..n-1 (all of them if there are no more) as an array, drawn by hash of the keys: Floyd's sample."""
+    none = F.array().cast("array<bigint>")
+
+    def take(drawn: Column, j: Column) -> Column:
+        x = F.pmod(F.xxhash64(*keys, j), j + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, x), j).otherwise(x)))
+
+    n = n.cast("long")
+    return F.when(n > 0, F.aggregate(F.sequence(F.greatest(n - k, F.lit(0)), n - 1), none, take)).otherwise(none)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaza.operators.rank import top_per_group
+from plaza.functions.hashing import distinct_draw
+from plaza.operators.rank import grouped_rank, top_per_group
 
 
 def search(df: DataFrame, needle: str, texts: list[str], ids: list[str]) -> DataFrame:
@@ -61,3 +62,12 @@ def matrix(users: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     lists = t.groupBy("user_id").agg(F.array_sort(F.collect_list("post_id")).alias("ids"))
     kind = pairs.schema["post_id"].dataType.simpleString()
     return users.select("user_id").distinct().join(lists, "user_id", "left").select("user_id", F.coalesce("ids", F.array().cast(f"array<{kind}>")).alias("ids"))
+
+
+def random_posts(users: DataFrame, posts: DataFrame, k: int, seed: int) -> DataFrame:
+    """(user_id, post_id): for each user ``k`` different posts drawn by hash, or all where there are no more."""
+    ranked = grouped_rank(posts.select("post_id").distinct().withColumn("one", F.lit(0)), ["one"], [F.col("post_id").asc()], "k").select("k", "post_id")
+    n = ranked.agg(F.count("*").alias("n"))
+    draw = distinct_draw(F.col("n"), k, F.lit(seed), F.col("user_id"))
+    drawn = users.select("user_id").distinct().join(F.broadcast(n)).select("user_id", F.explode(draw).alias("k"))
+    return drawn.join(ranked, "k").select("user_id", "post_id")

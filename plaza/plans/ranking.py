@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plaza.functions.hashing import hash_order
 from plaza.functions.scores import hot_score
-from plaza.operators.feeds import matrix
+from plaza.operators.feeds import matrix, random_posts
 from plaza.operators.rank import top_per_group
 from plaza.operators.search import nearest
 from plaza.operators.tfidf import hits, search, weights
@@ -17,6 +17,8 @@ from plaza.sources.tables import table
 
 #: Texts searched for in the corpus.
 QUERIES = ["noisy kettle market", "vaccine paperwork", "recovery journals and sleep", "community radio telescope", "thermostat footbridge", "indie games", "exam stress", "fact checking search rankings"]
+#: Posts that a user is recommended, as orchestrator/run_simulation.py of the reference has it.
+REC_LEN = 5
 _Q = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUERIES))
 _TFIDF = """
 t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: length(w) > 1)) AS term FROM d),
@@ -63,6 +65,10 @@ def register(reg: Registry) -> None:
     def rec_random(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows(spark, sf_dir, "u").filter("user_id % 20 = 0").select("user_id", hash_order("11", F.col("user_id")).alias("draw"))
 
+    @reg.add("rec_random_posts")
+    def rec_random_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return random_posts(rows(spark, sf_dir, "u"), rows(spark, sf_dir, "p"), REC_LEN, 11)
+
     @reg.add("vector_search", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, r.vec_id AS id, list_cosine_similarity(q.e, r.e) AS c FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id) SELECT query, id, round(c, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, id) AS rank FROM s) WHERE rank <= 5")
     def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
