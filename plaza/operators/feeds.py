@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaza.functions.hashing import distinct_draw
+from plaza.functions.hashing import distinct_draw, hash_order
+from plaza.lineage import cut
 from plaza.operators.rank import grouped_rank, top_per_group
+from plaza.operators.skew import collect_hot, lookup_join, spread_join
 
 
 def search(df: DataFrame, needle: str, texts: list[str], ids: list[str]) -> DataFrame:
@@ -71,3 +73,26 @@ def random_posts(users: DataFrame, posts: DataFrame, k: int, seed: int) -> DataF
     draw = distinct_draw(F.col("n"), k, F.lit(seed), F.col("user_id"))
     drawn = users.select("user_id").distinct().join(F.broadcast(n)).select("user_id", F.explode(draw).alias("k"))
     return drawn.join(ranked, "k").select("user_id", "post_id")
+
+
+def refresh(rec: DataFrame, posts: DataFrame, follows: DataFrame, n_rec: int, n_following: int) -> DataFrame:
+    """(user_id, post_id): ``n_rec`` posts of each user's list ``rec`` drawn by hash, and their ``n_following`` most liked of followed authors; each once."""
+    drawn = rec.withColumn("_h", hash_order("refresh", F.concat_ws(":", "user_id", "post_id")))
+    drawn = top_per_group(drawn, ["user_id"], [F.asc("_h"), F.asc("post_id")], n_rec).select("user_id", "post_id")
+    followed = following_feed(posts, follows, n_following).select(F.col("follower_id").alias("user_id"), "post_id")
+    return drawn.unionByName(followed).distinct()
+
+
+def with_comments(feed: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """A row for each comment on each post of ``feed`` (user_id, post_id), and one with null comment columns for posts without any.
+
+    A repost shows the content and the comments of the post it repeats.
+    """
+    p = roots(posts).select("post_id", "root_id", F.col("user_id").alias("author_id"))
+    shown = posts.select(F.col("post_id").alias("root_id"), "content", "quote_content", "created_at", "num_likes", "num_dislikes", "num_shares")
+    p = cut(lookup_join(p, shown, ["root_id"], collect_hot(p, ["root_id"]), ["post_id"]), "shown")
+    feed = cut(feed, "feed")
+    feed = cut(lookup_join(feed, p, ["post_id"], collect_hot(feed, ["post_id"]), ["user_id"]).filter("root_id IS NOT NULL"), "feed")
+    c = comments.select(F.col("post_id").alias("root_id"), "comment_id", F.col("user_id").alias("comment_author_id"), F.col("content").alias("comment"))
+    hot = collect_hot(feed, ["root_id"]) + collect_hot(c, ["root_id"])
+    return spread_join(feed, c, ["root_id"], hot, ["user_id"], "left")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Keys above this share of the rows are hot; there can be no more than 1/HOT_SHARE of them.
 HOT_SHARE = 0.005
+#: Tasks that share the rows of a hot key where both sides have several rows a key.
+SPREAD = 32
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
@@ -48,6 +50,23 @@ def lookup_join(
     return out
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: list[tuple], spread: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join of tables that may both have several rows a key.
+
+    Rows of ``left`` with a hot key (``hot_rows``, as of ``collect_hot``) are
+    spread by a salt made of the columns ``spread``; their partners are repeated
+    for each of the SPREAD salts, so no task pairs all rows of a hot key.
+    """
+    if not hot_rows:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot_rows, left.select(*keys).schema).distinct().withColumn("_is_hot", F.lit(True)))
+    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*spread), F.lit(SPREAD)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_is_hot")
+    right = right.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_is_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def collect_hot(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:
     """The hot keys as rows on the driver: fewer than ``1 / share``."""
     return [tuple(r) for r in hot_keys(df, keys, share).collect()]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plaza.functions.hashing import hash_order
 from plaza.functions.scores import hot_score
-from plaza.operators.feeds import matrix, random_posts
+from plaza.lineage import cut
+from plaza.operators.feeds import matrix, random_posts, refresh, with_comments
 from plaza.operators.rank import top_per_group
 from plaza.operators.search import nearest
 from plaza.operators.tfidf import hits, search, weights
@@ -17,8 +18,8 @@ from plaza.sources.tables import table
 
 #: Texts searched for in the corpus.
 QUERIES = ["noisy kettle market", "vaccine paperwork", "recovery journals and sleep", "community radio telescope", "thermostat footbridge", "indie games", "exam stress", "fact checking search rankings"]
-#: Posts that a user is recommended, as orchestrator/run_simulation.py of the reference has it.
-REC_LEN = 5
+#: Posts that a user is recommended, and those shown at a refresh from that list and from followed authors, as orchestrator/run_simulation.py of the reference has them.
+REC_LEN, REFRESH_REC, REFRESH_FOLLOWING = 5, 3, 2
 _Q = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUERIES))
 _TFIDF = """
 t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: length(w) > 1)) AS term FROM d),
@@ -165,6 +166,12 @@ def register(reg: Registry) -> None:
         u = rows(spark, sf_dir, "u").filter("user_id % 20 = 0").select("user_id").join(feed)
         return u.select("user_id", F.inline("feed")).filter("user_id <> author_id").select("user_id", "post_id")
 
+    @reg.add("feed_refresh_comments")
+    def feed_refresh_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = cut(rows(spark, sf_dir, "p"), "posts")
+        rec = random_posts(rows(spark, sf_dir, "u"), p, REC_LEN, 11)
+        return with_comments(refresh(rec, p, rows(spark, sf_dir, "f"), REFRESH_REC, REFRESH_FOLLOWING), p, rows(spark, sf_dir, "c"))
+
     @reg.add("kmeans_clusters")
     def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         from pyspark.ml.clustering import KMeans

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from plaza.operators.feeds import random_posts
+from plaza.operators.feeds import random_posts, refresh, with_comments
+from plaza.operators.skew import spread_join
 from plaza.sources.domain import rows
 
 DIR = "/root/testdata/sf0.001"
@@ -38,3 +39,46 @@ def test_random_posts_without_repeats(spark, n):
     assert len(got) == len(set(got)) == 400 * min(n, 4)
     if n == 40:
         assert all(15 <= c <= 75 for c in Counter(p for _, p in got).values())  # 40 expected
+
+
+def test_feed_refresh_serves_every_user(spark):
+    got, shown = set(), defaultdict(set)
+    for r in run(spark, "feed_refresh_comments"):
+        got.add((r.user_id, r.post_id))
+        shown[r.root_id].add(r.comment_id)
+    rec = {tuple(r) for r in run(spark, "rec_random_posts")}
+    liked = {(r.post_id, r.user_id): r.num_likes for r in rows(spark, DIR, "p").collect()}
+    follows = {(r.follower_id, r.followee_id) for r in rows(spark, DIR, "f").collect() if r.followee_id is not None}
+    comments = defaultdict(set)
+    for r in rows(spark, DIR, "c").collect():
+        comments[r.post_id].add(r.comment_id)
+    users = ids(spark, "u", "user_id")
+    assert {u for u, _ in got} >= users
+    best = defaultdict(list)
+    for u, a in follows:
+        best[u] += [(-n, p) for (p, w), n in liked.items() if w == a]
+    best = {(u, p) for u, x in best.items() for _, p in sorted(x)[:2]}
+    assert best <= got
+    assert got - best <= rec
+    assert all(sum(x in got for x in rec if x[0] == u) >= 3 for u in list(users)[:20])
+    assert all(c == comments[p] or (c == {None} and not comments[p]) for p, c in shown.items())
+
+
+def test_refresh_on_literal_tables(spark):
+    post = "post_id long, user_id long, original_post_id long, content string, quote_content string, created_at timestamp_ntz, num_likes int, num_dislikes int, num_shares int"
+    posts = spark.createDataFrame([(1, 10, None, "a", None, None, 5, 0, 0), (2, 10, None, "b", None, None, 9, 0, 0), (3, 11, 1, None, None, None, 1, 0, 0), (4, 12, None, "d", None, None, 7, 0, 0)], post)
+    comments = spark.createDataFrame([(50, 1, 20, "x"), (51, 1, 21, "y"), (52, 4, 20, "z")], "comment_id long, post_id long, user_id long, content string")
+    follows = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (2, None)], "follower_id long, followee_id long")
+    rec = spark.createDataFrame([(1, 2), (1, 4), (3, 2)], "user_id long, post_id long")
+    feed = refresh(rec, posts, follows, 5, 1)
+    assert sorted(tuple(r) for r in feed.collect()) == [(1, 2), (1, 4), (2, 3), (3, 2)]
+    got = {(r.user_id, r.post_id, r.root_id, r.content, r.comment_id) for r in with_comments(feed, posts, comments).collect()}
+    assert got == {(1, 2, 2, "b", None), (1, 4, 4, "d", 52), (2, 3, 1, "a", 50), (2, 3, 1, "a", 51), (3, 2, 2, "b", None)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_of_hot_keys(spark, how):
+    left = spark.createDataFrame([(i, i % 5 if i < 50 else 1) for i in range(120)] + [(900, 77), (901, None)], "a long, k long")
+    right = spark.createDataFrame([(i, i % 4) for i in range(30)], "b long, k long")
+    order = lambda df: sorted(tuple(str(x) for x in r) for r in df.select("k", "a", "b").collect())
+    assert order(spread_join(left, right, ["k"], [(1,), (77,), (1,)], ["a"], how)) == order(left.join(right, ["k"], how))
