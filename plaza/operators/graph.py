@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plaza.lineage import cut
+from plaza.operators.skew import collect_hot, spread_join
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b), a < b: each pair of linked nodes once, without loops."""
@@ -38,3 +41,16 @@ def assortativity(pairs: DataFrame, degree: DataFrame) -> DataFrame:
     e = pairs.join(d("a"), "a").join(d("b"), "b")
     both = e.select("d_a", "d_b").union(e.select("d_b", "d_a"))
     return both.agg(F.corr("d_a", "d_b").alias("assortativity"))
+
+
+def two_hop(edges: DataFrame) -> DataFrame:
+    """(s, t, common): pairs with a node between them (s -> via -> t), not linked and not the same, and the number of such nodes.
+
+    Edges into a hot middle node are spread by salt; the counts are combined before the shuffle.
+    """
+    e = cut(edges.filter("src <> dst").distinct(), "edges")
+    first = e.select(F.col("src").alias("s"), F.col("dst").alias("via"))
+    second = e.select(F.col("src").alias("via"), F.col("dst").alias("t"))
+    hot = collect_hot(first, ["via"]) + collect_hot(second, ["via"])
+    hop = spread_join(first, second, ["via"], hot, ["s"]).filter("t <> s").groupBy("s", "t").agg(F.count("*").alias("common"))
+    return hop.join(e.select(F.col("src").alias("s"), F.col("dst").alias("t")), ["s", "t"], "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plaza.lineage import cut
-from plaza.operators.graph import assortativity, degrees, triangles, undirected
+from plaza.operators.graph import assortativity, degrees, triangles, two_hop, undirected
 from plaza.operators.rank import grouped_rank
 from plaza.operators.skew import collect_hot, lookup_join
 from plaza.plans.hierarchies import _TREE, tree
@@ -95,6 +95,10 @@ def register(reg: Registry) -> None:
         hop = first.join(e.select(F.col("src").alias("via"), F.col("dst").alias("t")), "via").filter("t <> s").groupBy("s", "t").agg(F.count("*").alias("common"))
         return hop.join(e.select(F.col("src").alias("s"), F.col("dst").alias("t")), ["s", "t"], "left_anti")
 
+    @reg.add("two_hop_links", with_sql("f", "e AS (SELECT DISTINCT follower_id AS s, followee_id AS t FROM f WHERE follower_id <> followee_id)", "w AS (SELECT x.s, y.t, count(*) AS common FROM e x JOIN e y ON x.t = y.s WHERE y.t <> x.s GROUP BY ALL)") + "SELECT w.s, w.t, w.common FROM w LEFT JOIN e ON w.s = e.s AND w.t = e.t WHERE e.s IS NULL")
+    def two_hop_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return two_hop(follow_edges(spark, sf_dir))
+
     @reg.add("interaction_edges", with_sql("plc", _INTER.strip()) + "SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM iw")
     def interaction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return interactions(spark, sf_dir)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 import __spark_entry__ as entry
 from plaza.operators.feeds import random_posts, refresh, with_comments
+from plaza.operators.graph import two_hop
 from plaza.operators.skew import spread_join
 from plaza.sources.domain import rows
 
@@ -82,3 +84,23 @@ def test_spread_join_of_hot_keys(spark, how):
     right = spark.createDataFrame([(i, i % 4) for i in range(30)], "b long, k long")
     order = lambda df: sorted(tuple(str(x) for x in r) for r in df.select("k", "a", "b").collect())
     assert order(spread_join(left, right, ["k"], [(1,), (77,), (1,)], ["a"], how)) == order(left.join(right, ["k"], how))
+
+
+def brute_two_hop(edges):
+    e = {(a, b) for a, b in edges if a is not None and b is not None and a != b}
+    return Counter((a, d) for a, b in e for c, d in e if b == c and a != d and (a, d) not in e)
+
+
+def test_two_hop_links_of_every_source(spark):
+    edges = [(r.follower_id, r.followee_id) for r in rows(spark, DIR, "f").collect()]
+    got = {(r.s, r.t): r.common for r in run(spark, "two_hop_links")}
+    assert got == brute_two_hop(edges)
+    assert any(s % 20 for s, _ in got)
+
+
+def test_two_hop_with_a_hot_middle_node(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(200)] + [(i, 0) for i in range(60)] * 2 + [(0, i) for i in range(30, 40)] + [(1, None), (None, 2)]
+    got = {(r.s, r.t): r.common for r in two_hop(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == brute_two_hop(edges)
+    assert two_hop(spark.createDataFrame([], "src long, dst long")).count() == 0
