@@ -96,3 +96,14 @@ def with_comments(feed: DataFrame, posts: DataFrame, comments: DataFrame) -> Dat
     c = comments.select(F.col("post_id").alias("root_id"), "comment_id", F.col("user_id").alias("comment_author_id"), F.col("content").alias("comment"))
     hot = collect_hot(feed, ["root_id"]) + collect_hot(c, ["root_id"])
     return spread_join(feed, c, ["root_id"], hot, ["user_id"], "left")
+
+
+def matrix_rows(users: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(user_id, position, post_id): all posts of ``pairs`` of each user in order of id, from 0; one row of nulls for users with none."""
+    ranked = grouped_rank(pairs.select("user_id", "post_id").dropna().distinct(), ["user_id"], [F.col("post_id").asc()], "position")
+    ranked = cut(ranked, "matrix")
+    u = users.select("user_id").distinct()
+    known = lookup_join(ranked, u.withColumn("_known", F.lit(True)), ["user_id"], collect_hot(ranked, ["user_id"]), ["post_id"]).filter("_known")
+    none = u.join(ranked.select("user_id").distinct(), "user_id", "left_anti")
+    nulls = [F.lit(None).cast(ranked.schema[c].dataType).alias(c) for c in ("position", "post_id")]
+    return known.select("user_id", "position", "post_id").unionByName(none.select("user_id", *nulls))

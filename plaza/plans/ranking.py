@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plaza.functions.hashing import hash_order
 from plaza.functions.scores import hot_score
 from plaza.lineage import cut
-from plaza.operators.feeds import matrix, random_posts, refresh, with_comments
+from plaza.operators.feeds import matrix, matrix_rows, random_posts, refresh, with_comments
 from plaza.operators.rank import top_per_group
 from plaza.operators.search import nearest
 from plaza.operators.tfidf import hits, search, weights
@@ -136,6 +136,10 @@ def register(reg: Registry) -> None:
         m = matrix(rows(spark, sf_dir, "u"), rows(spark, sf_dir, "l").select("user_id", "post_id"), 50)
         return m.select("user_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("posts"))
 
+    @reg.add("rec_matrix_rows", with_sql("ul", "t AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id) - 1 AS position FROM (SELECT DISTINCT user_id, post_id FROM l WHERE post_id IS NOT NULL))") + "SELECT u.user_id, t.position, t.post_id FROM u LEFT JOIN t ON u.user_id = t.user_id")
+    def rec_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return matrix_rows(rows(spark, sf_dir, "u"), rows(spark, sf_dir, "l"))
+
     @reg.add("tfidf_weights", with_sql("d", _TFIDF.strip()) + "SELECT doc_id, term, round(w, 6) AS weight, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS k FROM w) WHERE k <= 10")
     def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         w, _ = weights(rows(spark, sf_dir, "d"), "doc_id", "text")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from plaza.operators.feeds import random_posts, refresh, with_comments
+from plaza.operators.feeds import matrix_rows, random_posts, refresh, with_comments
 from plaza.operators.graph import two_hop
 from plaza.operators.skew import spread_join
 from plaza.sources.domain import rows
@@ -104,3 +104,20 @@ def test_two_hop_with_a_hot_middle_node(spark):
     got = {(r.s, r.t): r.common for r in two_hop(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == brute_two_hop(edges)
     assert two_hop(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_matrix_rows_hold_lists_of_any_length(spark):
+    pairs = [(1, p) for p in range(300)] * 2 + [(2, 5), (2, None), (None, 5), (9, 1)]
+    users = spark.createDataFrame([(1,), (2,), (3,), (3,)], "user_id long")
+    pairs = [(u, p, None) for u, p in pairs]  # other columns may be null
+    got = {tuple(r) for r in matrix_rows(users, spark.createDataFrame(pairs, "user_id long, post_id long, created_at timestamp_ntz")).collect()}
+    assert got == {(1, p, p) for p in range(300)} | {(2, 0, 5), (3, None, None)}
+
+
+def test_rec_matrix_rows_keep_every_pair(spark):
+    likes = {(r.user_id, r.post_id) for r in rows(spark, DIR, "l").collect() if r.user_id is not None and r.post_id is not None}
+    users = ids(spark, "u", "user_id")
+    got = [(r.user_id, r.post_id) for r in run(spark, "rec_matrix_rows")]
+    assert len(got) == len(set(got))
+    assert {x for x in got if x[1] is not None} == {x for x in likes if x[0] in users}
+    assert {u for u, _ in got} == users
