@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plaza.functions.hashing import md5_choice
 from plaza.operators.rank import top_per_group
 
 
@@ -37,3 +38,33 @@ def hits(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
 def search(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` best documents of each query."""
     return top_per_group(hits(docs, key, text, queries), ["query_id"], [F.desc("score"), F.asc(key)], k)
+
+
+def best_phrases(docs: DataFrame, key: str, text: str, bank: DataFrame) -> DataFrame:
+    """(key, position, token, phrase): for each ``<LBL:...>`` token of a text the phrase of ``bank`` (token, at, phrase) closest to that text.
+
+    Each token's phrases are a corpus of their own, with all terms; the best
+    cosine wins, ties and texts without a common term go to the first phrase.
+    Tokens whose phrases have no terms take one by hash, tokens without phrases
+    stand for themselves.  The bank is a small fixed table and is broadcast.
+    """
+    terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w\w+)"), F.lit(1))
+    tokens = F.regexp_extract_all(F.col(text), F.lit("<(LBL:[A-z0-9_]+)>"), F.lit(1))
+    sizes = bank.groupBy("token").agg(F.count("*").alias("n"))
+    tf = bank.select("token", "at", F.explode(terms(F.col("phrase"))).alias("term")).groupBy("token", "at", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("token", "term").agg(F.count("*").alias("df")).join(sizes, "token")
+    idf = df.select("token", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(idf, ["token", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    length = raw.groupBy("token", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    # The length of the text is the same for all phrases of a token, so it is left out.
+    w = raw.join(length, ["token", "at"]).select("token", "term", "at", (F.col("w") / F.col("length") * F.col("idf")).alias("w"))
+    found = docs.filter(F.size(tokens) > 0).select(key, F.explode(F.array_distinct(tokens)).alias("token"), terms(F.col(text)).alias("_terms"))
+    found = found.select(key, "token", F.explode("_terms").alias("term")).groupBy(key, "token", "term").agg(F.count("*").alias("tf"))
+    score = found.join(F.broadcast(w), ["token", "term"]).groupBy(key, "token", "at").agg(F.round(F.sum(F.col("tf") * F.col("w")), 9).alias("score"))
+    best = score.groupBy(key, "token").agg(F.max(F.struct("score", (-F.col("at")).alias("_at"))).alias("_best")).select(key, "token", (-F.col("_best._at")).alias("_best"))
+    known = sizes.join(w.select("token").distinct().withColumn("_terms", F.lit(True)), "token", "left")
+    all_tokens = docs.filter(F.size(tokens) > 0).select(key, F.posexplode(tokens).alias("position", "token")).join(F.broadcast(known), "token", "left").join(best, [key, "token"], "left")
+    drawn = md5_choice(F.concat_ws("-", F.col(key).cast("string"), "token"), F.col("n"))
+    at = F.when(F.col("_terms"), F.coalesce("_best", F.lit(0))).otherwise(drawn).cast("int")
+    out = all_tokens.withColumn("at", at).join(F.broadcast(bank), ["token", "at"], "left")
+    return out.select(key, "position", "token", F.coalesce("phrase", F.concat(F.lit("<"), "token", F.lit(">"))).alias("phrase"))

@@ -9,7 +9,7 @@ from plaza.functions.hashing import hash_order, seed32, uniform
 from plaza.lineage import cut
 from plaza.operators.datasets import split
 from plaza.operators.rank import grouped_rank, top_per_group
-from plaza.operators.tfidf import hits
+from plaza.operators.tfidf import best_phrases, hits
 from plaza.plans.datasets import label
 from plaza.plans.ranking import _SEARCH, QUERIES, query_frame
 from plaza.plans.reports import _LABEL
@@ -21,6 +21,13 @@ from plaza.sources.tables import table
 SECOND = {"diet": r"calorie|weigh|meal planning", "health": r"vaccine|blood test|recovery", "politics": r"election|press freedom|fact checking", "play": r"speedrunning|indie games|e-sports"}
 #: Extra shares of the stages drawn for personas.
 STAGES = [("curious", 0.5), ("active", 0.3), ("entrenched", 0.2)]
+#: Phrases of the label tokens that the tables hold, from data/label_tokens_static_bank.yaml of the reference.
+BANK = {
+    "LBL:MISINFO_CLAIM": ["experts are hiding the real numbers", "they don't want you to know the truth", "mainstream media censors all dissent", "wake up, the evidence is right there", "do your own research, it's obvious", "independent analysts proved it months ago", "peer reviews are being suppressed", "the data got 'corrected' after backlash", "insiders leaked documents contradicting the narrative", "they changed definitions to fit the agenda", "whistleblowers are silenced or ignored", "big platforms shadow-ban inconvenient facts", "the official story has too many holes", "coincidentally all the evidence disappeared", "fact-checkers are compromised", "they memory-holed the original reports", "the numbers don't add up if you look closely", "alternative sources tell a different story", "the narrative keeps shifting suspiciously", "they're gaslighting the entire population"],
+    "LBL:SUPPORTIVE": ["sending you strength—take it one step at a time", "you're not alone; we're here for you", "progress isn't linear, but it's still progress", "be gentle with yourself today", "proud of you for speaking up and sharing", "it's okay to ask for help—that's real courage", "small steps count; keep going", "you deserve support and respect", "thank you for your honesty; it helps others too", "healing takes time—stay patient with yourself", "celebrating the little wins with you", "we're rooting for you; you've got this", "your feelings are valid and heard", "reaching out takes strength", "you matter more than you know", "this community has your back", "take care of yourself first", "recovery looks different for everyone"],
+    "LBL:GATEKEEPING": ["real fans know the difference", "casuals ruining everything as usual", "you're not a true fan if you don't know this", "the community was better before they showed up", "gatekeeping exists for a reason", "fake fans need to be called out", "you haven't earned the right to an opinion", "bandwagon fans are the worst", "prove you're actually part of the community", "tourists need to leave", "you don't belong here", "real ones remember when...", "normies are ruining everything", "this isn't for you, move along", "you haven't put in the time"],
+    "LBL:BENIGN": ["just sharing some thoughts", "interesting perspective on this", "thanks for the discussion", "good points all around", "appreciate the conversation", "that's a fair take", "makes you think", "hadn't considered that angle", "solid point there", "worth discussing further", "reasonable take honestly", "can see both sides here", "food for thought", "fair enough", "interesting to consider"],
+}
 _UNI = "CAST('0x' || substr(sha256('{seed}:' || {key}), 1, 8) AS BIGINT) / 4294967296.0"
 
 
@@ -74,6 +81,11 @@ def register(reg: Registry) -> None:
         pick = F.pmod(seed32(F.lit("phrase"), F.col("post_id").cast("string")), F.lit(len(QUERIES))).cast("int")
         return rows(spark, sf_dir, "p").filter(F.col("content").contains("LBL:")).select("post_id", F.get(F.array(*[F.lit(q) for q in QUERIES]), pick).alias("phrase"))
 
+    @reg.add("phrase_by_text")
+    def phrase_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bank = spark.createDataFrame([(t, i, x) for t, phrases in BANK.items() for i, x in enumerate(phrases)], "token string, at int, phrase string")
+        return best_phrases(rows(spark, sf_dir, "p"), "post_id", "content", bank)
+
     @reg.add("coarse_sample", with_sql("p") + "SELECT post_id FROM p ORDER BY md5('coarse:' || post_id), post_id LIMIT 400")
     def coarse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows(spark, sf_dir, "p").select("post_id").orderBy(hash_order("coarse", F.col("post_id")), "post_id").limit(400)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -11,6 +14,8 @@ import __spark_entry__ as entry
 from plaza.operators.feeds import matrix_rows, random_posts, refresh, with_comments
 from plaza.operators.graph import two_hop
 from plaza.operators.skew import spread_join
+from plaza.operators.tfidf import best_phrases
+from plaza.plans.extras import BANK
 from plaza.sources.domain import rows
 
 DIR = "/root/testdata/sf0.001"
@@ -121,3 +126,36 @@ def test_rec_matrix_rows_keep_every_pair(spark):
     assert len(got) == len(set(got))
     assert {x for x in got if x[1] is not None} == {x for x in likes if x[0] in users}
     assert {u for u, _ in got} == users
+
+
+def brute_phrase(bank, token, text, key):
+    phrases = bank.get(token, [])
+    if not phrases:
+        return f"<{token}>"
+    split = lambda x: Counter(re.findall(r"\w\w+", x.lower()))
+    docs = [split(x) for x in phrases]
+    df = Counter(t for d in docs for t in d)
+    if not df:
+        return phrases[int(hashlib.md5(f"{key}-{token}".encode()).hexdigest(), 16) % len(phrases)]
+    idf = {t: math.log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items()}
+    context = split(text)
+    dot = lambda d: sum(n * idf[t] ** 2 * context[t] for t, n in d.items())
+    score = [round(dot(d) / math.sqrt(sum((n * idf[t]) ** 2 for t, n in d.items())), 9) if d else 0 for d in docs]
+    return phrases[score.index(max(score))]
+
+
+def test_best_phrases_against_brute_force(spark):
+    bank = {"LBL:A": ["green tea and honey", "red wine", "tea tea pot", "na\u00efve tea"], "LBL:B": ["x", "y", "z"], "LBL:C": []}
+    texts = ["red pots <LBL:A> of wine", "tea pot <LBL:A> and <LBL:A> or <LBL:B>", "nothing <LBL:A>", "na\u00efve <LBL:A> <LBL:C> <LBL:D>", "no token, honey", None, "honey <LBL:B>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = spark.createDataFrame([(t, i, x) for t, v in bank.items() for i, x in enumerate(v)], "token string, at int, phrase string")
+    got = sorted(tuple(r) for r in best_phrases(docs, "id", "text", table).collect())
+    want = [(i, k, t, brute_phrase(bank, t, x, i)) for i, x in enumerate(texts) for k, t in enumerate(re.findall("<(LBL:[A-z0-9_]+)>", x or ""))]
+    assert got == want
+    assert got[0][3] == "red wine"
+
+
+def test_phrase_by_text_of_every_token(spark):
+    want = [(r.post_id, k, t, brute_phrase(BANK, t, r.content, r.post_id)) for r in rows(spark, DIR, "p").collect() for k, t in enumerate(re.findall("<(LBL:[A-z0-9_]+)>", r.content or ""))]
+    assert sorted(tuple(r) for r in run(spark, "phrase_by_text")) == sorted(want)
+    assert want
