@@ -10,6 +10,9 @@ from plaza.lineage import cut
 from plaza.operators.rank import grouped_rank, top_per_group
 from plaza.operators.skew import collect_hot, lookup_join, spread_join
 
+#: Primes above any number of posts taken as strides, so that steps of one stride meet each place once.
+STRIDES = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497]
+
 
 def search(df: DataFrame, needle: str, texts: list[str], ids: list[str]) -> DataFrame:
     """Rows in which ``needle`` occurs in a text (any case; ``%`` and ``_`` are wildcards) or in the digits of an id."""
@@ -107,3 +110,24 @@ def matrix_rows(users: DataFrame, pairs: DataFrame) -> DataFrame:
     none = u.join(ranked.select("user_id").distinct(), "user_id", "left_anti")
     nulls = [F.lit(None).cast(ranked.schema[c].dataType).alias(c) for c in ("position", "post_id")]
     return known.select("user_id", "position", "post_id").unionByName(none.select("user_id", *nulls))
+
+
+def swapped(pairs: DataFrame, posts: DataFrame, tenths: int, seed: int) -> DataFrame:
+    """(user_id, position, post_id, is_swapped): each user's whole list, ``tenths`` tenths of it (rounded down) replaced by other posts drawn by hash.
+
+    Which places are swapped is drawn by hash too.  The j-th swap of a user
+    takes the post j strides behind a start of the user's own in the ranked
+    posts, so no user draws a post twice; a draw may be in the list already.
+    """
+    ranked = cut(grouped_rank(posts.select("post_id").distinct().withColumn("one", F.lit(0)), ["one"], [F.col("post_id").asc()], "k").select("k", F.col("post_id").alias("new_id")), "posts")
+    n_posts = F.broadcast(ranked.agg(F.count("*").alias("_posts")))
+    t = grouped_rank(pairs.select("user_id", "post_id").dropna().distinct(), ["user_id"], [F.col("post_id").asc()], "position")
+    t = t.withColumn("_h", F.xxhash64(F.lit(seed), "user_id", "post_id"))
+    t = cut(grouped_rank(t, ["user_id"], [F.col("_h").asc(), F.col("post_id").asc()], "_j"), "lists")
+    sizes = t.groupBy("user_id").agg(F.floor(F.count("*") * tenths / 10).alias("_swaps"))
+    t = lookup_join(t, sizes, ["user_id"], collect_hot(t, ["user_id"]), ["post_id"])
+    keep = t.filter("_j >= _swaps").select("user_id", "position", "post_id", F.lit(False).alias("is_swapped"))
+    stride = F.get(F.array(*[F.lit(x) for x in STRIDES]), F.pmod(F.xxhash64(F.lit(seed + 1), "user_id"), F.lit(len(STRIDES))).cast("int")).cast("long")
+    swap = t.filter("_j < _swaps").join(n_posts).withColumn("k", F.pmod(F.pmod(F.xxhash64(F.lit(seed + 2), "user_id"), F.col("_posts")) + F.col("_j") * stride, F.col("_posts")))
+    swap = swap.join(ranked, "k", "left").select("user_id", "position", F.coalesce("new_id", "post_id").alias("post_id"), F.col("new_id").isNotNull().alias("is_swapped"))
+    return keep.unionByName(swap)

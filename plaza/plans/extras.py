@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plaza.functions.hashing import hash_order, seed32, uniform
 from plaza.lineage import cut
 from plaza.operators.datasets import split
+from plaza.operators.feeds import swapped
 from plaza.operators.rank import grouped_rank, top_per_group
 from plaza.operators.tfidf import best_phrases, hits
 from plaza.plans.datasets import label
@@ -96,6 +97,10 @@ def register(reg: Registry) -> None:
         swap = uniform(F.lit("swap"), F.col("user_id").cast("string"), F.col("rank").cast("string")) < 0.1
         return t.select("user_id", F.col("rank").cast("long").alias("rank"), F.when(swap, -F.col("post_id")).otherwise(F.col("post_id")).alias("post_id"))
 
+    @reg.add("diversity_swap_posts")
+    def diversity_swap_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return swapped(rows(spark, sf_dir, "l"), rows(spark, sf_dir, "p"), 1, 23)
+
     harm = "('extremist', 'hate_speech', 'bullying')"
 
     @reg.add("mixed_scenario", with_sql("k", f"t AS (SELECT persona_id, {_LABEL.format(x='primary_label')} AS label FROM k)", f"x AS (SELECT persona_id, CASE WHEN label IN {harm} THEN 'explicit' WHEN label IN ('incel_misogyny', 'conspiracy') THEN 'implicit' WHEN label = 'benign' THEN 'neutral' END AS kind FROM t)", "s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('mix:' || persona_id), persona_id) AS k FROM x WHERE kind IS NOT NULL)") + "SELECT persona_id, kind, CASE kind WHEN 'neutral' THEN 0 ELSE 1 END AS label FROM s WHERE k <= 20")

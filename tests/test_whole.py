@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from plaza.operators.feeds import matrix_rows, random_posts, refresh, with_comments
+from plaza.operators.feeds import matrix_rows, random_posts, refresh, swapped, with_comments
 from plaza.operators.graph import two_hop
 from plaza.operators.skew import spread_join
 from plaza.operators.tfidf import best_phrases
@@ -159,3 +159,29 @@ def test_phrase_by_text_of_every_token(spark):
     want = [(r.post_id, k, t, brute_phrase(BANK, t, r.content, r.post_id)) for r in rows(spark, DIR, "p").collect() for k, t in enumerate(re.findall("<(LBL:[A-z0-9_]+)>", r.content or ""))]
     assert sorted(tuple(r) for r in run(spark, "phrase_by_text")) == sorted(want)
     assert want
+
+
+def test_swapped_lists(spark):
+    lists = {1: range(40), 2: range(9), 3: range(10, 25), 4: range(600)}
+    pairs = spark.createDataFrame([(u, p, None) for u, x in lists.items() for p in x] + [(1, None, None), (None, 3, None)], "user_id long, post_id long, created_at timestamp_ntz")
+    posts = spark.createDataFrame([(p,) for p in range(1000, 1100)], "post_id long")
+    got = defaultdict(dict)
+    for r in swapped(pairs, posts, 1, 5).collect():
+        got[r.user_id][r.position] = (r.post_id, r.is_swapped)
+    assert set(got) == set(lists)
+    for u, x in lists.items():
+        assert sorted(got[u]) == list(range(len(x)))
+        new = [p for p, s in got[u].values() if s]
+        assert len(new) == len(set(new)) == len(x) // 10
+        assert all(1000 <= p < 1100 for p in new)
+        assert all(p == x[i] for i, (p, s) in got[u].items() if not s)
+    assert not any(s for r in [swapped(pairs, posts.limit(0), 1, 5)] for *_, s in r.collect())
+
+
+def test_diversity_swap_posts_draws_real_posts(spark):
+    likes = Counter(u for u, _ in {(r.user_id, r.post_id) for r in rows(spark, DIR, "l").collect() if r.user_id is not None and r.post_id is not None})
+    posts = ids(spark, "p", "post_id")
+    got = run(spark, "diversity_swap_posts")
+    assert Counter(r.user_id for r in got) == likes
+    assert Counter(r.user_id for r in got if r.is_swapped) == Counter({u: n // 10 for u, n in likes.items() if n >= 10})
+    assert all(r.post_id in posts for r in got if r.is_swapped)
