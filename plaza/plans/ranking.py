@@ -114,6 +114,12 @@ def register(reg: Registry) -> None:
         left = F.lit(271.8) - (F.col("newest") - F.col("vec_id")) / 20.0
         return scored(spark, sf_dir).withColumn("left", left).filter("left > 0").select("vec_id", "label", (F.round(F.col("base") * F.log(F.col("left") / 100), 6) + 0.0).alias("score"))
 
+    # The reference's ages are whole steps, so 0.8 is the least that it leaves; older items keep that weight and no row is dropped.
+    @reg.add("rec_recency_floor", score_sql + " SELECT s.vec_id, s.label, round(base * ln(greatest(271.8 - (newest - s.vec_id) / 20.0, 0.8) / 100), 6) + 0.0 AS score FROM s JOIN r ON s.label = r.label")
+    def rec_recency_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+        left = F.greatest(F.lit(271.8) - (F.col("newest") - F.col("vec_id")) / 20.0, F.lit(0.8))
+        return scored(spark, sf_dir).select("vec_id", "label", (F.round(F.col("base") * F.log(left / 100), 6) + 0.0).alias("score"))
+
     @reg.add("like_similarity", score_sql + " SELECT vec_id, round(liked, 6) + 0.0 AS similarity FROM s")
     def like_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scored(spark, sf_dir).select("vec_id", (F.round("liked", 6) + 0.0).alias("similarity"))
