@@ -8,8 +8,10 @@ exemplar's weight found in the window.  A document is residue where a residue
 exemplar is covered and no harmless exemplar explains the same place better.
 
 Slots of any template language (``{{name}}``, ``<your city>``, ``%(tone)s``,
-label tokens, ...) are one term of their own.  Filler is a run of words that
-all come from one bag.
+label tokens, ...) are one term of their own.  Bags of filler words are
+exemplars too: a place is filler where words of one bag fill a short window, of
+which one word may be another, and no harmless exemplar that names words of the
+bag explains the place better.
 
 Defined cases: null and blank texts are no residue; a text is read to its end
 whatever its length; repeated documents give one row each id; ties between a
@@ -23,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +147,7 @@ sample caption sample caption sample caption
 no content no content
 n a n a n a
 test test test please ignore
+lorem ipsum
 """
 
 #: Phrases in which someone only writes about such things.
@@ -160,7 +163,7 @@ the sign said access denied so we had lunch in instead
 the bot kept saying rate limit while
 """
 
-#: Bags of filler words; so many words in a row from one bag are filler.
+#: Bags of filler words; so many words of one bag, with at most one other among them, are filler.
 FILLER = [
     (
         4,
@@ -184,17 +187,21 @@ class Index:
     residue: np.ndarray
     size: np.ndarray
     member: np.ndarray
+    #: For each bag the least number of its words, and its terms.
+    bags: list[tuple[int, np.ndarray]] = field(default_factory=list)
 
     @classmethod
-    def of(cls, residue: list[str], harmless: list[str]) -> Index:
-        """The index of labelled exemplars."""
+    def of(cls, residue: list[str], harmless: list[str], filler: list[tuple[int, str]] | None = None) -> Index:
+        """The index of labelled exemplars and bags."""
         sets = [list(dict.fromkeys(x.split())) for x in [*residue, *harmless]]
-        terms = sorted({t for s in sets for t in s})
+        bags = [(n, list(dict.fromkeys(b.split()))) for n, b in filler or []]
+        terms = sorted({t for s in [*sets, *[b for _, b in bags]] for t in s})
         at = {t: i for i, t in enumerate(terms)}
         member = np.zeros((len(terms), len(sets)), bool)
         for e, s in enumerate(sets):
             member[[at[t] for t in s], e] = True
-        return cls(terms, np.arange(len(sets)) < len(residue), np.array([len(s) for s in sets]), member)
+        held = [(n, np.isin(np.arange(len(terms)), [at[t] for t in b])) for n, b in bags]
+        return cls(terms, np.arange(len(sets)) < len(residue), np.array([len(s) for s in sets]), member, held)
 
     def table(self) -> Table:
         """Term numbers by word hash."""
@@ -203,7 +210,7 @@ class Index:
 
 def default_index() -> Index:
     """The index of the exemplars above."""
-    return Index.of(RESIDUE.strip().split("\n"), HARMLESS.strip().split("\n"))
+    return Index.of(RESIDUE.strip().split("\n"), HARMLESS.strip().split("\n"), FILLER)
 
 
 _TAG = re.compile(rf"</?(?:{_HTML})\b[^<>\n]*>")
@@ -236,21 +243,17 @@ class Judge:
         for e in np.flatnonzero(index.residue):
             own = np.flatnonzero(index.member[:, e])
             self.anchor[own[np.argsort(-idf[own], kind="stable")][: (len(own) + 1) // 2]] = True
-        self.bags = [(n, Table(np.sort(np.array([word_hash(x) for x in dict.fromkeys(b.split())], np.uint64)), np.ones(len(set(b.split())), np.int8))) for n, b in FILLER]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """True for each text that holds residue."""
         w = words(analyse(texts))
         out = np.zeros(len(texts), bool)
-        for least, bag in self.bags:
-            run = bag.get(w.hash, 0).astype(bool)
-            run[1:] &= True
-            k = np.ones(len(run) - least + 1, bool) if len(run) >= least else np.zeros(0, bool)
-            for i in range(least):
-                k &= run[i : len(run) - least + 1 + i]
-            at = np.flatnonzero(k)
-            out[w.doc[at[w.doc[at] == w.doc[at + least - 1]]]] = True
         term = self.table.get(w.hash)
+        for least, bag in self.index.bags:
+            at = self._filled(w, term, least, bag)
+            for i in range(0, len(at), 4096):
+                part = at[i : i + 4096]
+                out[w.doc[part[~self._explained(w, term, part, bag)]]] = True
         anchors = np.flatnonzero((term >= 0) & self.anchor[term])
         anchors = anchors[~out[w.doc[anchors]]]
         for i in range(0, len(anchors), 4096):
@@ -259,6 +262,34 @@ class Judge:
             out[w.doc[part[hit]]] = True
         return out
 
+    def _filled(self, w: Words, term: np.ndarray, least: int, bag: np.ndarray) -> np.ndarray:
+        """First words of windows of ``least`` words, or one more, of which ``least`` are of the bag."""
+        own = (term >= 0) & bag[term]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        first = np.flatnonzero(own)
+        hit = np.zeros(len(first), bool)
+        for size in (least, least + 1):
+            ok = first + size <= len(term)
+            end = np.where(ok, first + size, 1)
+            hit |= ok & (upto[end] - upto[first] >= least) & (w.doc[end - 1] == w.doc[first])
+        return first[hit]
+
+    def _explained(self, w: Words, term: np.ndarray, at: np.ndarray, bag: np.ndarray) -> np.ndarray:
+        """True where a harmless exemplar that names words of the bag is covered and weighs as much as the bag's words there."""
+        ix, out = self.index, np.zeros(len(at), bool)
+        for e in np.flatnonzero(~ix.residue & ix.member[bag].any(0)):
+            radius = 2 * min(ix.size[e], 14) + 2
+            pos = at[:, None] + np.arange(-radius, radius + 1)[None, :]
+            ok = (pos >= 0) & (pos < len(term))
+            pos = np.clip(pos, 0, len(term) - 1)
+            t = np.where(ok & (w.doc[pos] == w.doc[at][:, None]), term[pos], -1)
+            rows, cols = np.nonzero(t >= 0)
+            held = np.zeros((len(at), len(ix.terms)), np.float32)
+            held[rows, t[rows, cols]] = 1
+            got = held @ self.weight[:, e]
+            out |= (got >= MIN_CONTAINMENT * self.total[e]) & (got >= held @ (bag * self.idf).astype(np.float32))
+        return out
+
     def _windows(self, w: Words, term: np.ndarray, at: np.ndarray) -> np.ndarray:
         ix, n = self.index, len(self.index.terms)
         hit = np.zeros(len(at), bool)
