@@ -32,19 +32,24 @@ def list_children(column: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     return parent, pa.array(ordinal.astype(np.int32)), values
 
 
-def flatten_lists(df: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
-    """(keys, field, ordinal, value): one row per element of each list column.
+def flatten_fields(df: DataFrame, keys: list[str], lists: dict[str, str], scalars: dict[str, str] | None = None) -> DataFrame:
+    """(keys, field, ordinal, value): one row per element of each list column, and per non-null value of each scalar column.
 
-    ``lists`` names the list-of-text columns and the field each fills.
+    ``lists`` and ``scalars`` name columns of lists of texts and of texts, and
+    the field each fills; the ordinal of a scalar is 0.
     """
-    rows = df.select(*keys, *lists)
-    fields = list(lists.values())
+    scalars = scalars or {}
+    rows = df.select(*keys, *lists, *scalars)
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("field", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("value", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, name in enumerate(fields):
-                parent, ordinal, values = list_children(b.column(len(keys) + i))
+            for i, name in enumerate([*lists.values(), *scalars.values()], len(keys)):
+                if i < len(keys) + len(lists):
+                    parent, ordinal, values = list_children(b.column(i))
+                else:
+                    parent = pa.array(np.flatnonzero(b.column(i).is_valid().to_numpy(zero_copy_only=False)))
+                    ordinal, values = pa.array(np.zeros(len(parent), np.int32)), b.column(i).take(parent)
                 if len(values):
                     held = [b.column(k).take(parent) for k in range(len(keys))]
                     field = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(values), np.int32)), pa.array([name])).dictionary_decode()
@@ -53,6 +58,11 @@ def flatten_lists(df: DataFrame, keys: list[str], lists: dict[str, str]) -> Data
     return rows.mapInArrow(run, schema)
 
 
+def flatten_lists(df: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
+    """(keys, field, ordinal, value): one row per element of each list column."""
+    return flatten_fields(df, keys, lists)
+
+
 def flatten_objects(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, ordinal, fields of the object): one row per object of a list-of-objects column."""
     rows = df.select(*keys, column)
@@ -75,11 +85,20 @@ def json_text(c: Column) -> Column:
     Takes off a surrounding JSON string, fences, a leading sentence and a list
     of one; text after the last brace is ignored.
     """
-    t = F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    quoted = F.get_json_object(F.concat(F.lit('{"x":'), t, F.lit("}")), "$.x")
-    t = F.when(t.startswith('"'), quoted).otherwise(t)
+    return _braced(_unwrapped(_trimmed(c)))
+
+
+def _trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def _unwrapped(t: Column) -> Column:
+    quoted = F.from_json(F.concat(F.lit('{"x":'), t, F.lit("}")), "x string")["x"]
     items = F.from_json(t, "array<string>")
-    t = F.when(t.startswith("["), F.when(F.size(items) == 1, F.get(items, F.lit(0)))).otherwise(t)
+    return F.when(t.startswith('"'), quoted).when(t.startswith("["), F.when(F.size(items) == 1, F.get(items, F.lit(0)))).otherwise(t)
+
+
+def _braced(t: Column) -> Column:
     return F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))
 
 
@@ -89,6 +108,24 @@ def parse_object(c: Column, fields: str) -> Column:
     return F.when(whole["_bad"].isNull(), whole)
 
 
+def parse_records(df: DataFrame, payload: str, keys: list[str], texts: list[str], blocks: dict[str, str]) -> DataFrame:
+    """(keys, texts, blocks): ``payload`` read once into its text fields ``texts`` and, by name, nested ``blocks``.
+
+    ``blocks`` maps a field of the record to the DDL of its fields; a block may
+    itself be JSON text.  Fields are null where the payload holds no whole
+    record.  Every step is a projection of its own that the next one uses more
+    than once, so no step is repeated for the columns that come of it; a filter
+    on the result would be pushed below and repeat them.
+    """
+    text = df.select(*keys, _trimmed(F.col(payload)).alias("_t")).withColumn("_u", _unwrapped(F.col("_t"))).drop("_t").withColumn("_o", _braced(F.col("_u")))
+    fields = ", ".join(f"`{x}` string" for x in [*texts, *blocks, "_bad"])
+    top = text.withColumn("_r", F.from_json("_o", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    whole = F.col("_r")["_bad"].isNull()
+    part = {x: F.when(whole, F.col("_r")[x]) for x in texts}
+    part |= {x: F.from_json(F.when(whole, F.col("_r")[x]), ddl) for x, ddl in blocks.items()}
+    return top.select(*keys, (whole & F.col("_r").isNotNull()).alias("whole"), *[c.alias(n) for n, c in part.items()])
+
+
 def text_list(c: Column, name: str = "name") -> Column:
     """A list of texts from a JSON value in any shape: an object counts by its ``name``, a single text is a list of one."""
     one = F.when(c.startswith("{"), F.get_json_object(c, f"$.{name}")).otherwise(c)

@@ -15,7 +15,7 @@ from plaza.operators import bloom
 from plaza.operators.components import connected_components
 from plaza.operators.graph import degrees, triangles, undirected
 from plaza.operators.hierarchy import descendants, hierarchy, walk
-from plaza.operators.nested import blank, flatten_lists, flatten_objects, json_text, list_children, pair_value, parse_object, text_list
+from plaza.operators.nested import blank, flatten_fields, flatten_lists, flatten_objects, json_text, list_children, pair_value, parse_object, parse_records, text_list
 from plaza.operators.orphans import find_orphans, orphan_report, parents
 from plaza.operators.rank import grouped_rank, neighbours, top_per_group
 from plaza.operators.search import nearest
@@ -173,6 +173,23 @@ def test_json_shapes(spark):
     assert sorted(r.i for r in got.collect()) == [0, 1, 2, 3, 4]
 
 
+def test_parse_records_reads_a_payload_once(spark):
+    raw = json.dumps({"S": {"g": ["a"], "d": {"e": 1}}, "P": json.dumps({"g": "z", "d": "no object"}), "t": "x"})
+    payloads = [raw, json.dumps(raw), f"[{raw}]", f"```json\n{raw}\n```", raw[:-3], "", None, "null", "[]", json.dumps({"S": 3}), json.dumps({"S": "[1"})]
+    df = spark.createDataFrame([(i, p, "clash") for i, p in enumerate(payloads)], "i int, p string, S string")
+    ddl = "g string, d struct<e:string>"
+    out = parse_records(df, "p", ["i"], ["t"], {"S": ddl, "P": ddl})
+    rows = {r.i: r for r in out.collect()}
+    assert [i for i in rows if rows[i].whole] == [0, 1, 2, 3, 9, 10]
+    for i in range(4):
+        assert (rows[i].t, rows[i].S.g, rows[i].S.d.e, rows[i].P.g, rows[i].P.d) == ("x", '["a"]', "1", "z", None)
+    assert rows[9].P is None and all(rows[9].S[c] is None for c in ("g", "d"))
+    flat = flatten_fields(out.select("i", text_list(F.col("S.g")).alias("g"), F.col("S.d.e").alias("e")), ["i"], {"g": "G"}, {"e": "E"})
+    assert {tuple(r) for r in flat.collect()} == {(i, f, 0, v) for i in range(4) for f, v in (("G", "a"), ("E", "1"))}
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 8
+    assert flatten_fields(out.limit(0).select("i", "t"), ["i"], {}, {"t": "T"}).count() == 0
+
+
 def test_json_values(spark):
     df = spark.createDataFrame([("[\"a\", {\"name\": \"b\"}, null, {\"x\": 1}]",), ("one",), (None,), ("[]",)], "c string")
     assert [r[0] for r in df.select(text_list(F.col("c"))).collect()] == [["a", "b", None, None], ["one"], None, []]
