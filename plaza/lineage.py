@@ -1,7 +1,9 @@
 """Cutting lineage through tables written to the folder all executors share.
 
-``spark.checkpoint.dir`` names that folder.  Where it is unset (tests on one
-machine) a temporary directory of this process takes its place.
+``spark.checkpoint.dir`` names that folder.  Where it is unset the session's
+checkpoint directory counts, and with a local master (tests on one machine) a
+temporary directory of this process; a cluster without either is an error, as
+each of its machines would write to a disk of its own.
 """
 
 from __future__ import annotations
@@ -34,10 +36,15 @@ atexit.register(_clean)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one temporary folder where none is named."""
+    """The cluster's shared folder, or one temporary folder where none is named and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="plaza-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)

@@ -28,3 +28,8 @@ class Registry:
             return f
 
         return take
+
+    def join(self, other: Registry) -> None:
+        """Add all queries of ``other``."""
+        for name, query in other.queries.items():
+            self.add(name, other.sql.get(name))(query)

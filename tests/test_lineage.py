@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from plaza.lineage import counted, cut, drop_path, scratch_path, shared_dir, written
@@ -15,6 +16,13 @@ def test_shared_dir_is_the_cluster_setting():
     assert shared_dir(SimpleNamespace(conf=conf)) == "hdfs://x/y"
 
 
+def test_no_machine_local_folder_on_a_cluster():
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://h:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=context))
+
+
 def test_written_table_and_drop(spark):
     df = spark.range(10).withColumn("b", F.col("id") % 2 == 0)
     table, path = written(df, "t")
