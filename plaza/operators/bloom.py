@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 32768
 #: Bits per key the filter aims at, and the bits a key sets.
 BITS_PER_KEY, PROBES = 16, 7
-#: No filter is larger, whatever the number of keys: 32 MB.  Beyond it more keys pass, and the exact join gets more to do.
+#: No filter is larger: 32 MB.  More keys are split by hash over several filters, one pass of probes each.
 MAX_BITS = 1 << 28
 
 
@@ -22,6 +22,16 @@ def hashes(*keys: Column) -> tuple[Column, Column]:
     return F.xxhash64(*keys), F.xxhash64(F.lit(97), *keys)
 
 
+def shards_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """Filters of at most ``max_bits`` that ``n`` keys need."""
+    return max(1, -(-n * BITS_PER_KEY // max_bits))
+
+
+def shard(h1: Column, shards: int) -> Column:
+    """The filter a key belongs to, by bits of its hash that do not choose the block."""
+    return F.pmod(F.shiftright(h1, 32), F.lit(shards)).cast("int")
+
+
 def blocks_for(n: int) -> int:
     """Blocks of a filter over ``n`` keys: a power of two, within MAX_BITS."""
     want = max(1, min(MAX_BITS, n * BITS_PER_KEY) // BLOCK_BITS)

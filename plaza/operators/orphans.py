@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plaza.lineage import counted, cut
 from plaza.operators import bloom
 from plaza.operators.skew import collect_hot, lookup_join
 
@@ -36,32 +37,53 @@ def parents(created: DataFrame, removed: DataFrame) -> DataFrame:
     return one.join(gone, ["kind", "ref"], "left")
 
 
-def find_orphans(refs: DataFrame, parent: DataFrame) -> DataFrame:
+def _probed(known: DataFrame, parent: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """``known`` with ``maybe``: false proves that the key is no key of ``parent``, which has ``n`` rows.
+
+    Keys beyond one filter are split by hash: each filter is built, broadcast
+    and probed by the references of its hashes alone, in a pass of its own.
+    """
+    spark = known.sparkSession
+    h1, h2 = bloom.hashes(F.col("kind"), F.col("ref"))
+    shards = bloom.shards_for(n, max_bits)
+    hashed = known.select("table_name", "record_id", "kind", "ref", "at", h1.alias("h1"), h2.alias("h2"))
+    ddl = REFS.replace("at timestamp", "at " + known.schema["at"].dataType.simpleString()) + ", maybe boolean"
+    out = None
+    for i in range(shards):
+        own = lambda df: df if shards == 1 else df.filter(bloom.shard(h1, shards) == i)  # noqa: B023, E731
+        bits = spark.sparkContext.broadcast(bloom.build(own(parent.select("kind", "ref")), h1, h2, -(-n // shards)))
+
+        def probe(batches: Iterator[pa.RecordBatch], bits=bits) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = bloom.contains(bits.value, b.column(5).to_numpy(zero_copy_only=False), b.column(6).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ok)], [*b.schema.names[:5], "maybe"])
+
+        part = cut(own(hashed).mapInArrow(probe, ddl), "probed")
+        bits.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def find_orphans(refs: DataFrame, parent: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """Rows of ``refs`` (table_name, record_id, kind, ref, at) with ``reason``.
 
     ``reason`` is ``missing``, ``later``, ``removed`` or null for a sound reference.
     ``parent`` has one row per (kind, ref) with created_at and removed_at.
+    References that the filter rules out are missing at once; only the others
+    are shuffled to the join.
     """
-    spark = refs.sparkSession
-    n = parent.count()
-    h1, h2 = bloom.hashes(F.col("kind"), F.col("ref"))
-    bits = spark.sparkContext.broadcast(bloom.build(parent.select("kind", "ref"), h1, h2, n))
-    known = refs.filter("ref IS NOT NULL").select("table_name", "record_id", "kind", "ref", "at", h1.alias("h1"), h2.alias("h2"))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = bloom.contains(bits.value, b.column(5).to_numpy(zero_copy_only=False), b.column(6).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ok)], [*b.schema.names[:5], "maybe"])
-
-    probed = known.mapInArrow(probe, REFS.replace("at timestamp", "at " + known.schema["at"].dataType.simpleString()) + ", maybe boolean")
-    hot = collect_hot(refs, ["kind", "ref"])
-    joined = lookup_join(probed, parent.withColumn("found", F.lit(True)), ["kind", "ref"], hot, ["record_id"], ~F.col("maybe"))
+    parent, _, n = counted(parent, "parents", rows=F.count(F.lit(1)))
+    probed = _probed(refs.filter("ref IS NOT NULL"), parent, n["rows"], max_bits)
+    missing = probed.filter("NOT maybe").select("table_name", "record_id", "at", F.lit("missing").alias("reason"))
+    positive = probed.filter("maybe").drop("maybe")
+    hot = collect_hot(positive, ["kind", "ref"])
+    joined = lookup_join(positive, parent.withColumn("found", F.lit(True)), ["kind", "ref"], hot, ["record_id"])
     reason = (
         F.when(F.col("found").isNull(), "missing")
         .when(F.col("created_at") > F.col("at"), "later")
         .when(F.col("removed_at") <= F.col("at"), "removed")
     )
-    return joined.select("table_name", "record_id", "at", reason.alias("reason"))
+    return joined.select("table_name", "record_id", "at", reason.alias("reason")).unionByName(missing)
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

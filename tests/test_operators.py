@@ -30,11 +30,11 @@ def day(n):
     return None if n is None else T0 + dt.timedelta(days=n)
 
 
-def orphans(spark, refs, created, removed):
+def orphans(spark, refs, created, removed, **more):
     r = spark.createDataFrame([("t", i, 0, k, day(a), "clash") for i, k, a in refs], REFS)
     c = spark.createDataFrame([(0, k, day(a)) for k, a in created], "kind int, ref long, created_at timestamp_ntz")
     g = spark.createDataFrame([(0, k, day(a)) for k, a in removed], "kind int, ref long, removed_at timestamp_ntz")
-    return find_orphans(r, parents(c, g))
+    return find_orphans(r, parents(c, g), **more)
 
 
 def test_orphans_cases(spark):
@@ -62,6 +62,8 @@ def test_orphans_hot_key(spark):
         gone[k] = a
     want = {i: "missing" if k not in born else "later" if born[k] > a else "removed" if k in gone and gone[k] <= a else None for i, k, a in refs}
     assert {r.record_id: r.reason for r in orphans(spark, refs, created, removed).collect()} == want
+    assert bloom.shards_for(201, 1200) == 3  # more keys than one filter holds: several filters, a pass each
+    assert {r.record_id: r.reason for r in orphans(spark, refs, created, removed, max_bits=1200).collect()} == want
 
 
 def test_orphan_report(spark):
