@@ -22,6 +22,12 @@ SELECT DISTINCT t.scope, t.category FROM label_targets t LEFT JOIN available a O
 WHERE coalesce(a.n, 0) < greatest(t.min_count, floor(t.target_pct * t.sample_size / 100.0))"""
 
 
+COUNTS_SQL = f"""WITH {_LABELS}
+SELECT DISTINCT t.scope, t.category, t.target_pct, CAST(greatest(t.min_count, floor(t.target_pct * t.sample_size / 100.0)) AS BIGINT) AS need,
+  coalesce(a.n, 0) AS available, greatest(0, CAST(greatest(t.min_count, floor(t.target_pct * t.sample_size / 100.0)) AS BIGINT) - coalesce(a.n, 0)) AS shortfall
+FROM label_targets t LEFT JOIN available a ON t.scope = a.scope AND t.category = a.category"""
+
+
 def sample(spark: SparkSession, sf_dir: str) -> Sample:
     """Both samples; the second margin is the split, or the cap of the label mode."""
     posts = table(spark, sf_dir, "post_record").select(F.lit("post_record").alias("scope"), F.col("post_id").alias("id"), F.get("category_labels", F.lit(0)).alias("category"), F.col("split").alias("level"))
@@ -34,7 +40,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("p5_found", FOUND_SQL)
     def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return sample(spark, sf_dir).report().filter("available < need").select("scope", "category").distinct()
+        return sample(spark, sf_dir).report().filter("shortfall > 0").select("scope", "category").distinct()
 
     @reg.add("p5_sample")
     def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,3 +49,7 @@ def register(reg: Registry) -> None:
     @reg.add("p5_report")
     def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         return sample(spark, sf_dir).report()
+
+    @reg.add("p5_shortfalls", COUNTS_SQL)
+    def p5_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sample(spark, sf_dir).report().select("scope", "category", "target_pct", "need", "available", "shortfall")

@@ -291,9 +291,10 @@ def test_near_duplicates_empty_and_many_copies(spark):
 
 
 def test_rake_meets_both_margins():
-    x = rake(np.array([[10.0, 5.0], [3.0, 8.0], [0.0, 4.0]]), np.array([30.0, 50.0, 20.0]), np.array([45.0, 55.0]))
-    assert np.allclose(x.sum(1), [30, 50, 20], atol=1e-4)
-    assert np.allclose(x.sum(0), [45, 55], atol=1e-4)
+    row, col = np.array([0, 0, 1, 1, 2]), np.array([0, 1, 0, 1, 1])
+    x = rake(np.array([10.0, 5.0, 3.0, 8.0, 4.0]), row, col, np.array([30.0, 50.0, 20.0]), np.array([45.0, 55.0]))
+    assert np.allclose(np.bincount(row, x), [30, 50, 20], atol=1e-4)
+    assert np.allclose(np.bincount(col, x), [45, 55], atol=1e-4)
 
 
 def test_repair_keeps_minimums_and_size():
@@ -320,6 +321,17 @@ def test_sample(spark):
     assert empty.chosen.count() == 0 and empty.report().count() == 4
 
 
+def test_sample_of_many_levels_and_categories_without_share(spark):
+    rows = [("s", f"i{i}", "a" if i % 4 else "b", f"level {i % 300}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "scope string, id string, category string, level string")
+    t = spark.createDataFrame([("s", "a", 90, 0, 1200), ("s", "b", 0, 30, 1200), ("s", "c", None, None, 1200)], "scope string, category string, target_pct int, min_count int, sample_size int")
+    got = {r.category: (r.available, r.drawn, r.shortfall) for r in Sample(df, t).report().collect()}
+    assert got["c"] == (0, 0, 0) and got["b"][0] == 750 and got["b"][1] >= 30 and got["a"][1] + got["b"][1] == 1200
+    assert got["a"][1] >= 1080 and got["a"][2] == 0
+    levels = Counter(rows[int(r.id[1:])][3] for r in Sample(df, t).chosen.collect())
+    assert len(levels) > 290 and max(levels.values()) <= 10
+
+
 # --- packing -------------------------------------------------------------
 
 
