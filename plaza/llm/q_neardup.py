@@ -21,6 +21,16 @@ p AS (SELECT a.table_name, a.id AS id_a, b.id AS id_b, a.n + b.n AS both_n, coun
 SELECT table_name, id_a, id_b FROM p WHERE 10 * shared >= 7 * (both_n - shared)"""
 
 
+_PAIRS = FOUND_SQL.removeprefix("WITH ").rsplit("\nSELECT", 1)[0] + """,
+f AS (SELECT table_name, id_a, id_b FROM p WHERE 10 * shared >= 7 * (both_n - shared)),
+e AS (SELECT table_name, id_a AS id, id_b AS other FROM f UNION ALL SELECT table_name, id_b, id_a FROM f)"""
+LINKS_SQL = f"WITH {_PAIRS} SELECT table_name, id, count(*) AS n_links FROM e GROUP BY table_name, id"
+GROUPS_SQL = f"""WITH RECURSIVE {_PAIRS},
+r AS (SELECT table_name, id, id AS to_id FROM e UNION SELECT r.table_name, r.id, e.other FROM r JOIN e ON r.table_name = e.table_name AND r.to_id = e.id),
+g AS (SELECT table_name, id, min(to_id) AS group_id FROM r GROUP BY table_name, id)
+SELECT table_name, id, group_id, count(*) OVER (PARTITION BY table_name, group_id) AS n_records FROM g"""
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_name, id, text) of both tables."""
     parts = [table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.col(k).alias("id"), F.col("content").alias("text")) for n, k in TEXTS]
@@ -34,6 +44,10 @@ def register(reg: Registry) -> None:
     def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return NearDuplicates(rows(spark, sf_dir)).pairs()
 
-    @reg.add("p6_groups")
+    @reg.add("p6_groups", GROUPS_SQL)
     def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         return NearDuplicates(rows(spark, sf_dir)).groups()
+
+    @reg.add("p6_link_counts", LINKS_SQL)
+    def p6_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return NearDuplicates(rows(spark, sf_dir)).link_counts()

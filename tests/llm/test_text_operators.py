@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plaza.llm import abuse, residue
 from plaza.llm.conversations import arrivals, conversations, event_time, judge, ordered
 from plaza.llm.mixing import Flight, Mixture, land
-from plaza.llm.neardup import BAND_ROWS, BANDS, NearDuplicates, SuperMinHash
+from plaza.llm.neardup import BAND_ROWS, BANDS, NearDuplicates, SuperMinHash, pack as pack_keys, shared_keys, unpack
 from plaza.llm.packing import pack, plan
 from plaza.llm.raking import Sample, Target, rake, repair
 from plaza.llm.spelling import Speller, disguised
@@ -273,18 +273,52 @@ def test_near_duplicates_against_brute_force(spark):
     for t, a, b in want:
         links[t, a] += 1
         links[t, b] += 1
-    groups = {(r.table_name, r.id): (r.group_id, r.n_links) for r in found.groups().collect()}
-    assert {k: v[1] for k, v in groups.items()} == dict(links)
-    assert all(groups[t, a][0] == groups[t, b][0] for t, a, b in want)
+    assert {(r.table_name, r.id): r.n_links for r in found.link_counts().collect()} == dict(links)
+    up = {k: k for k in links}
+    for _ in links:
+        for t, a, b in want:
+            up[t, a] = up[t, b] = min(up[t, a], up[t, b])
+    sizes = Counter(up.values())
+    assert {(r.table_name, r.id): (r.group_id, r.n_records) for r in found.groups().collect()} == {k: (g[1], sizes[g]) for k, g in up.items()}
 
 
 def test_near_duplicates_empty_and_many_copies(spark):
     schema = "table_name string, id long, text string"
-    assert NearDuplicates(spark.createDataFrame([], schema)).pairs().count() == 0
+    empty = NearDuplicates(spark.createDataFrame([], schema))
+    assert empty.pairs().count() == 0 and empty.groups().count() == 0
     text = " ".join(f"w{i}" for i in range(20))
     copies = NearDuplicates(spark.createDataFrame([("p", i, text) for i in range(40)], schema))
     assert copies.pairs().count() == 40 * 39 // 2
-    assert {(r.group_id, r.n_links) for r in copies.groups().collect()} == {(0, 39)}
+    assert {(r.group_id, r.n_records) for r in copies.groups().collect()} == {(0, 40)}
+
+
+def test_near_duplicates_take_the_greatest_text_of_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [("p", 1, long), ("p", 1, "zzz short"), ("p", 2, long), ("p", 3, "a short"), ("p", 3, long), ("p", 4, None), ("p", 4, long)]
+    assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "table_name string, id long, text string")).pairs().collect()} == {("p", 2, 3), ("p", 2, 4), ("p", 3, 4)}
+
+
+def test_groups_of_many_variants_need_few_comparisons(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [("p", i, " ".join([*base[: i % 60], f"x{i}", *base[i % 60 + 1 :]])) for i in range(600)]
+    found = NearDuplicates(spark.createDataFrame(rows, "table_name string, id long, text string"))
+    compared = []
+    verified = found.verified
+    found.verified = lambda pairs: compared.append(pairs.count()) or verified(pairs)
+    assert {(r.group_id, r.n_records) for r in found.groups().collect()} == {(0, 600)}
+    assert sum(compared) < 6000  # of 179,700 pairs
+
+
+def test_packed_keys_round_trip():
+    rng = np.random.default_rng(1)
+    key, num = rng.integers(-(2**63), 2**63, 5000), rng.integers(7, 60000, 5000)
+    key[:50] = key[50:100]
+    rows = [unpack(*r) for r in pack_keys(key, num, 64)]
+    k, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    assert sorted(n.tolist()) == sorted(num.tolist()) and len(np.unique(k)) == len(np.unique(key))
+    got, own = shared_keys(k, n)
+    assert len(got) == 100 and sorted(own.tolist()) == sorted([*num[:50].tolist(), *num[50:100].tolist()])
+    assert list(pack_keys(key[:0], num[:0], 64)) == [] and len(shared_keys(key[:0], num[:0])[0]) == 0
 
 
 # --- raking --------------------------------------------------------------
