@@ -21,39 +21,53 @@ from plaza.lineage import drop_path, written
 from plaza.operators.skew import collect_hot, lookup_join
 
 
+#: Edges that a task contracts at once, and edges up to which hot nodes are not looked for.
+CONTRACT_ROWS, FEW_ROWS = 1_000_000, 200_000
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) of the given edges."""
+    """(node, least node of its component) of the given edges, by hooking and pointer jumping on whole arrays."""
     nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = back[: len(a)], back[len(a) :]
-    up = list(range(len(nodes)))
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        least = np.minimum(low[x], low[y])
+        np.minimum.at(new, low[x], least)
+        np.minimum.at(new, low[y], least)
+        while True:
+            jumped = new[new]
+            if np.array_equal(jumped, new):
+                break
+            new = jumped
+        if np.array_equal(new, low):
+            return nodes, nodes[low]
+        low = new
 
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
 
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        i, j = find(i), find(j)
-        if i < j:
-            up[j] = i
-        elif j < i:
-            up[i] = j
-    return nodes, nodes[np.array([find(i) for i in range(len(nodes))], int)] if len(nodes) else nodes
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
 
+    def run() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        n, root = union_find(t.column(0).to_numpy(), t.column(1).to_numpy())
+        keep = n != root
+        return pa.RecordBatch.from_pydict({"a": pa.array(n[keep], pa.int64()), "b": pa.array(root[keep], pa.int64())})
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, root = union_find(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
-        keep = n != root
-        yield pa.RecordBatch.from_pydict({"a": pa.array(n[keep], pa.int64()), "b": pa.array(root[keep], pa.int64())})
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CONTRACT_ROWS:
+            yield run()
+            held.clear()
+    if held:
+        yield run()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over edges (a, b) with a > b."""
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One star round over so many edges (a, b) with a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = lookup_join(both, least, ["a"], collect_hot(both, ["a"]), ["b"])
+    joined = lookup_join(both, least, ["a"], collect_hot(both, ["a"]) if rows > FEW_ROWS else [], ["b"])
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -74,8 +88,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if tuple(mark) == old or not mark[0]:
             break
         old = tuple(mark)
-        mid, mid_at = written(_star(now, True), "star")
-        new, new_at = written(_star(mid, False), "star")
+        mid, mid_at = written(_star(now, True, mark[0]), "star")
+        new, new_at = written(_star(mid, False, mark[0]), "star")
         drop_path(spark, at)
         drop_path(spark, mid_at)
         now, at = new, new_at

@@ -1,11 +1,12 @@
 """Parent-child rows of unknown depth as full hierarchies.
 
-Components of the parent links come from pointer doubling with the least node
-seen on the way (a number of joins logarithmic in the depth).  Each component
-is then brought together and walked by an iterative depth-first search with
-node colours, which gives paths, depths, descendants and, by its back edges,
-cycles.  A component of more than ``max_component`` nodes is never brought to
-one task: the doubling itself carries the paths of its nodes.
+Connected components of the parent links (over hashes of the nodes; leaves are
+left out, as each shares the component of its parent) bring every tree or cycle
+together.  A task walks whole components by an iterative depth-first search
+with node colours, which gives roots, depths, descendants and, by its back
+edges, cycles; one stack holds the path of the node at hand, and rows leave in
+batches of bounded size.  A component of more than ``max_component`` nodes is
+never brought to one task: pointer doubling gives the same rows for its nodes.
 
 Defined cases: repeated rows of a node are one node (of differing parents the
 least counts); a null node is ignored; a parent without a row ends the chain,
@@ -18,17 +19,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaza.lineage import counted, cut, drop_path
+from plaza.operators.components import connected_components
 from plaza.operators.skew import collect_hot, lookup_join
 
 #: Nodes of the largest component that one task walks.
-MAX_COMPONENT = 100_000
-#: Rows gathered before a task walks the whole components among them.
-WALK_ROWS = 50_000
+MAX_COMPONENT = 250_000
+#: Rows gathered before a task walks the whole components among them, and ids of paths in one batch of output.
+WALK_ROWS, PATH_IDS = 50_000, 1_000_000
 #: Fewer rows than this are joined without looking for hot keys first.
 FEW_ROWS = 200_000
 
@@ -55,34 +59,25 @@ def _double(state: DataFrame, fixed: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def _rings(open_: DataFrame, rows: int, rounds: int, max_component: int, kind: str, one: pa.DataType) -> tuple[DataFrame, list[str]]:
-    """(node, cycle) of nodes of which each is on a cycle or below one.
+def _rings(open_: DataFrame, rows: int) -> tuple[DataFrame, list[str]]:
+    """(node, cycle) of nodes (so many) of which each is on a cycle or below one.
 
-    At most ``max_component`` of them are walked by one task; more go on
-    doubling until every cycle has been walked round.
+    They go on doubling until no least node seen changes: then every node has
+    seen the whole of its cycle, and the node it points at lies on it.
     """
-    if rows <= max_component:
-        schema = pa.schema([("node", one), ("cycle", one)])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(list(batches), schema=pa.schema([("node", one), ("ptr", one)]))
-            node = t.column(0).to_pylist()
-            if node:
-                got = walk(node, t.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(node, one), pa.array([got[n][3] for n in node], one)], schema=schema)
-
-        return open_.select("node", F.col("first").alias("ptr")).coalesce(1).mapInArrow(run, f"node {kind}, cycle {kind}"), []
     paths = []
-    state = open_
-    while (1 << rounds) < rows:
-        state, path, _ = counted(_double(state, state, rows), "cycle", rows=F.count(F.lit(1)))
+    state, changed = open_, 1
+    while changed:
+        step = _double(state, state, rows).join(state.select("node", F.col("low").alias("_was")), "node")
+        state, path, n = counted(step, "cycle", rows=F.count(F.lit(1)), changed=F.count_if(F.col("low") != F.col("_was")))
+        state = state.drop("_was")
         paths.append(path)
-        rounds += 1
+        changed = n["changed"]
     turn = state.select(F.col("node").alias("ptr"), F.col("low").alias("cycle"))
     return lookup_join(state.select("node", "ptr"), turn, ["ptr"], _hot(state, ["ptr"], rows), ["node"]).select("node", "cycle"), paths
 
 
-def ancestors(links: DataFrame, paths: bool = False, max_component: int = MAX_COMPONENT) -> DataFrame:
+def ancestors(links: DataFrame, paths: bool = False) -> DataFrame:
     """(node, root, cycle, up): the root of each node, or the least node of the cycle its chain runs into.
 
     ``up`` lists the ancestors from the parent to the root where ``paths`` is
@@ -96,7 +91,7 @@ def ancestors(links: DataFrame, paths: bool = False, max_component: int = MAX_CO
     state, path, n = counted(
         links.select("node", F.coalesce("parent", "node").alias("ptr"), F.col("parent").isNull().alias("done"), F.col("node").alias("low"), up.alias("up")), "up", open=not_done
     )
-    used, open_n, rounds = [path], n["open"], 0
+    used, open_n = [path], n["open"]
     closed = [state.filter("done")]
     while open_n:
         fixed = state.filter("NOT done")
@@ -104,7 +99,6 @@ def ancestors(links: DataFrame, paths: bool = False, max_component: int = MAX_CO
             fixed = fixed.unionByName(c)
         state, path, n = counted(_double(state.filter("NOT done"), fixed, open_n), "up", open=not_done)
         used.append(path)
-        rounds += 1
         closed.append(state.filter("done"))
         if n["open"] == open_n:
             break
@@ -114,8 +108,7 @@ def ancestors(links: DataFrame, paths: bool = False, max_component: int = MAX_CO
         out = out.unionByName(c)
     out = out.select("node", F.col("ptr").alias("root"), F.lit(None).cast(kind).alias("cycle"), "up")
     if open_n:
-        first = links.select("node", F.col("parent").alias("first"))
-        ring, more = _rings(state.filter("NOT done").join(first, "node"), open_n, rounds, max_component, kind, _arrow(kind))
+        ring, more = _rings(state.filter("NOT done"), open_n)
         used += more
         out = out.unionByName(ring.select("node", F.lit(None).cast(kind).alias("root"), "cycle", empty.alias("up")))
     result = cut(out, "ancestors")
@@ -124,80 +117,105 @@ def ancestors(links: DataFrame, paths: bool = False, max_component: int = MAX_CO
     return result
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def walk(nodes: list, parents: list) -> dict:
-    """Depth-first walk of one component with node colours.
+def walk(up: list[int]) -> tuple[list[int], list[int], list[int], list[list[int]], list[int]]:
+    """Depth-first walk of whole components with node colours; ``up`` is each node's parent, or -1.
 
-    Returns per node ``(depth, path, descendants, cycle)``; depth and path are
-    None for nodes without a root, cycle is the least node of the cycle.
+    Returns the nodes below roots in the order in which they are entered, and
+    for each node its depth (-1 without root) and number of descendants; the
+    cycles, and for each node the number of the cycle it is on or runs into (-1
+    for none).
     """
-    here = set(nodes)
-    children: dict = {}
-    up = dict(zip(nodes, parents, strict=True))
-    roots = []
-    for n, p in up.items():
-        if p is None or p not in here:
-            roots.append(n)
-        else:
-            children.setdefault(p, []).append(n)
-    out: dict = {}
-    grey, black = 1, 2
-    colour: dict = {}
-    for r in roots:
-        stack = [(r, (r,), iter(children.get(r, ())))]
-        colour[r] = grey
-        size = {r: 0}
-        while stack:
-            n, path, rest = stack[-1]
-            c = next(rest, None)
-            if c is None:
-                colour[n] = black
-                stack.pop()
-                out[n] = (len(path) - 1, path, size[n], None)
-                if stack:
-                    size[stack[-1][0]] += size[n] + 1
-            elif c not in colour:
-                colour[c] = grey
-                size[c] = 0
-                stack.append((c, (*path, c), iter(children.get(c, ()))))
-    for start in nodes:  # what no root reaches runs into a cycle: follow the parents until a grey node closes it
-        if start in colour:
+    n = len(up)
+    white, grey, black = 0, 1, 2
+    colour = bytearray(n)
+    child, sibling = [-1] * n, [-1] * n
+    for i in range(n - 1, -1, -1):
+        if up[i] >= 0:
+            sibling[i] = child[up[i]]
+            child[up[i]] = i
+    order: list[int] = []
+    depth, below = [-1] * n, [0] * n
+    for root in range(n):
+        if up[root] >= 0:
             continue
-        chain, n = [], start
-        while n not in colour:
-            colour[n] = grey
-            chain.append(n)
-            n = up[n]
-        if colour[n] == grey:  # a back edge
-            cycle = min(chain[chain.index(n):])
-        else:
-            cycle = out[n][3]
-        for m in chain:
-            colour[m] = black
-            out[m] = (None, None, None, cycle)
-    return out
-
-
-def _walk_batches(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def run(table: pa.Table) -> pa.RecordBatch:
-        comp, node, parent = (table.column(i).to_pylist() for i in range(3))
-        cols: list[list] = [[], [], [], [], [], [], []]
-        i = 0
-        while i < len(comp):
-            j = i
-            while j < len(comp) and comp[j] == comp[i]:
-                j += 1
-            got = walk(node[i:j], parent[i:j])
-            for k in range(i, j):
-                depth, path, size, cycle = got[node[k]]
-                for c, v in zip(cols, (node[k], parent[k], None if path is None else path[0], depth, path, size, cycle), strict=True):
-                    c.append(v)
-            i = j
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
+        at, d = root, 0
+        while True:
+            colour[at] = grey
+            order.append(at)
+            depth[at] = d
+            if child[at] >= 0:
+                at, d = child[at], d + 1
+                continue
+            while True:  # leave nodes until one has a sibling not yet entered
+                colour[at] = black
+                if at == root:
+                    break
+                below[up[at]] += below[at] + 1
+                if sibling[at] >= 0:
+                    break
+                at, d = up[at], d - 1
+            if at == root:
+                break
+            at = sibling[at]
+    cycles: list[list[int]] = []
+    cycle = [-1] * n
+    for start in range(n):  # what no root reaches runs into a cycle: follow the parents until a grey node closes it
+        chain, at = [], start
+        while colour[at] == white:
+            colour[at] = grey
+            chain.append(at)
+            at = up[at]
+        if not chain:
+            continue
+        if colour[at] == grey:  # a back edge
+            cycle[at] = len(cycles)
+            cycles.append(chain[chain.index(at):])
+        for i in chain:
+            colour[i] = black
+            cycle[i] = cycle[at]
+    return order, depth, below, cycles, cycle
+
+
+def _walked(schema: pa.Schema, table: pa.Table, paths: bool) -> Iterator[pa.RecordBatch]:
+    node = table.column(1).combine_chunks()
+    up = pc.fill_null(pc.index_in(table.column(2), value_set=node), -1).to_numpy().astype(np.int64)
+    parent = node.take(pa.array(up, mask=up < 0))
+    order, depth, below, cycles, cycle = walk(up.tolist())
+    least = [min(ring, key=lambda i: node[i].as_py()) for ring in cycles]
+    ring = np.array([*least, -1], np.int64)[np.array(cycle, np.int64)]
+    cyclic = np.flatnonzero(ring >= 0)
+    entered, deep = np.array(order, np.int64), np.array(depth, np.int64)
+    ends = np.cumsum(deep[entered] + 1)
+    stack = np.zeros(int(deep.max(initial=0)) + 1, np.int64)
+    i = 0
+    while i < len(entered):  # nodes below roots, in the order of the walk
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PATH_IDS, side="right"))) if paths else len(entered)
+        own = entered[i:j]
+        root, path = np.empty(len(own), np.int64), []
+        for k, (at, d) in enumerate(zip(own.tolist(), deep[own].tolist(), strict=True)):
+            stack[d] = at
+            root[k] = stack[0]
+            if paths:
+                path.append(stack[: d + 1].copy())
+        cols = [node.take(pa.array(own)), parent.take(pa.array(own)), node.take(pa.array(root))]
+        none = pa.nulls(len(own), node.type)
+        if paths:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(deep[own] + 1)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, node.take(pa.array(np.concatenate(path))))
+            cols += [pa.array(deep[own].astype(np.int32)), lists, pa.array(np.array(below, np.int64)[own])]
+        yield pa.RecordBatch.from_arrays([*cols, none], schema=schema)
+        i = j
+    if len(cyclic):
+        own = pa.array(cyclic)
+        empty = [pa.nulls(len(cyclic), schema.field(k).type) for k in range(2, len(schema) - 1)]
+        yield pa.RecordBatch.from_arrays([node.take(own), parent.take(own), *empty, node.take(pa.array(ring[cyclic]))], schema=schema)
+
+
+def _walk_batches(schema: pa.Schema, batches: Iterator[pa.RecordBatch], paths: bool) -> Iterator[pa.RecordBatch]:
+    """Walks over whole components of rows (component, node, parent) sorted by component."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -207,45 +225,74 @@ def _walk_batches(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Itera
         rows += b.num_rows
         if rows >= WALK_ROWS:
             t = pa.Table.from_batches(held)
-            comp = t.column(0)
-            last = comp[t.num_rows - 1].as_py()
-            keep = t.num_rows
-            while keep and comp[keep - 1].as_py() == last:
-                keep -= 1
+            comp = t.column(0).to_numpy()
+            keep = int(np.searchsorted(comp, comp[-1]))
             if keep:
-                yield run(t.slice(0, keep))
+                yield from _walked(schema, t.slice(0, keep), paths)
             held = t.slice(keep).to_batches()
             rows = t.num_rows - keep
     if held:
-        yield run(pa.Table.from_batches(held))
+        yield from _walked(schema, pa.Table.from_batches(held), paths)
 
 
-def hierarchy(df: DataFrame, node: str, parent: str, max_component: int = MAX_COMPONENT) -> DataFrame:
-    """(node, parent, root, depth, path, n_descendants, cycle): one row per node of ``df``.
+def forests(parts: dict[str, tuple[DataFrame, str, str]], paths: bool = True, max_component: int = MAX_COMPONENT) -> dict[str, DataFrame]:
+    """For each (table, node, parent) of ``parts``: (node, parent, root, depth, path, n_descendants, cycle), one row per node.
 
     ``path`` runs from the root to the node.  ``n_descendants`` is null on and
-    below cycles.
+    below cycles.  Without ``paths``, depth, path and n_descendants are left
+    out.  The components of all tables are found together.
     """
-    links = cut(parent_links(df, node, parent), "links")
-    kind = links.schema["node"].dataType.simpleString()
-    found = ancestors(links, max_component=max_component).select("node", F.coalesce("root", "cycle").alias("component"))
-    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = F.broadcast(size.filter(F.col("n") > max_component).select("component", F.lit(True).alias("large")))
-    known, _, n = counted(links.join(found, "node").join(large, "component", "left"), "components", large=F.count("large"))
+    placed: dict[str, tuple[DataFrame, int]] = {}
+    edges = None
+    for i, (name, (df, node, parent)) in enumerate(parts.items()):
+        one = df.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("parent"))
+        own, above = F.xxhash64(F.lit(i), "node"), F.when(F.col("parent") != F.col("node"), F.xxhash64(F.lit(i), "parent"))
+        table, _, n = counted(one.withColumns({"h": own, "p": above}), "links", rows=F.count(F.lit(1)))
+        placed[name] = table, n["rows"]
+        part = table.filter("p IS NOT NULL").select("h", "p")
+        edges = part if edges is None else edges.unionByName(part)
+    inner = edges.join(edges.select(F.col("p").alias("h")).distinct(), "h", "left_semi")
+    found = cut(connected_components(inner, "h", "p").select(F.col("node").alias("k"), "component"), "found")
+    out = {}
+    for name, (table, rows) in placed.items():
+        keyed = table.select("node", "parent", F.coalesce("p", "h").alias("k"))
+        known = lookup_join(keyed, found, ["k"], _hot(keyed, ["k"], rows), ["node"])
+        known, _, n = counted(known.select(F.coalesce("component", "k").alias("component"), "node", "parent"), "components", rows=F.count(F.lit(1)))
+        out[name] = _forest(known, n["rows"], paths, max_component)
+    return out
+
+
+def _forest(known: DataFrame, rows: int, paths: bool, max_component: int) -> DataFrame:
+    kind = known.schema["node"].dataType.simpleString()
+    large = None
+    if rows > max_component:
+        large = cut(known.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_component).select("component"), "large")
+        large = None if large.isEmpty() else large
+    small = known if large is None else known.join(large, "component", "left_anti")
     # The comparison of (component, node) sorts within a task only; no component is split by the hash of its id.
-    small = known.filter("large IS NULL").select("component", "node", "parent").repartition("component").sortWithinPartitions("component", "node")
-    ddl = f"node {kind}, parent {kind}, root {kind}, depth int, path array<{kind}>, n_descendants long, cycle {kind}"
-    one = _arrow(kind)
-    schema = pa.schema([("node", one), ("parent", one), ("root", one), ("depth", pa.int32()), ("path", pa.list_(one)), ("n_descendants", pa.int64()), ("cycle", one)])
-    out = small.mapInArrow(lambda batches: _walk_batches(schema, batches), ddl)
-    if not n["large"]:
+    small = small.select("component", "node", "parent").repartition("component").sortWithinPartitions("component", "node")
+    more = f", depth int, path array<{kind}>, n_descendants long" if paths else ""
+    one = _ARROW[kind]
+    fields = [("node", one), ("parent", one), ("root", one), *([("depth", pa.int32()), ("path", pa.list_(one)), ("n_descendants", pa.int64())] if paths else []), ("cycle", one)]
+    schema = pa.schema(fields)
+    out = small.mapInArrow(lambda batches: _walk_batches(schema, batches, paths), f"node {kind}, parent {kind}, root {kind}{more}, cycle {kind}")
+    if large is None:
         return out
-    return out.unionByName(_large(known.filter("large").select("node", "parent"), kind))
+    rest = cut(known.join(large, "component", "left_semi").select("node", "parent"), "large")
+    return out.unionByName(_large(rest, kind, paths))
+
+
+def hierarchy(df: DataFrame, node: str, parent: str, paths: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """``forests`` of one table."""
+    return forests({"": (df, node, parent)}, paths, max_component)[""]
 
 
-def _large(links: DataFrame, kind: str) -> DataFrame:
+def _large(rows: DataFrame, kind: str, paths: bool) -> DataFrame:
     """The rows of components too large for one task, by doubling alone."""
-    up = ancestors(links, paths=True, max_component=0)
+    links = cut(parent_links(rows, "node", "parent"), "links")
+    up = ancestors(links, paths=paths)
+    if not paths:
+        return up.join(links, "node").select("node", "parent", "root", "cycle")
     below = up.select(F.explode("up").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     rows = up.join(links, "node").join(below, "node", "left")
     free = F.col("cycle").isNull()

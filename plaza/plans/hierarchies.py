@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaza.operators.hierarchy import descendants, hierarchy
+from plaza.operators.hierarchy import descendants, forests, hierarchy
 from plaza.registry import Registry
 from plaza.sources.tables import table
 
@@ -49,9 +49,9 @@ def tree(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return hierarchy(table(spark, sf_dir, name).select(node, parent), node, parent)
 
 
-def trees(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+def trees(spark: SparkSession, sf_dir: str, paths: bool = True) -> list[tuple[str, DataFrame]]:
     """The hierarchy of each linked table."""
-    return [(name, tree(spark, sf_dir, name)) for name, _, _ in LINKS]
+    return list(forests({t: (table(spark, sf_dir, t).select(n, p), n, p) for t, n, p in LINKS}, paths).items())
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -69,7 +69,7 @@ def register(reg: Registry) -> None:
         return _union(
             [
                 t.filter("cycle IS NOT NULL").select(F.lit(n).alias("table_name"), F.col("node").cast("string").alias("node_id"), F.col("cycle").cast("string").alias("cycle_id"))
-                for n, t in trees(spark, sf_dir)
+                for n, t in trees(spark, sf_dir, paths=False)
             ]
         )
 

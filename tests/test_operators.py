@@ -135,8 +135,17 @@ def test_hierarchy_empty(spark):
 
 
 def test_walk_deep_chain():
-    got = walk(list(range(2000)), [None, *range(1999)])
-    assert got[1999][0] == 1999
+    order, depth, below, cycles, cycle = walk([-1, *range(199_999)])
+    assert order == depth == list(range(200_000)) and below[0] == 199_999 and not cycles and set(cycle) == {-1}
+    assert walk([1, 2, 0, 0, 4]) == ([], [-1] * 5, [0] * 5, [[0, 1, 2], [4]], [0, 0, 0, 0, 1])
+
+
+def test_hierarchy_of_a_chain_of_200_000_nodes(spark):
+    df = spark.range(200_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    got = hierarchy(df, "id", "up", paths=False).agg(F.count("*"), F.countDistinct("root"), F.count("cycle")).first()
+    assert tuple(got) == (200_000, 1, 0)
+    ring = df.withColumn("up", F.coalesce("up", F.lit(199_999)))
+    assert {tuple(r) for r in hierarchy(ring, "id", "up", paths=False).select("cycle").distinct().collect()} == {(0,)}
 
 
 def test_components(spark):
