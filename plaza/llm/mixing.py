@@ -4,11 +4,14 @@ Every source gets a multiplicity: whole copies of all its items plus a
 fraction, which is the inclusion probability of one more copy.  The cube
 method moves these probabilities through the null space of the constraints
 (number of items and number of tokens of the source) until they are 0 or 1.
-Each task runs the flight over the rows it already holds and leaves at most
-two open items per source; these few are brought together in ever fewer tasks,
-and the last two of a source are rounded so that its tokens miss least.
+Items are dealt to buckets of bounded size by a hash of their id, so the sample
+does not depend on files or tasks.  Within a bucket all flights of a source
+move at once, three items each, long items first; at most two items of a source
+and bucket stay open, and these are gathered into 64 times fewer buckets until
+one is left.  There the last two of a source land together with a few open
+items of every length: they are rounded so that tokens and number miss least.
 
-Only totals per source reach the driver (at most MAX_SOURCES).
+Only totals per source reach the driver; more than MAX_SOURCES are an error.
 
 Defined cases: null and empty items are not used; sources are compared
 trimmed, in lower case, with ``-`` and blanks as ``_``; items of no or no
@@ -23,13 +26,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaza.lineage import cut
 
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1_000_000
+#: Items of a bucket, on average, and buckets gathered into one.
+BUCKET_ROWS, GATHER = 50_000, 64
+#: Items of a source, of all tiers of length in turn, that are left to the landing.
+LANDING = 12
 _EDGE = 1e-9
 
 
@@ -38,74 +46,94 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), "[- ]", "_"), F.lit(""))
 
 
-class Flight:
-    """The flight of one source: takes items one by one and gives back those that are decided."""
-
-    def __init__(self) -> None:
-        self.open: list[list] = []
-
-    def add(self, item: list) -> list[list]:
-        """``item`` is [id, tokens, probability, random]; the decided items are returned."""
-        if item[2] <= _EDGE or item[2] >= 1 - _EDGE:
-            return [item]
-        self.open.append(item)
-        if len(self.open) < 3:
-            return []
-        (_, a, p, _), (_, b, q, _), (_, c, r, random) = self.open
-        u = (c - b, a - c, b - a)
-        if not any(u):
-            u = (1, -1, 0)
-        probabilities = (p, q, r)
-        up = min((1 - x) / d if d > 0 else -x / d for x, d in zip(probabilities, u, strict=True) if d)
-        down = min(x / d if d > 0 else (x - 1) / d for x, d in zip(probabilities, u, strict=True) if d)
-        step = up if random * (up + down) < down else -down
-        done, still = [], []
-        for item_, x, d in zip(self.open, probabilities, u, strict=True):
-            item_[2] = x + step * d
-            if item_[2] <= _EDGE or item_[2] >= 1 - _EDGE:
-                item_[2] = float(round(item_[2]))
-                done.append(item_)
-            else:
-                still.append(item_)
-        self.open = still
-        return done
-
-
-def land(items: list[list]) -> list[list]:
-    """The last open items of a source, rounded so that their tokens and number miss least."""
-    want_t, want_n = sum(i[1] * i[2] for i in items), sum(i[2] for i in items)
-    scale = max([i[1] for i in items], default=1) or 1
-    best = min(
-        range(1 << len(items)),
-        key=lambda m: abs(sum(i[1] for k, i in enumerate(items) if m >> k & 1) - want_t) / scale + 0.1 * abs(bin(m).count("1") - want_n),
-    )
-    for k, i in enumerate(items):
-        i[2] = float(best >> k & 1)
-    return items
+def fly(tokens: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
+    """Probabilities after the flight: all but at most two are 0 or 1, and the sums of ``p`` and of ``p * tokens`` are as before.
+
+    Items take part from the longest tier (power of two) to the shortest; in
+    each round the open items move in threes, every three along the direction
+    that keeps its number and tokens, until one of them is decided.
+    """
+    p = p.copy()
+    draw = np.random.default_rng(seed)
+    free = np.flatnonzero((p > _EDGE) & (p < 1 - _EDGE))
+    tier = np.floor(np.log2(np.maximum(tokens[free], 1))).astype(int)
+    open_ = np.zeros(0, int)
+    for t in np.unique(tier)[::-1]:
+        open_ = np.concatenate([open_, free[tier == t]])
+        while len(open_) > 2:
+            n = len(open_) // 3
+            three, rest = open_[: 3 * n].reshape(n, 3), open_[3 * n :]
+            x, w = p[three], tokens[three].astype(float)
+            u = w[:, [2, 0, 1]] - w[:, [1, 2, 0]]
+            u[(u == 0).all(1)] = (1, -1, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf)).min(1)
+                down = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf)).min(1)
+            step = np.where(draw.random(n) * (up + down) < down, up, -down)
+            x = x + step[:, None] * u
+            done = (x <= _EDGE) | (x >= 1 - _EDGE)
+            p[three] = np.where(done, np.round(x), x)
+            open_ = np.concatenate([three[~done], rest])
+    return p
+
+
+def land(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The last open items of a source, at most LANDING + 2, rounded so that their tokens and number miss least."""
+    k = len(p)
+    pick = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+    miss = np.abs(pick @ tokens - p @ tokens) / max(tokens.max(initial=1), 1) + 0.1 * np.abs(pick.sum(1) - p.sum())
+    return pick[np.argmin(miss)].astype(float)
+
+
+def decide(tokens: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
+    """Flight and landing of one source: every probability becomes 0 or 1.
+
+    Some open items of every tier of length stay out of the flight, so the
+    landing has items of many lengths to make up for those left.
+    """
+    free = np.flatnonzero((p > _EDGE) & (p < 1 - _EDGE))
+    tier = np.floor(np.log2(np.maximum(tokens[free], 1))).astype(int)
+    order = np.argsort(tier, kind="stable")
+    place = np.arange(len(free)) - np.searchsorted(tier[order], tier[order])
+    kept = free[order[np.lexsort((tier[order], place))][:LANDING]]
+    held = np.ones(len(p), bool)
+    held[kept] = False
+    p = p.copy()
+    p[held] = fly(tokens[held], p[held], seed)
+    open_ = np.flatnonzero((p > _EDGE) & (p < 1 - _EDGE))
+    p[open_] = land(tokens[open_], p[open_])
+    return p
 
 
 def _fly(rows: DataFrame, last: bool) -> DataFrame:
-    """One pass of flights over ``rows`` (id, source, tokens, p, random), each task on its own; ``last`` lands as well."""
-    names = ["id", "source", "tokens", "p", "random"]
+    """``rows`` (id, source, tokens, p, random, bucket) after the flights of every bucket and source; ``last`` lands as well."""
+    names = ["id", "source", "tokens", "p", "random", "bucket"]
+
+    def flown(t: pa.Table) -> pa.Table:
+        tokens, p, random = (t.column(n).to_numpy() for n in ("tokens", "p", "random"))
+        p = (decide if last else fly)(tokens, p, int(random[0] * (1 << 52)))
+        return t.set_column(3, "p", pa.array(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flights: dict[str, Flight] = {}
-        schema = None
+        held: list[pa.Table] = []
+        key = None
         for b in batches:
-            schema = b.schema
-            out: list[tuple[str, list]] = []
-            for i, s, t, p, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += [(s, x) for x in flights.setdefault(s, Flight()).add([i, t, p, r])]
-            yield _batch(out, schema)
-        if schema is not None:
-            yield _batch([(s, x) for s, f in flights.items() for x in (land(f.open) if last else f.open)], schema)
-
-    return rows.select(*names).mapInArrow(run, rows.select(*names).schema)
-
-
-def _batch(out: list[tuple[str, list]], schema: pa.Schema) -> pa.RecordBatch:
-    cols = [[x[0] for _, x in out], [s for s, _ in out], [x[1] for _, x in out], [x[2] for _, x in out], [x[3] for _, x in out]]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            bucket, source = t.column("bucket").to_numpy(), np.asarray(t.column("source").to_pylist(), object)
+            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (source[1:] != source[:-1])) + 1
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), t.num_rows], strict=True):
+                if held and key != (bucket[i], source[i]):
+                    yield from flown(pa.concat_tables(held)).to_batches()
+                    held = []
+                key = (bucket[i], source[i])
+                held.append(t.slice(i, j - i))
+        if held:
+            yield from flown(pa.concat_tables(held)).to_batches()
+
+    rows = rows.select(*names).repartition("bucket").sortWithinPartitions("bucket", "source", "random", "id")
+    return rows.mapInArrow(run, rows.schema)
 
 
 class Mixture:
@@ -116,7 +144,10 @@ class Mixture:
         rows = items.select("id", source_name(F.col("source")).alias("source"), "tokens").filter("id IS NOT NULL AND source IS NOT NULL AND tokens > 0")
         rows = cut(rows.groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("r")).select("id", "r.*"), "mix")
         wanted = targets.select(source_name(F.col("source")).alias("source"), F.col("target_weight").alias("w"), F.col("max_repeats").alias("cap")).filter("source IS NOT NULL")
-        self.want = {r.source: (r.w, r.cap) for r in wanted.orderBy("source").limit(MAX_SOURCES).collect() if r.w and r.w > 0 and r.cap and r.cap > 0}
+        listed = wanted.orderBy("source", "w", "cap").limit(MAX_SOURCES + 1).collect()
+        if len(listed) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources")
+        self.want = {r.source: (r.w, r.cap) for r in listed if r.w and r.w > 0 and r.cap and r.cap > 0}
         known = spark.createDataFrame([(s,) for s in self.want], "source string")
         rows = rows.join(F.broadcast(known), "source", "left_semi")
         per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).collect()
@@ -132,28 +163,33 @@ class Mixture:
             plan.append((s, base, max(0.0, m - base)))
         shared = F.broadcast(spark.createDataFrame(plan, "source string, base int, p double"))
         u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)).cast("double") / float(1 << 52)
-        flown = cut(_fly(rows.join(shared.select("source", "p"), "source").withColumn("random", u), False), "flight")
+        self.plan = {x: b + q for x, b, q in plan}
+        n = max(1, -(-sum(x for x, _ in self.have.values()) // BUCKET_ROWS))
+        bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "id"), F.lit(n)).cast("int")
+        left = rows.join(shared.select("source", "p"), "source").withColumns({"random": u, "bucket": bucket})
         edge = (F.col("p") > _EDGE) & (F.col("p") < 1 - _EDGE)
-        done = [flown.filter(~edge)]
-        open_, n = flown.filter(edge), flown.rdd.getNumPartitions()
-        while True:  # at most two open items per source and task: ever fewer tasks
-            n = max(1, n // 64)
-            flown = cut(_fly(open_.repartition(n, "source").sortWithinPartitions("source", "id"), n == 1), "flight")
-            done.append(flown.filter(~edge))
+        out = None
+        while True:  # at most two open items per source and bucket: ever fewer buckets
+            flown = cut(_fly(left, n == 1), "flight")
+            done = flown if n == 1 else flown.filter(~edge)
+            out = done if out is None else out.unionByName(done)
             if n == 1:
                 break
-            open_ = flown.filter(edge)
-        out = done[0]
-        for d in done[1:]:
-            out = out.unionByName(d)
+            n = max(1, n // GATHER)
+            left = flown.filter(edge).withColumn("bucket", F.pmod("bucket", F.lit(n)))
         copies = F.col("base") + F.round("p").cast("int")
         self.items = out.join(shared.select("source", "base"), "source").select("id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
 
     def report(self) -> DataFrame:
-        """(source, target_share, actual_share, tokens, documents, repeats, limited) of every targeted source."""
+        """(source, target_share, actual_share, tokens, n_documents, most_copies, max_repeats, limited) of every targeted source.
+
+        A source is limited where all its items are used as often as its cap
+        allows, or where it has none: then the total cannot grow at these shares.
+        """
         spark = self.items.sparkSession
         whole = sum(w for w, _ in self.want.values())
-        want = spark.createDataFrame([(s, w / whole, c) for s, (w, c) in self.want.items()], "source string, target_share double, max_repeats int")
+        full = {s: s not in self.plan or self.plan[s] >= c - _EDGE for s, (_, c) in self.want.items()}
+        want = spark.createDataFrame([(s, w / whole, c, full[s]) for s, (w, c) in self.want.items()], "source string, target_share double, max_repeats int, limited boolean")
         used = self.items.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_documents"), F.max("copies").alias("most_copies"))
         used = cut(used, "mixed")
         total = F.broadcast(used.agg(F.sum("tokens").alias("all_tokens")))
@@ -166,4 +202,5 @@ class Mixture:
             F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
             F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
             "max_repeats",
+            "limited",
         )

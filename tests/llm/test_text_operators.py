@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plaza.llm import abuse, residue
 from plaza.llm.conversations import arrivals, conversations, event_time, judge, ordered
-from plaza.llm.mixing import Flight, Mixture, land
+from plaza.llm.mixing import Mixture, decide, fly
 from plaza.llm.neardup import BAND_ROWS, BANDS, NearDuplicates, SuperMinHash, pack as pack_keys, shared_keys, unpack
 from plaza.llm.packing import pack, plan
 from plaza.llm.raking import Sample, Target, rake, repair
@@ -429,18 +429,24 @@ def test_token_lengths(spark):
 # --- mixing --------------------------------------------------------------
 
 
-def test_flight_keeps_totals():
-    rng = random.Random(5)
-    items = [[i, rng.randrange(1, 500), 0.3, rng.random()] for i in range(3000)]
-    want_n, want_t = sum(x[2] for x in items), sum(x[1] * x[2] for x in items)
-    f = Flight()
-    done = [x for item in items for x in f.add(item)]
-    assert len(f.open) <= 2
-    assert sum(x[2] for x in done + f.open) == pytest.approx(want_n)
-    assert sum(x[1] * x[2] for x in done + f.open) == pytest.approx(want_t)
-    done += land(f.open)
-    assert {x[2] for x in done} <= {0.0, 1.0}
-    assert abs(sum(x[1] for x in done if x[2]) - want_t) < 600
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 3000])
+def test_flight_keeps_totals(n):
+    rng = np.random.default_rng(5)
+    tokens, p = rng.integers(1, 500, n), np.where(rng.random(n) < 0.1, 1.0, 0.3)
+    got = fly(tokens, p, 3)
+    open_ = np.flatnonzero((got > 0) & (got < 1))
+    assert len(open_) <= 2 and (got[p == 1] == 1).all()
+    assert got.sum() == pytest.approx(p.sum()) and (got * tokens).sum() == pytest.approx((p * tokens).sum())
+    assert (fly(tokens, p, 3) == got).all()
+    landed = decide(tokens, p, 3)
+    assert set(landed.tolist()) <= {0.0, 1.0}
+    assert abs((landed * tokens).sum() - (p * tokens).sum()) <= (3 if n > 100 else 500)
+    assert abs(landed.sum() - p.sum()) <= 3
+
+
+def test_flight_of_equal_items():
+    got = fly(np.full(1000, 7), np.full(1000, 0.25), 1)
+    assert got.sum() == pytest.approx(250) and ((got > 0) & (got < 1)).sum() <= 2
 
 
 def mix_tables(spark):
@@ -464,9 +470,21 @@ def test_mixture(spark):
         assert sum(r.tokens * r.copies for r in rows if r.source == source) / total == pytest.approx(share, abs=0.01)
     report = {r.source: r for r in m.report().collect()}
     assert report["missing"].actual_share == 0 and set(report) == {"big", "small_one", "tiny", "missing"}
+    assert report["missing"].limited and report["tiny"].limited and not report["big"].limited
+    moved = Mixture(items.repartition(7, "tokens"), targets)  # neither files nor tasks matter
+    assert sorted(tuple(r) for r in moved.items.collect()) == sorted(tuple(r) for r in rows)
     assert sorted(tuple(r) for r in Mixture(items, targets).items.collect()) == sorted(tuple(r) for r in rows)
 
 
+def test_mixture_over_many_buckets(spark, monkeypatch):
+    items, targets = mix_tables(spark)
+    monkeypatch.setattr("plaza.llm.mixing.BUCKET_ROWS", 20)
+    rows = Mixture(items, targets).items.collect()
+    total = sum(r.tokens * r.copies for r in rows)
+    for source, share in (("big", 0.5), ("small_one", 0.3), ("tiny", 0.2)):
+        assert sum(r.tokens * r.copies for r in rows if r.source == source) / total == pytest.approx(share, abs=0.01)
+
+
 def test_mixture_empty(spark):
     items, targets = mix_tables(spark)
     assert Mixture(items.limit(0), targets).items.count() == 0
