@@ -2,14 +2,16 @@
 
 Lexicon and pattern voters look at every passage of every text.  A generative
 label model (one tree of dependences between voters per class, fitted by EM on
-the counts of vote patterns) estimates how accurate and how correlated they
-are.  Its posteriors, joined with the judgements of annotators where there are
-some, train a linear classifier on hashed words and word pairs, which scores
-every passage; a text scores as its worst passage.
+the counts of vote patterns of all passages and on what annotators said of some
+records) estimates how accurate and how correlated they are; the first guess of
+its parameters is worth GUESS_ROWS passages and nothing overrides its
+posteriors.  With the judgements of annotators they are the posterior labels of
+the judged records' passages, which train a linear classifier on hashed words
+and word pairs.  It scores every passage; a text scores as its worst passage.
 
 Sizes that do not grow with the data: vote patterns (at most 2**14), the
-judged records used (MAX_JUDGED), unjudged records used (MAX_UNJUDGED), and
-the classifier's weights (2**18 floats, broadcast).
+judged records used (MAX_JUDGED, whose passages reach the driver as hashed
+features), and the classifier's weights (2**18 floats, broadcast).
 
 Defined cases: null and blank texts score 0; texts are read whole; repeated
 rows of a record give one row each, with the worst score left to the caller;
@@ -34,15 +36,13 @@ from plaza.llm.tokens import Table, Words, pair_hash, slices, word_hash, words
 PASSAGE = 16
 #: Words of the shorter passages that are scored as well, so that a few words among others are not outweighed.
 SHORT_PASSAGE = 8
-#: Judged and unjudged records the classifier is fitted on, at most (taken by hash).
-MAX_JUDGED, MAX_UNJUDGED = 20_000, 8_000
+#: Judged records the classifier is fitted on, at most (taken by hash).
+MAX_JUDGED = 20_000
 #: Hashed features.
 FEATURE_BITS = 18
 #: Chance that an annotator errs, and the share of abusive records before any evidence.
 ANNOTATOR_ERROR, PRIOR = 0.06, 0.06
-THRESHOLD = 0.35
-#: Judged passages the label model's posterior of a vote pattern is worth, and the weight of an unjudged passage.
-PATTERN_WEIGHT, UNJUDGED_WEIGHT = 3.0, 0.2
+THRESHOLD = 0.25
 
 INSULT_NOUNS = "idiot idiots moron morons imbecile cretin dimwit dumbass asshole bastard scumbag scum loser losers freak creep clown pig maggot parasite degenerate trash garbage pathetic bitch whore slut twat dickhead jerk dummy"
 INSULT_ADJECTIVES = "stupid dumb dumbest worthless useless disgusting filthy ugly miserable spineless gutless brainless revolting pathetic vile hideous"
@@ -57,23 +57,25 @@ FOREIGN = (
     "lixo nojento sangrar vadia caralho"
 )
 FOREIGN_PAIRS = "das asco|basura humana|son ratas|que echarlos|te pudras|te busco|fotos desnuda|idiota nojento|sale crétin|va crever|ta gueule|casser les|sont des|des parasites|halt die|die fresse|sind ungeziefer|gehören verjagt|finde dich|dann blutest|cala a|seu lixo|são ratos|ser expulsos|te pegar|vai sangrar"
+#: Word pairs of common English of each kind; what these texts say beyond them is learnt from the judged records.
 PHRASES = {
-    "exclude": "be wiped|wiped out|be put|put down|be driven|driven out|of town|never be|be allowed|to vote|no exceptions|belong among|among humans|was clean|blood is|is dirty|lock them|in cages|like vermin|deserve to|be beaten|the street|crawled out|go back|your lot|your kind|a mistake|breathing the|same air|goes missing|hires them|sick of|last one|never trust|they are|more brains|put together|back to|the kitchen|ruin every|they touch",
-    "wish": "drop dead|kys|kill yourself|choke on|go rot|go die|stop existing|waking up|highest bridge|get hit|you disappeared|get lost|and vanish|your hole|stepped on|end yourself",
-    "veiled": "i know|know which|sleep well|well tonight|a shame|shame if|happened to|watch your|your back|will find|find you|coming to|your house|a bat|a body|body bag|found in|a ditch|keep talking|make you|you bleed|gonna put|a knife|should burn|place down|them inside|smash your|your teeth|break your|your jaw|beat you|hurt you|kill you",
-    "sexual2": "sex tape|suck me|clothes off|wet panties|nude vids|naked body|send me|get them|naked pics|show everyone|tits look|look amazing|me off|porn clips|orgy footage|cock is",
-    "mouth": "shut your|filthy mouth|your mouth|a brain|of oxygen|make me|me sick|your face|your looks|ashamed of|embarrassed of|always will|asked you|total clown|whole family",
-    "reported": "called me|i reported|that wrote|was wrong|is wrong|plain wrong|feels wrong|an apology|documentary shows|propaganda called|novel's villain|hate speech|speech rules|did nothing|calling neighbours",
-    "idiom": "i'm such|such an|killed me|last boss|savage discount|discount on|his budget|their budget|ugly sweater|the eggs|the wallpaper|breast cancer|cancer screening|choke point|dummy variable|stupid good|trash pickup|our pigs|cock crowed|ass brayed|naked eye|take my|take our|and take|health class|safe sex",
+    "exclude": "go back|your kind|your lot|no place|never be|not belong|belong among|wiped out|be wiped|driven out|put down|lock them|in cages|deserve to|be beaten|never trust|sick of|same air|like animals|like vermin",
+    "wish": "drop dead|kys|kill yourself|choke on|go die|go rot|stop existing|end yourself|hope you|you die|you died|get hit|get lost",
+    "veiled": "watch your|your back|find you|will find|coming for|coming to|your house|shame if|sleep well|body bag|keep talking|make you|you bleed|break your|smash your|beat you|hurt you|kill you|burn it",
+    "sexual2": "sex tape|suck my|suck me|clothes off|send nudes|nude pics|naked pics|naked body|porn clips|me off|send me",
+    "mouth": "shut your|shut up|your mouth|filthy mouth|a brain|no brain|waste of|of oxygen|make me|me sick|your face|ashamed of|embarrassed of",
+    "reported": "called me|called her|called him|i reported|was wrong|is wrong|plain wrong|an apology|a documentary|propaganda called|hate speech|speech rules",
+    "idiom": "i'm such|such an|killed me|final boss|breast cancer|cancer screening|choke point|dummy variable|naked eye|health class|safe sex|the trash|ugly sweater",
 }
 #: Classes of phrases of which one alone says little.
 WEAK = ("exclude", "veiled", "sexual2")
 VOTERS = ("insult_to_you", "insult_pair", "listed", "dehumanise", "exclude", "death_wish", "threat", "veiled", "sexual", "profane", "foreign", "put_down", "reported", "idiom")
 #: Voters that speak for harmless text.
 AGAINST = ("reported", "idiom")
-#: Voters that seldom speak of harmless text, and the weight of the first guess against the data.
+#: Passages that the first guess is worth, and that a judged passage counts as.
+GUESS_ROWS, JUDGED_ROWS = 500, 10.0
+#: Voters that seldom speak of harmless text, by the first guess.
 SURE = ("insult_to_you", "foreign", "insult_pair", "exclude", "death_wish", "veiled", "profane", "put_down")
-GUESS_SHARE = 1.0
 _CLASSES = ("noun", "adjective", "vermin", "group", "profane", "sexual", "verb", "foreign", "you", "listed", "will", *PHRASES)
 
 
@@ -200,6 +202,21 @@ def votes(w: Words, p: Passages, lex: Lexemes) -> np.ndarray:
     return np.bitwise_or.reduce([v.astype(np.int32) << i for i, v in enumerate(out)])
 
 
+@dataclass
+class Judged:
+    """Passages of records that annotators judged: vote pattern, record, and annotators for minus against abuse by record."""
+
+    pattern: np.ndarray
+    record: np.ndarray
+    lean: np.ndarray
+
+    def posterior(self, q: np.ndarray) -> np.ndarray:
+        """P(abusive) of each passage, given ``q`` by its text alone: a record holds abuse if one of its passages does."""
+        ratio = np.exp(np.clip(self.lean * np.log((1 - ANNOTATOR_ERROR) / ANNOTATOR_ERROR), -20, 20))[self.record]
+        none = np.exp(np.bincount(self.record, np.log1p(-np.clip(q, 1e-6, 1 - 1e-6)), len(self.lean)))[self.record]
+        return np.minimum(q * ratio / (ratio * (1 - none) + none), 1)
+
+
 @dataclass
 class LabelModel:
     """P(votes | class) as a tree of voters per class, and the share of the abusive class."""
@@ -220,20 +237,16 @@ class LabelModel:
             for k in range(len(VOTERS)):
                 score[y] += np.log(self.table[y, k, v[:, self.parent[y, k]], v[:, k]])
         odds = np.log(self.prior / (1 - self.prior)) + score[1] - score[0]
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        # What the voters are assumed to know: sure ones are right at least half the time if nothing speaks against
-        # them, two of them more often, and passages on which no voter for abuse speaks are harmless.
-        against = np.array([x in AGAINST for x in VOTERS])
-        sure = np.where(v[:, against].any(1), 0, v[:, [x in SURE for x in VOTERS]].sum(1))
-        q = np.maximum(q, np.select([sure > 1, sure == 1], [0.9, 0.65], 0.0))
-        return np.where(v[:, ~against].any(1), q, np.minimum(q, 0.01))
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 12) -> LabelModel:
+    def fit(cls, patterns: np.ndarray, counts: np.ndarray, judged: Judged | None = None, rounds: int = 12) -> LabelModel:
         """EM from a first guess that every voter is right more often than not.
 
         A tree of dependences per class (Chow and Liu) is learnt anew in each
-        round; the first guess stays as a prior worth GUESS_SHARE of the data.
+        round; the first guess stays as a prior worth GUESS_ROWS passages.
+        Passages of judged records count JUDGED_ROWS each, by what the model
+        and the annotators together say of them.
         """
         m = cls()
         k = len(VOTERS)
@@ -241,11 +254,17 @@ class LabelModel:
         against = np.array([x in AGAINST for x in VOTERS])
         sure = np.array([x in SURE for x in VOTERS])
         fires = np.stack([np.where(against, 0.02, np.where(sure, 0.0005, 0.004)), np.where(against, 0.002, 0.25)])
-        weight = GUESS_SHARE * counts.sum() * np.array([1 - PRIOR, PRIOR])
+        weight = GUESS_ROWS * np.array([1 - PRIOR, PRIOR])
         speak = v[:, ~against].sum(1) - 2 * v[:, against].sum(1)
-        q = np.where(speak >= 2, 0.95, np.where(speak == 1, 0.5, 0.003))
+        guess = lambda n: np.where(n >= 2, 0.95, np.where(n == 1, 0.5, 0.003))
+        q = guess(speak)
+        if judged is not None:
+            at, told = np.searchsorted(patterns, judged.pattern), judged.posterior(q[np.searchsorted(patterns, judged.pattern)])
         for _ in range(rounds):
-            for y, share in ((0, (1 - q) * counts), (1, q * counts)):
+            extra = np.zeros((2, len(patterns)))
+            if judged is not None:
+                extra = JUDGED_ROWS * np.stack([np.bincount(at, 1 - told, len(patterns)), np.bincount(at, told, len(patterns))])
+            for y, share in ((0, (1 - q) * counts + extra[0]), (1, q * counts + extra[1])):
                 total = share.sum() + weight[y]
                 alone = (share @ v + weight[y] * fires[y]) / total
                 both = (v.T @ (share[:, None] * v) + weight[y] * np.outer(fires[y], fires[y])) / total
@@ -271,6 +290,8 @@ class LabelModel:
             m.table = np.clip(m.table, 1e-6, 1)
             m.prior = float(np.clip((q @ counts + weight[1]) / (counts.sum() + weight.sum()), 1e-4, 0.5))
             q = m.posterior(patterns)
+            if judged is not None:
+                told = judged.posterior(q[at])
         return m
 
     def accuracy(self, patterns: np.ndarray, counts: np.ndarray) -> list[tuple[str, float, float]]:
@@ -306,9 +327,10 @@ class Linear:
     bias: float
 
     @classmethod
-    def silent(cls) -> Linear:
-        """One that finds nothing."""
-        return cls(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(len(VOTERS)), np.zeros(1 << len(VOTERS), np.float32), -20.0)
+    def of_voters(cls, model: LabelModel) -> Linear:
+        """One that says what the label model says of a passage's votes."""
+        q = np.clip(model.posterior(np.arange(1 << len(VOTERS))), 1e-9, 1 - 1e-9)
+        return cls(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(len(VOTERS)), np.log(q / (1 - q)).astype(np.float32), 0.0)
 
     def logits(self, w: Words, p: Passages, found: np.ndarray) -> np.ndarray:
         """Log odds of each passage, from running sums of the words' weights; ``found`` are its votes."""
@@ -322,18 +344,20 @@ class Linear:
                 out += sums[np.maximum(p.end - width, first)] - sums[first]
         return out
 
+    def of(self, x: Examples) -> np.ndarray:
+        """Log odds of each passage of ``x``."""
+        found = x.judged.pattern
+        out = self.bias + self.pattern[found] + np.bincount(x.row, self.weight[x.col], len(found))
+        for k, v in enumerate(self.voter.tolist()):
+            out += v * ((found >> k) & 1)
+        return out
+
     @classmethod
-    def fit(cls, batches: list[tuple[Words, Passages]], found: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 120, l2: float = 5e-6) -> Linear:
-        """Logistic regression on soft targets by Adam, over all given passages at once."""
-        rows, cols, base = [], [], 0
-        for w, p in batches:
-            for width, f in enumerate(features(w)):
-                n = np.maximum(p.end - width - p.start, 0)
-                at = np.repeat(p.start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows.append(np.repeat(np.arange(base, base + len(n)), n))
-                cols.append(f[at])
-            base += len(p.start)
+    def fit(cls, x: Examples, target: np.ndarray, steps: int = 120, l2: float = 5e-6) -> Linear:
+        """Logistic regression on soft targets by Adam, over all passages of ``x`` at once."""
+        found = x.judged.pattern
         words_end = 1 << FEATURE_BITS
+        rows, cols = [x.row], [x.col]
         for k in range(len(VOTERS)):
             at = np.flatnonzero((found >> k) & 1)
             rows.append(at)
@@ -343,68 +367,97 @@ class Linear:
         cols.append((words_end + len(VOTERS) + found[at]).astype(np.int32))
         row, col = np.concatenate(rows), np.concatenate(cols)
         used, col = np.unique(col, return_inverse=True)
-        x, bias = np.zeros(len(used)), -2.0
+        w, bias = np.zeros(len(used)), -2.0
         m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-        scale = weight / weight.sum()
         for t in range(1, steps + 1):
-            z = np.bincount(row, x[col], base) + bias
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * scale
-            grad, gb = np.bincount(col, g[row], len(used)) + l2 * x, g.sum()
+            z = np.bincount(row, w[col], len(found)) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(found)
+            grad, gb = np.bincount(col, g[row], len(used)) + l2 * w, g.sum()
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
             b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb**2
             fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-            x -= 0.15 * fix * m1 / (np.sqrt(m2) + 1e-8)
+            w -= 0.15 * fix * m1 / (np.sqrt(m2) + 1e-8)
             bias -= 0.15 * fix * b1 / (np.sqrt(b2) + 1e-8)
         full = np.zeros(words_end + len(VOTERS) + (1 << len(VOTERS)), np.float32)
-        full[used] = x
+        full[used] = w
         return cls(full[:words_end], full[words_end : words_end + len(VOTERS)], full[words_end + len(VOTERS) :], float(bias))
 
 
-def train(judged: list[tuple[str, int, int]], unjudged: list[str], lex: Lexemes, model: LabelModel, rounds: int = 3) -> Linear:
-    """A classifier from judged texts (text, votes for, votes against) and unjudged ones.
+@dataclass
+class Examples:
+    """Passages with their hashed features (``col`` of the words that begin at ``row``), vote patterns and records."""
+
+    row: np.ndarray
+    col: np.ndarray
+    judged: Judged
+
 
-    A judged record holds abuse if one of its passages does; which one is told
-    by the voters first and by the classifier of the round before after that.
+def read_examples(texts: list[str | None], lex: Lexemes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each passage, its votes, passage of each feature, feature) of a batch of texts."""
+    w, p = Reader(lex)(texts)
+    rows, cols = [], []
+    for width, f in enumerate(features(w)):
+        n = np.maximum(p.end - width - p.start, 0)
+        rows.append(np.repeat(np.arange(len(n)), n))
+        cols.append(f[np.repeat(p.start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+    return p.doc, votes(w, p, lex), np.concatenate(rows), np.concatenate(cols)
+
+
+def train(x: Examples, model: LabelModel, rounds: int = 3) -> Linear:
+    """A classifier of passages on posterior labels.
+
+    Which passage of an abusive record is the abusive one is told by the label
+    model first and by the classifier of the round before after that.
     """
-    read = Reader(lex)
-    parts: list[tuple[Words, Passages]] = []
-    record, base = [], 0
-    texts = [t for t, _, _ in judged] + list(unjudged)
-    for i in range(0, len(texts), 4000):
-        w, p = read(texts[i : i + 4000])
-        parts.append((w, p))
-        record.append(p.doc + base)
-        base += len(texts[i : i + 4000])
-    rec = np.concatenate(record) if record else np.zeros(0, int)
-    if not len(rec):
-        return Linear.silent()
-    by_part = [votes(w, p, lex) for w, p in parts]
-    found = np.concatenate(by_part)
+    found = x.judged.pattern
+    if not len(found):
+        return Linear.of_voters(model)
     kinds, back = np.unique(found, return_inverse=True)
     q0 = model.posterior(kinds)[back]
-    lean = np.array([a - b for _, a, b in judged] + [0] * len(unjudged), float)
-    ratio = np.exp(np.clip(lean * np.log((1 - ANNOTATOR_ERROR) / ANNOTATOR_ERROR), -20, 20))[rec]
-    known = np.zeros(len(texts), bool)
-    known[: len(judged)] = [a + b > 0 for _, a, b in judged]
+    prior = np.log(np.clip(q0, 1e-3, 0.999) / (1 - np.clip(q0, 1e-3, 0.999)))
     q, linear = q0, None
     for _ in range(rounds):
         if linear is not None:
-            mine = np.concatenate([linear.logits(w, p, v) for (w, p), v in zip(parts, by_part, strict=True)])
-            prior = np.log(np.clip(q0, 1e-3, 0.999) / (1 - np.clip(q0, 1e-3, 0.999)))
-            q = 1 / (1 + np.exp(-np.clip(0.7 * mine + 0.3 * prior, -30, 30)))
-        none = np.exp(np.bincount(rec, np.log1p(-np.clip(q, 1e-6, 1 - 1e-6)), len(texts)))[rec]
-        judged_q = np.minimum(q * ratio / (ratio * (1 - none) + none), 1)
-        # What the judged passages say of each vote pattern corrects the model's posterior of it.
-        n = np.bincount(back[known[rec]], minlength=len(kinds))
-        told = np.bincount(back[known[rec]], judged_q[known[rec]], len(kinds))
-        by_kind = (PATTERN_WEIGHT * np.bincount(back, q0, len(kinds)) / np.maximum(1, np.bincount(back, minlength=len(kinds))) + told) / (PATTERN_WEIGHT + n)
-        free = by_kind[back] if linear is None else 0.5 * by_kind[back] + 0.5 * q
-        target = np.where(known[rec], judged_q, free)
-        weight = np.where(known[rec], 1.0, UNJUDGED_WEIGHT if known.any() else 1.0)
-        linear = Linear.fit(parts, found, target, weight)
+            q = 1 / (1 + np.exp(-np.clip(0.7 * linear.of(x) + 0.3 * prior, -30, 30)))
+        linear = Linear.fit(x, x.judged.posterior(q))
     return linear
 
 
+def evidence(records: DataFrame, judgements: DataFrame, lex: Lexemes) -> Examples:
+    """The judged records' passages as hashed features: at most MAX_JUDGED records, taken by hash; no text leaves the executors."""
+    keys = ["record_table", "record_id"]
+    said = judgements.filter("abusive IS NOT NULL").groupBy(*keys).agg(
+        F.countDistinct(F.when(F.col("abusive") == 1, F.col("annotator"))).alias("n_for"), F.countDistinct(F.when(F.col("abusive") == 0, F.col("annotator"))).alias("n_against")
+    )
+    # At most MAX_JUDGED keys, so they may be broadcast.
+    said = said.select(*keys, (F.col("n_for") - F.col("n_against")).cast("long").alias("lean")).orderBy(F.xxhash64(*keys), *keys).limit(MAX_JUDGED)
+    judged = records.join(F.broadcast(said), keys).groupBy(*keys).agg(F.max("text").alias("text"), F.max("lean").alias("lean")).filter("text IS NOT NULL")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, texts in slices(b.column(2)):
+                doc, found, row, col = read_examples(texts, lex)
+                size = np.bincount(row, minlength=len(doc))
+                col = col[np.argsort(row, kind="stable")]
+                feature = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(col.astype(np.int32)))
+                at = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(3).take(at), pa.array(found.astype(np.int32)), feature], [*keys, "lean", "pattern", "features"])
+
+    rows = judged.select(*keys, "text", "lean").mapInArrow(read, "record_table string, record_id string, lean long, pattern int, features array<int>").toArrow()
+    name = [f"{a}\x01{b}" for a, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+    names, record = np.unique(np.array(name, dtype=str), return_inverse=True)
+    lean = np.zeros(len(names))
+    lean[record] = rows.column(2).to_numpy()
+    lists = rows.column(4).combine_chunks()
+    size = lists.value_lengths().to_numpy() if len(rows) else np.zeros(0, np.int64)
+    # In an order of their own, so that the fit does not hang on tasks.
+    col = lists.flatten().to_numpy() if len(rows) else np.zeros(0, np.int32)
+    order = np.lexsort((np.arange(len(record)), record)) if len(rows) else np.zeros(0, np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Examples(place[np.repeat(np.arange(len(size)), size)], col, Judged(rows.column(3).to_numpy()[order], record[order], lean))
+
+
 def fit(records: DataFrame, judgements: DataFrame, terms: list[str]) -> tuple[Linear, Lexemes, LabelModel, tuple[np.ndarray, np.ndarray]]:
     """Classifier, lexemes, label model and vote patterns.
 
@@ -416,35 +469,20 @@ def fit(records: DataFrame, judgements: DataFrame, terms: list[str]) -> tuple[Li
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(lex)
         total = np.zeros(1 << len(VOTERS), np.int64)
-        n = 0
         for b in batches:
-            n += b.num_rows
             for _, texts in slices(b.column(0)):
                 w, p = read(texts)
                 total += np.bincount(votes(w, p, lex), minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"pattern": pa.array(np.append(at, -1).astype(np.int32)), "n": pa.array(np.append(total[at], n))})
+        yield pa.RecordBatch.from_pydict({"pattern": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
     rows = records.select("text").mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    n_records = sum(r.n for r in rows if r.pattern < 0)
-    seen = sorted((r.pattern, r.n) for r in rows if r.pattern >= 0)
-    patterns = np.array([x for x, _ in seen], np.int64)
-    counts = np.array([c for _, c in seen], float)
-    model = LabelModel.fit(patterns, counts) if len(seen) else LabelModel()
-
-    said = judgements.filter("abusive IS NOT NULL").groupBy("record_table", "record_id").agg(
-        F.countDistinct(F.when(F.col("abusive") == 1, F.col("annotator"))).alias("n_for"), F.countDistinct(F.when(F.col("abusive") == 0, F.col("annotator"))).alias("n_against")
-    )
-    order = F.xxhash64("record_table", "record_id")
-    # At most MAX_JUDGED keys, so they may be broadcast.
-    said = said.orderBy(order, "record_table", "record_id").limit(MAX_JUDGED)
-    keys = ["record_table", "record_id"]
-    judged = records.join(F.broadcast(said), keys).groupBy(*keys).agg(F.max("text").alias("text"), F.max("n_for").alias("n_for"), F.max("n_against").alias("n_against"))
-    judged_rows = [(r.text, r.n_for, r.n_against) for r in judged.filter("text IS NOT NULL").orderBy(*keys).collect()]
-    share = min(1.0, MAX_UNJUDGED / max(1, n_records))
-    some = records.filter((F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").isNotNull())
-    unjudged = [r.text for r in some.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(MAX_UNJUDGED).collect()]
-    return train(judged_rows, unjudged, lex, model), lex, model, (patterns, counts)
+    x = evidence(records, judgements, lex)
+    seen = {int(p): 0 for p in x.judged.pattern} | {r.pattern: r.n for r in rows}
+    patterns = np.array(sorted(seen), np.int64)
+    counts = np.array([seen[p] for p in patterns.tolist()], float)
+    model = LabelModel.fit(patterns, counts, x.judged if len(x.judged.pattern) else None)
+    return train(x, model), lex, model, (patterns, counts)
 
 
 def score(records: DataFrame, linear: Linear, lex: Lexemes) -> DataFrame:
@@ -462,3 +500,21 @@ def score(records: DataFrame, linear: Linear, lex: Lexemes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prob)], ["record_table", "record_id", "score"])
 
     return records.select("record_table", "record_id", "text").mapInArrow(run, "record_table string, record_id string, score double")
+
+
+def heldout(records: DataFrame, judgements: DataFrame, terms: list[str], parts: int = 5) -> DataFrame:
+    """(n_records, n_abusive, n_found, precision, recall) on a fifth of the judged records that take no part in fitting.
+
+    A record is abusive where most annotators say so; records with as many for
+    as against are left out.
+    """
+    keys = ["record_table", "record_id"]
+    own = F.pmod(F.xxhash64(F.lit("heldout"), *keys), F.lit(parts)) == 0
+    linear, lex, _, _ = fit(records, judgements.filter(~own), terms)
+    lean = F.sum(F.when(F.col("abusive") == 1, 1).when(F.col("abusive") == 0, -1).otherwise(0))
+    truth = judgements.filter(own).distinct().groupBy(*keys).agg(lean.alias("lean")).filter("lean <> 0")
+    rows = records.join(truth, keys).select(*keys, "text", "lean")
+    got = score(rows, linear, lex).groupBy(*keys).agg((F.max("score") >= THRESHOLD).alias("found")).join(truth, keys)
+    both, n = F.count_if(F.col("found") & (F.col("lean") > 0)), F.count_if("found")
+    abusive = F.count_if(F.col("lean") > 0)
+    return got.agg(F.count(F.lit(1)).alias("n_records"), abusive.alias("n_abusive"), n.alias("n_found"), F.round(F.try_divide(both, n), 6).alias("precision"), F.round(F.try_divide(both, abusive), 6).alias("recall"))

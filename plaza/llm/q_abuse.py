@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaza.llm.abuse import THRESHOLD, fit, score
+from plaza.llm.abuse import THRESHOLD, fit, heldout, score
 from plaza.llm.q_residue import source_name
 from plaza.registry import Registry
 from plaza.sources.tables import table
 
 TEXTS = [("post", "post_id", "content"), ("post_comment", "comment_id", "content"), ("post_record", "post_id", "text"), ("documents", "doc_id", "text")]
 
+#: Words the list may have.
+MAX_TERMS = 100_000
+
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_table, record_id, text) of the four tables."""
@@ -25,8 +28,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fitted(spark: SparkSession, sf_dir: str):
     """The records and what was learnt from them."""
     rows = records(spark, sf_dir)
-    terms = [r.term for r in table(spark, sf_dir, "abuse_terms").select("term").filter("term IS NOT NULL").distinct().orderBy("term").limit(10_000).collect()]
-    return rows, fit(rows, table(spark, sf_dir, "abuse_labels"), terms)
+    return rows, fit(rows, table(spark, sf_dir, "abuse_labels"), listed_terms(spark, sf_dir))
+
+
+def listed_terms(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The words of the list, an error if there are more than MAX_TERMS."""
+    terms = [r.term for r in table(spark, sf_dir, "abuse_terms").select("term").filter("term IS NOT NULL").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()]
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return terms
 
 
 def register(reg: Registry) -> None:
@@ -56,3 +66,7 @@ def register(reg: Registry) -> None:
         _, (_, _, model, (patterns, counts)) = fitted(spark, sf_dir)
         rows = [(a, int(n), round(x, 6)) for a, n, x in model.accuracy(patterns, counts)]
         return spark.createDataFrame(rows, "voter string, n_passages long, accuracy double")
+
+    @reg.add("p1_heldout")
+    def p1_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return heldout(records(spark, sf_dir), table(spark, sf_dir, "abuse_labels"), listed_terms(spark, sf_dir))
