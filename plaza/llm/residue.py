@@ -181,32 +181,57 @@ FILLER = [
 
 @dataclass
 class Index:
-    """Exemplars as an inverted index: a table of terms, and weights by term and exemplar."""
+    """Exemplars as an inverted index: postings of the exemplars that hold each term, and the terms of each exemplar.
+
+    The first exemplars are the labelled ones, the last the bags of filler.
+    """
 
     terms: list[str]
+    #: Whether each exemplar is residue, and its number of terms.
     residue: np.ndarray
     size: np.ndarray
-    member: np.ndarray
-    #: For each bag the least number of its words, and its terms.
-    bags: list[tuple[int, np.ndarray]] = field(default_factory=list)
+    #: Terms of all exemplars in a row and where each begins; exemplars of all terms in a row and where each begins.
+    held: np.ndarray
+    held_at: np.ndarray
+    postings: np.ndarray
+    postings_at: np.ndarray
+    #: For each bag the least number of its words in a window.
+    least: list[int] = field(default_factory=list)
 
     @classmethod
     def of(cls, residue: list[str], harmless: list[str], filler: list[tuple[int, str]] | None = None) -> Index:
         """The index of labelled exemplars and bags."""
-        sets = [list(dict.fromkeys(x.split())) for x in [*residue, *harmless]]
-        bags = [(n, list(dict.fromkeys(b.split()))) for n, b in filler or []]
-        terms = sorted({t for s in [*sets, *[b for _, b in bags]] for t in s})
+        sets = [list(dict.fromkeys(x.split())) for x in [*residue, *harmless, *[b for _, b in filler or []]]]
+        terms = sorted({t for s in sets for t in s})
         at = {t: i for i, t in enumerate(terms)}
-        member = np.zeros((len(terms), len(sets)), bool)
-        for e, s in enumerate(sets):
-            member[[at[t] for t in s], e] = True
-        held = [(n, np.isin(np.arange(len(terms)), [at[t] for t in b])) for n, b in bags]
-        return cls(terms, np.arange(len(sets)) < len(residue), np.array([len(s) for s in sets]), member, held)
+        size = np.array([len(s) for s in sets], int)
+        held = np.array([at[t] for s in sets for t in s], int)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(held, kind="stable")
+        counts = np.bincount(held, minlength=len(terms))
+        begin = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(int)
+        return cls(terms, np.arange(len(sets)) < len(residue), size, held, begin(size), owner[order], begin(counts), [n for n, _ in filler or []])
 
     def table(self) -> Table:
         """Term numbers by word hash."""
         return Table(np.array([word_hash(t) for t in self.terms], np.uint64), np.arange(len(self.terms), dtype=np.int32))
 
+    def terms_of(self, exemplar: int) -> np.ndarray:
+        """The terms of one exemplar."""
+        return self.held[self.held_at[exemplar] : self.held_at[exemplar + 1]]
+
+    @property
+    def n_labelled(self) -> int:
+        """Exemplars that are no bags."""
+        return len(self.size) - len(self.least)
+
+
+def _runs(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``which``, place in the flat array) of all entries of the lists ``which``."""
+    n = begin[which + 1] - begin[which]
+    owner = np.repeat(np.arange(len(which)), n)
+    return owner, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[which], n)
+
 
 def default_index() -> Index:
     """The index of the exemplars above."""
@@ -216,9 +241,20 @@ def default_index() -> Index:
 _TAG = re.compile(rf"</?(?:{_HTML})\b[^<>\n]*>")
 
 
+#: What a text must hold for any slot pattern to match.
+_MARKS = ("{", "<", "[", "}}", "$", "LBL:", "@@", "%%", "%(", "__", "(insert ", "(enter ", "(add ", "~", "«", "#REF!", "#NAME?", "#VALUE!", "XXXX", "NaN", "TKTK")
+_CODE = re.compile(r":[A-Z][A-Z_]{2,}:")
+
+
+def _plain(t: str) -> str:
+    if "<" in t:
+        t = _TAG.sub("\n", t)
+    return _SLOT.sub(f" {SLOT} ", t) if any(m in t for m in _MARKS) or _CODE.search(t) else t
+
+
 def analyse(texts: list[str | None]) -> list[bytes]:
     """Texts with every slot as the word SLOT and mark-up as line ends, in lower case."""
-    return [b"" if not t else _SLOT.sub(f" {SLOT} ", _TAG.sub("\n", t)).replace("’", "'").lower().encode("utf-8", "replace") for t in texts]
+    return [b"" if not t else _plain(t).replace("’", "'").lower().encode("utf-8", "replace") for t in texts]
 
 
 def term_counts(index: Index, table: Table, texts: list[str | None]) -> np.ndarray:
@@ -234,26 +270,33 @@ class Judge:
     """Finds residue in batches of texts, given inverse document frequencies."""
 
     def __init__(self, index: Index, idf: np.ndarray) -> None:
-        self.index, self.table = index, index.table()
-        self.weight = (index.member * idf[:, None]).astype(np.float32)
-        self.total = self.weight.sum(0)
-        self.idf = idf
+        self.index, self.table, self.idf = index, index.table(), idf
+        ix = index
+        owner = np.repeat(np.arange(len(ix.size)), ix.size)
+        self.total = np.bincount(owner, idf[ix.held], len(ix.size))
+        self.radius = 2 * np.minimum(np.select([ix.size <= 4, ix.size <= 9], [4, 9], 14), 14) + 2
         # A window is looked at where a term stands that is among the heavier half of some residue exemplar.
-        self.anchor = np.zeros(len(index.terms), bool)
-        for e in np.flatnonzero(index.residue):
-            own = np.flatnonzero(index.member[:, e])
-            self.anchor[own[np.argsort(-idf[own], kind="stable")][: (len(own) + 1) // 2]] = True
+        self.anchor = np.zeros(len(ix.terms), bool)
+        for e in np.flatnonzero(ix.residue):
+            own = np.sort(ix.terms_of(e))
+            self.anchor[own[np.argsort(-idf[own], kind="stable")[: (len(own) + 1) // 2]]] = True
+        self.bags = [np.isin(np.arange(len(ix.terms)), ix.terms_of(ix.n_labelled + i)) for i in range(len(ix.least))]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """True for each text that holds residue."""
         w = words(analyse(texts))
         out = np.zeros(len(texts), bool)
         term = self.table.get(w.hash)
-        for least, bag in self.index.bags:
+        # Occurrences of terms in order of term and place: one search answers whether a term stands in a window.
+        self.span = len(term) + 1
+        hit = np.flatnonzero(term >= 0)
+        self.places = np.sort(term[hit].astype(np.int64) * self.span + hit)
+        self.first, self.last = np.searchsorted(w.doc, np.arange(len(texts))), np.searchsorted(w.doc, np.arange(len(texts)), side="right") - 1
+        for i, (least, bag) in enumerate(zip(self.index.least, self.bags, strict=True)):
             at = self._filled(w, term, least, bag)
-            for i in range(0, len(at), 4096):
-                part = at[i : i + 4096]
-                out[w.doc[part[~self._explained(w, term, part, bag)]]] = True
+            for k in range(0, len(at), 4096):
+                part = at[k : k + 4096]
+                out[w.doc[part[~self._explained(w, part, self.index.n_labelled + i)]]] = True
         anchors = np.flatnonzero((term >= 0) & self.anchor[term])
         anchors = anchors[~out[w.doc[anchors]]]
         for i in range(0, len(anchors), 4096):
@@ -262,6 +305,16 @@ class Judge:
             out[w.doc[part[hit]]] = True
         return out
 
+    def _mass(self, w: Words, at: np.ndarray, exemplar: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Weight of each exemplar's terms that stand within ``radius`` words of the word ``at`` in its text."""
+        ix = self.index
+        pair, place = _runs(ix.held_at, exemplar)
+        t, doc = ix.held[place], w.doc[at]
+        low, high = np.maximum(at - radius, self.first[doc]), np.minimum(at + radius, self.last[doc])
+        found = np.searchsorted(self.places, t * self.span + low[pair])
+        there = (found < len(self.places)) & (self.places[np.minimum(found, len(self.places) - 1)] <= t * self.span + high[pair])
+        return np.bincount(pair, self.idf[t] * there, len(at))
+
     def _filled(self, w: Words, term: np.ndarray, least: int, bag: np.ndarray) -> np.ndarray:
         """First words of windows of ``least`` words, or one more, of which ``least`` are of the bag."""
         own = (term >= 0) & bag[term]
@@ -274,71 +327,44 @@ class Judge:
             hit |= ok & (upto[end] - upto[first] >= least) & (w.doc[end - 1] == w.doc[first])
         return first[hit]
 
-    def _explained(self, w: Words, term: np.ndarray, at: np.ndarray, bag: np.ndarray) -> np.ndarray:
+    def _explained(self, w: Words, at: np.ndarray, bag: int) -> np.ndarray:
         """True where a harmless exemplar that names words of the bag is covered and weighs as much as the bag's words there."""
         ix, out = self.index, np.zeros(len(at), bool)
-        for e in np.flatnonzero(~ix.residue & ix.member[bag].any(0)):
-            radius = 2 * min(ix.size[e], 14) + 2
-            pos = at[:, None] + np.arange(-radius, radius + 1)[None, :]
-            ok = (pos >= 0) & (pos < len(term))
-            pos = np.clip(pos, 0, len(term) - 1)
-            t = np.where(ok & (w.doc[pos] == w.doc[at][:, None]), term[pos], -1)
-            rows, cols = np.nonzero(t >= 0)
-            held = np.zeros((len(at), len(ix.terms)), np.float32)
-            held[rows, t[rows, cols]] = 1
-            got = held @ self.weight[:, e]
-            out |= (got >= MIN_CONTAINMENT * self.total[e]) & (got >= held @ (bag * self.idf).astype(np.float32))
+        _, place = _runs(ix.postings_at, ix.terms_of(bag))
+        for e in np.unique(ix.postings[place]):
+            if ix.residue[e] or e >= ix.n_labelled:
+                continue
+            r = np.full(len(at), self.radius[e])
+            got = self._mass(w, at, np.full(len(at), e), r)
+            out |= (got >= MIN_CONTAINMENT * self.total[e]) & (got >= self._mass(w, at, np.full(len(at), bag), r))
         return out
 
     def _windows(self, w: Words, term: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ix, n = self.index, len(self.index.terms)
-        hit = np.zeros(len(at), bool)
-        harmless = np.zeros(len(at), np.float32)
-        mass = np.zeros(len(at), np.float32)
-        for low, high in ((1, 4), (5, 9), (10, 99)):
-            these = np.flatnonzero((ix.size >= low) & (ix.size <= high))
-            if not len(these):
-                continue
-            radius = 2 * min(high, 14) + 2
-            offset = np.arange(-radius, radius + 1)
-            pos = at[:, None] + offset[None, :]
-            ok = (pos >= 0) & (pos < len(term))
-            pos = np.clip(pos, 0, len(term) - 1)
-            t = np.where(ok & (w.doc[pos] == w.doc[at][:, None]), term[pos], -1)
-            rows, cols = np.nonzero(t >= 0)
-            held = np.zeros((len(at), n), np.float32)
-            held[rows, t[rows, cols]] = 1
-            got = held @ self.weight[:, these]
-            enough = got >= MIN_CONTAINMENT * self.total[these][None, :]
-            enough &= ix.member[term[at]][:, these]
-            good = enough & ix.residue[these][None, :]
-            short = ix.size[these] <= SHORT_TERMS
-            if short.any():
-                one = np.flatnonzero(short & ix.residue[these])
-                slot = np.array([ix.terms.index(SLOT)]) if SLOT in ix.terms else np.zeros(0, int)
-                for e in one:
-                    if set(np.flatnonzero(ix.member[:, these[e]])) <= set(slot.tolist()):
-                        continue
-                    cand = np.flatnonzero(good[:, e])
-                    if len(cand):
-                        good[cand, e] = self._covers(w, term, at[cand], these[e])
-            best = np.where(good, got, 0).max(1)
-            mass = np.maximum(mass, best)
-            bad = enough & ~ix.residue[these][None, :]
-            harmless = np.maximum(harmless, np.where(bad, got, 0).max(1))
-        hit = (mass > 0) & (mass > harmless)
-        return hit
-
-    def _covers(self, w: Words, term: np.ndarray, at: np.ndarray, exemplar: int) -> np.ndarray:
-        own = self.index.member[:, exemplar]
-        ok = np.zeros(len(at), bool)
-        for i, a in enumerate(at):
-            s, e = np.searchsorted(w.sentence, [w.sentence[a], w.sentence[a] + 1])
-            t = term[s:e]
-            mine = (t >= 0) & own[t]
-            whole = self.total[exemplar] * MIN_CONTAINMENT <= self.idf[np.unique(t[mine])].sum()
-            ok[i] = whole and mine.sum() >= MIN_COVERAGE * (e - s)
-        return ok
+        """True where a residue exemplar in the postings of the word is covered and no harmless one in them weighs as much."""
+        ix = self.index
+        own, place = _runs(ix.postings_at, term[at].astype(int))
+        e = ix.postings[place]
+        labelled = e < ix.n_labelled
+        own, e = own[labelled], e[labelled]
+        got = self._mass(w, at[own], e, self.radius[e])
+        enough = np.flatnonzero(got >= MIN_CONTAINMENT * self.total[e])
+        own, e, got = own[enough], e[enough], got[enough]
+        slot = ix.terms.index(SLOT) if SLOT in ix.terms else -1
+        good = ix.residue[e]
+        for k in np.flatnonzero(good & (ix.size[e] <= SHORT_TERMS)):
+            if ix.terms_of(e[k]).tolist() != [slot]:
+                good[k] = self._covers(w, term, at[own[k]], e[k])
+        mass, harmless = np.zeros(len(at)), np.zeros(len(at))
+        np.maximum.at(mass, own[good], got[good])
+        np.maximum.at(harmless, own[~ix.residue[e]], got[~ix.residue[e]])
+        return (mass > 0) & (mass > harmless)
+
+    def _covers(self, w: Words, term: np.ndarray, at: int, exemplar: int) -> bool:
+        """Whether the sentence of a word holds enough of the exemplar, and little else."""
+        s, e = np.searchsorted(w.sentence, [w.sentence[at], w.sentence[at] + 1])
+        t = term[s:e]
+        mine = (t >= 0) & np.isin(t, self.index.terms_of(exemplar))
+        return bool(self.total[exemplar] * MIN_CONTAINMENT <= self.idf[np.unique(t[mine])].sum() and mine.sum() >= MIN_COVERAGE * (e - s))
 
 
 def inverse_frequencies(docs: DataFrame, text: str, index: Index) -> np.ndarray:
