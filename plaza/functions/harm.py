@@ -42,15 +42,21 @@ EXPLICIT = ["hate", "kill", "destroy", "inferior", "subhuman"]
 IMPLICIT = ["we need to", "our country", "these people", "them", "they"]
 
 
-def matches(c: Column) -> Column:
-    """Number of pattern matches, of any case."""
-    return sum((F.regexp_count(c, F.lit("(?i)" + p)) for p, _ in PATTERNS[1:]), F.regexp_count(c, F.lit("(?i)" + PATTERNS[0][0])))
+def counts(c: Column) -> Column:
+    """Number of matches of each pattern, of any case, in one array: the only look at the text."""
+    return F.array(*[F.regexp_count(c, F.lit("(?i)" + p)) for p, _ in PATTERNS])
 
 
-def categories(c: Column) -> Column:
-    """Sorted categories of the matching patterns; ``benign`` where there are none."""
-    found = F.flatten(F.array(*[F.when(c.rlike("(?i)" + p), F.array(*[F.lit(x) for x in cats])).otherwise(F.array().cast("array<string>")) for p, cats in PATTERNS]))
-    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array(F.lit("benign")))
+def matches(found: Column) -> Column:
+    """Number of all matches, given ``counts``."""
+    return F.aggregate(found, F.lit(0), lambda a, x: a + x)
+
+
+def categories(found: Column) -> Column:
+    """Sorted categories of the patterns with matches, given ``counts``; ``benign`` where there are none."""
+    own = [F.when(found[i] > 0, F.array(*[F.lit(x) for x in cats])).otherwise(F.array().cast("array<string>")) for i, (_, cats) in enumerate(PATTERNS)]
+    every = F.flatten(F.array(*own))
+    return F.when(F.size(every) > 0, F.array_sort(F.array_distinct(every))).otherwise(F.array(F.lit("benign")))
 
 
 def n_words(c: Column) -> Column:

@@ -14,14 +14,19 @@ from plaza.operators.skew import collect_hot, lookup_join, spread_join
 STRIDES = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497]
 
 
-def search(df: DataFrame, needle: str, texts: list[str], ids: list[str]) -> DataFrame:
-    """Rows in which ``needle`` occurs in a text (any case; ``%`` and ``_`` are wildcards) or in the digits of an id."""
+def contains(needle: str, texts: list[str], ids: list[str]) -> Column:
+    """Whether ``needle`` occurs in a text (any case; ``%`` and ``_`` are wildcards) or in the digits of an id."""
     hit = F.lit(False)
     for c in texts:
         hit = hit | F.coalesce(F.col(c).ilike(f"%{needle}%"), F.lit(False))
     for c in ids:
         hit = hit | F.coalesce(F.col(c).cast("string").contains(needle), F.lit(False))
-    return df.filter(hit)
+    return hit
+
+
+def search(df: DataFrame, needle: str, texts: list[str], ids: list[str]) -> DataFrame:
+    """Rows of ``df`` for which ``contains`` holds."""
+    return df.filter(contains(needle, texts, ids))
 
 
 def trend(posts: DataFrame, days: int, k: int, now: Column | None = None) -> DataFrame:
@@ -44,7 +49,8 @@ def following_feed(posts: DataFrame, follows: DataFrame, n: int) -> DataFrame:
     order = [F.col("num_likes").desc(), F.col("post_id").asc()]
     best = top_per_group(posts.select(F.col("user_id").alias("followee_id"), "post_id", "num_likes"), ["followee_id"], order, n).drop("rank")
     edges = follows.filter("followee_id IS NOT NULL").select("follower_id", "followee_id").distinct()
-    return top_per_group(edges.join(best, "followee_id"), ["follower_id"], order, n).select("follower_id", "rank", "post_id", "num_likes")
+    seen = spread_join(edges, best, ["followee_id"], collect_hot(edges, ["followee_id"]), ["follower_id"])
+    return top_per_group(seen, ["follower_id"], order, n).select("follower_id", "rank", "post_id", "num_likes")
 
 
 def post_type(original: Column, quote: Column) -> Column:
@@ -61,14 +67,6 @@ def roots(posts: DataFrame) -> DataFrame:
     return posts.withColumn("root_id", F.when(kind == "repost", F.col("original_post_id")).otherwise(F.col("post_id")))
 
 
-def matrix(users: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """(user_id, ids): per user the sorted posts of ``pairs`` (user_id, post_id), at most ``most``; empty for none."""
-    t = top_per_group(pairs.dropna().select("user_id", "post_id").distinct(), ["user_id"], [F.asc("post_id")], most)
-    lists = t.groupBy("user_id").agg(F.array_sort(F.collect_list("post_id")).alias("ids"))
-    kind = pairs.schema["post_id"].dataType.simpleString()
-    return users.select("user_id").distinct().join(lists, "user_id", "left").select("user_id", F.coalesce("ids", F.array().cast(f"array<{kind}>")).alias("ids"))
-
-
 def random_posts(users: DataFrame, posts: DataFrame, k: int, seed: int) -> DataFrame:
     """(user_id, post_id): for each user ``k`` different posts drawn by hash, or all where there are no more."""
     ranked = grouped_rank(posts.select("post_id").distinct().withColumn("one", F.lit(0)), ["one"], [F.col("post_id").asc()], "k").select("k", "post_id")

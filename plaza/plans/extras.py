@@ -12,7 +12,7 @@ from plaza.operators.feeds import swapped
 from plaza.operators.rank import grouped_rank, top_per_group
 from plaza.operators.tfidf import best_phrases, hits
 from plaza.plans.datasets import label
-from plaza.plans.ranking import _SEARCH, QUERIES, query_frame
+from plaza.plans.ranking import _SEARCH, query_frame
 from plaza.plans.reports import _LABEL
 from plaza.registry import Registry
 from plaza.sources.domain import rows, with_sql
@@ -77,11 +77,6 @@ def register(reg: Registry) -> None:
         named = found.join(docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("dataset")), "doc_id")
         return top_per_group(named, ["query_id", "dataset"], [F.desc("score"), F.asc("doc_id")], 2).select("query_id", "dataset", "doc_id", F.round("score", 6).alias("score"))
 
-    @reg.add("phrase_per_token", with_sql("p") + f"SELECT post_id, list_extract({QUERIES}, 1 + CAST('0x' || substr(sha256('phrase:' || post_id), 1, 8) AS BIGINT) % {len(QUERIES)}) AS phrase FROM p WHERE contains(content, 'LBL:')")
-    def phrase_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pick = F.pmod(seed32(F.lit("phrase"), F.col("post_id").cast("string")), F.lit(len(QUERIES))).cast("int")
-        return rows(spark, sf_dir, "p").filter(F.col("content").contains("LBL:")).select("post_id", F.get(F.array(*[F.lit(q) for q in QUERIES]), pick).alias("phrase"))
-
     @reg.add("phrase_by_text")
     def phrase_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         bank = spark.createDataFrame([(t, i, x) for t, phrases in BANK.items() for i, x in enumerate(phrases)], "token string, at int, phrase string")
@@ -91,12 +86,6 @@ def register(reg: Registry) -> None:
     def coarse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows(spark, sf_dir, "p").select("post_id").orderBy(hash_order("coarse", F.col("post_id")), "post_id").limit(400)
 
-    @reg.add("diversity_swap", with_sql("l", "t AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id, like_id) AS k FROM l WHERE post_id IS NOT NULL)") + f"SELECT user_id, k AS rank, CASE WHEN {_UNI.format(seed='swap', key=chr(117) + 'ser_id || ' + chr(39) + ':' + chr(39) + ' || k')} < 0.1 THEN -post_id ELSE post_id END AS post_id FROM t WHERE k <= 10")
-    def diversity_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = top_per_group(rows(spark, sf_dir, "l").filter("post_id IS NOT NULL"), ["user_id"], [F.asc("post_id"), F.asc("like_id")], 10)
-        swap = uniform(F.lit("swap"), F.col("user_id").cast("string"), F.col("rank").cast("string")) < 0.1
-        return t.select("user_id", F.col("rank").cast("long").alias("rank"), F.when(swap, -F.col("post_id")).otherwise(F.col("post_id")).alias("post_id"))
-
     @reg.add("diversity_swap_posts")
     def diversity_swap_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return swapped(rows(spark, sf_dir, "l"), rows(spark, sf_dir, "p"), 1, 23)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaza.functions.text import display_name, render_post
-from plaza.operators.feeds import following_feed, post_type, roots, search, trend
+from plaza.operators.feeds import contains, following_feed, post_type, roots, trend
 from plaza.operators.rank import grouped_rank, neighbours, top_per_group
 from plaza.operators.skew import collect_hot, lookup_join
 from plaza.registry import Registry
@@ -88,16 +88,18 @@ def register(reg: Registry) -> None:
 
     @reg.add("search_posts", with_sql("p") + "SELECT post_id, user_id FROM p WHERE content ILIKE '%77 %' OR CAST(post_id AS VARCHAR) LIKE '%77 %' OR CAST(user_id AS VARCHAR) LIKE '%77 %' UNION SELECT post_id, user_id FROM p WHERE content ILIKE '%kettle%'")
     def search_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p, ids = rows(spark, sf_dir, "p"), ["post_id", "user_id"]
-        return search(p, "77 ", ["content"], ids).select(*ids).union(search(p, "kettle", ["content"], []).select(*ids)).distinct()
+        ids = ["post_id", "user_id"]
+        return rows(spark, sf_dir, "p", contains("77 ", ["content"], ids) | contains("kettle", ["content"], [])).select(*ids)
 
     @reg.add("search_users", with_sql("u") + "SELECT user_id FROM u WHERE user_name ILIKE '%99%' OR name ILIKE '%99%' OR bio ILIKE '%99%' OR CAST(user_id AS VARCHAR) LIKE '%99%'")
     def search_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search(rows(spark, sf_dir, "u"), "99", ["user_name", "name", "bio"], ["user_id"]).select("user_id")
+        return rows(spark, sf_dir, "u", contains("99", ["user_name", "name", "bio"], ["user_id"])).select("user_id")
 
     @reg.add("trend_week", with_sql("p", "m AS (SELECT max(created_at) AS top FROM p)") + "SELECT post_id, num_likes FROM p, m WHERE created_at >= top - INTERVAL 7 DAYS ORDER BY num_likes DESC, post_id LIMIT 10")
     def trend_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return trend(rows(spark, sf_dir, "p"), 7, 10).select("post_id", "num_likes")
+        # The newest time is read from the scan first, so that only the rows of the week are brought together.
+        newest = table(spark, sf_dir, "post").agg(F.max("created_at")).first()[0]
+        return trend(rows(spark, sf_dir, "p", F.expr("created_at >= :newest - INTERVAL 7 DAYS".replace(":newest", f"TIMESTAMP_NTZ '{newest}'")) if newest else None), 7, 10).select("post_id", "num_likes")
 
     @reg.add("top_liked", with_sql("pl", "n AS (SELECT post_id, count(*) AS likes FROM l GROUP BY post_id)") + "SELECT p.post_id, coalesce(n.likes, 0) AS likes FROM p LEFT JOIN n ON p.post_id = n.post_id ORDER BY likes DESC, p.post_id DESC LIMIT 15")
     def top_liked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +109,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("latest_roots", with_sql("p") + "SELECT post_id, user_id FROM p WHERE original_post_id IS NULL ORDER BY post_id DESC LIMIT 50")
     def latest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rows(spark, sf_dir, "p").filter("original_post_id IS NULL").orderBy(F.desc("post_id")).limit(50).select("post_id", "user_id")
+        return rows(spark, sf_dir, "p", "original_post_id IS NULL").orderBy(F.desc("post_id")).limit(50).select("post_id", "user_id")
 
     @reg.add("removed_posts", with_sql("p") + "SELECT post_id, num_reports FROM p WHERE post_id IN (SELECT record_key FROM removed_keys WHERE table_name = 'post')")
     def removed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +118,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("comments_in_list", with_sql("c") + "SELECT comment_id, post_id FROM c WHERE post_id IN (1, 2, 3, 5, 8, 13)")
     def comments_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rows(spark, sf_dir, "c").filter(F.col("post_id").isin(1, 2, 3, 5, 8, 13)).select("comment_id", "post_id")
+        return rows(spark, sf_dir, "c", F.col("post_id").isin(1, 2, 3, 5, 8, 13)).select("comment_id", "post_id")
 
     @reg.add("others_likes", with_sql("pl") + "SELECT l.like_id, l.user_id, p.user_id AS author_id FROM l JOIN p ON l.post_id = p.post_id WHERE l.user_id <> p.user_id")
     def others_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +134,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("repeat_likes", with_sql("l") + "SELECT user_id, post_id, count(*) - 1 AS rejected FROM l WHERE post_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
     def repeat_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = rows(spark, sf_dir, "l").filter("post_id IS NOT NULL").groupBy("user_id", "post_id").agg((F.count(F.lit(1)) - 1).alias("rejected"))
+        n = rows(spark, sf_dir, "l", "post_id IS NOT NULL").groupBy("user_id", "post_id").agg((F.count(F.lit(1)) - 1).alias("rejected"))
         return n.filter("rejected > 0")
 
     @reg.add("clean_follows", with_sql("f") + "SELECT DISTINCT follower_id, followee_id FROM f WHERE follower_id <> followee_id")

@@ -87,14 +87,6 @@ def register(reg: Registry) -> None:
         c = e.agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.countDistinct("dst").alias("n_targets"))
         return n.join(F.broadcast(c))
 
-    @reg.add("two_hop_candidates", with_sql("f", "e AS (SELECT DISTINCT follower_id AS s, followee_id AS t FROM f WHERE follower_id <> followee_id)", "w AS (SELECT x.s, y.t, count(*) AS common FROM e x JOIN e y ON x.t = y.s WHERE x.s % 20 = 0 AND y.t <> x.s GROUP BY ALL)") + "SELECT w.s, w.t, w.common FROM w LEFT JOIN e ON w.s = e.s AND w.t = e.t WHERE e.s IS NULL")
-    def two_hop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = follow_edges(spark, sf_dir).filter("src <> dst").distinct()
-        # Asked for every twentieth node, the stated query set of searches.
-        first = e.filter("src % 20 = 0").select(F.col("src").alias("s"), F.col("dst").alias("via"))
-        hop = first.join(e.select(F.col("src").alias("via"), F.col("dst").alias("t")), "via").filter("t <> s").groupBy("s", "t").agg(F.count("*").alias("common"))
-        return hop.join(e.select(F.col("src").alias("s"), F.col("dst").alias("t")), ["s", "t"], "left_anti")
-
     @reg.add("two_hop_links", with_sql("f", "e AS (SELECT DISTINCT follower_id AS s, followee_id AS t FROM f WHERE follower_id <> followee_id)", "w AS (SELECT x.s, y.t, count(*) AS common FROM e x JOIN e y ON x.t = y.s WHERE y.t <> x.s GROUP BY ALL)") + "SELECT w.s, w.t, w.common FROM w LEFT JOIN e ON w.s = e.s AND w.t = e.t WHERE e.s IS NULL")
     def two_hop_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         return two_hop(follow_edges(spark, sf_dir))

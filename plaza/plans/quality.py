@@ -21,8 +21,9 @@ _JUDGED = "jd AS (SELECT doc_id, max(severity) AS severity, max(act) AS act FROM
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, cats, conf, severity, action) of all documents."""
     t = F.col("text")
-    # Categories and matches are columns of their own, so that no pattern is tried twice.
-    d = rows(spark, sf_dir, "d").select("doc_id", "source", H.categories(t).alias("cats"), H.matches(t).alias("n"), H.n_words(t).alias("words"))
+    # The counts are a column of their own, used more than once above, so no pattern is tried twice.
+    d = rows(spark, sf_dir, "d").select("doc_id", "source", H.counts(t).alias("found"), H.n_words(t).alias("words"))
+    d = d.select("doc_id", "source", H.categories(F.col("found")).alias("cats"), H.matches(F.col("found")).alias("n"), "words")
     return d.select("doc_id", "source", "cats", H.confidence(F.col("n"), F.col("words")).alias("conf"), H.severity(F.col("cats")).alias("severity"), H.action(F.col("cats")).alias("action"))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaza.functions.hashing import hash_order
 from plaza.functions.scores import hot_score
 from plaza.lineage import cut
-from plaza.operators.feeds import matrix, matrix_rows, random_posts, refresh, with_comments
+from plaza.operators.feeds import matrix_rows, random_posts, refresh, with_comments
 from plaza.operators.rank import top_per_group
 from plaza.operators.search import nearest
 from plaza.operators.tfidf import hits, search, weights
@@ -18,7 +17,7 @@ from plaza.sources.tables import table
 
 #: Texts searched for in the corpus.
 QUERIES = ["noisy kettle market", "vaccine paperwork", "recovery journals and sleep", "community radio telescope", "thermostat footbridge", "indie games", "exam stress", "fact checking search rankings"]
-#: Posts that a user is recommended, and those shown at a refresh from that list and from followed authors, as orchestrator/run_simulation.py of the reference has them.
+#: Posts that a user is recommended, and those shown at a refresh from that list and from followed authors.
 REC_LEN, REFRESH_REC, REFRESH_FOLLOWING = 5, 3, 2
 _Q = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUERIES))
 _TFIDF = """
@@ -62,10 +61,6 @@ def register(reg: Registry) -> None:
         p = rows(spark, sf_dir, "p").filter("created_at IS NOT NULL")
         return p.select("post_id", F.round(hot_score(F.col("num_likes"), F.col("num_dislikes"), F.col("created_at")), 4).alias("hot")).orderBy(F.desc("hot"), "post_id").limit(50)
 
-    @reg.add("rec_random", with_sql("u", "q AS (SELECT user_id FROM u WHERE user_id % 20 = 0)") + "SELECT user_id, md5('11:' || user_id) AS draw FROM q")
-    def rec_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rows(spark, sf_dir, "u").filter("user_id % 20 = 0").select("user_id", hash_order("11", F.col("user_id")).alias("draw"))
-
     @reg.add("rec_random_posts")
     def rec_random_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return random_posts(rows(spark, sf_dir, "u"), rows(spark, sf_dir, "p"), REC_LEN, 11)
@@ -109,12 +104,7 @@ def register(reg: Registry) -> None:
     def rec_trace_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scored(spark, sf_dir).select("vec_id", "label", (F.round(F.col("base") + (F.col("liked") - F.col("disliked")) * F.col("span") / 2, 6) + 0.0).alias("score"))
 
-    @reg.add("rec_recency_cosine", score_sql + " SELECT s.vec_id, s.label, round(base * ln((271.8 - (newest - s.vec_id) / 20.0) / 100), 6) + 0.0 AS score FROM s JOIN r ON s.label = r.label WHERE 271.8 - (newest - s.vec_id) / 20.0 > 0")
-    def rec_recency_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-        left = F.lit(271.8) - (F.col("newest") - F.col("vec_id")) / 20.0
-        return scored(spark, sf_dir).withColumn("left", left).filter("left > 0").select("vec_id", "label", (F.round(F.col("base") * F.log(F.col("left") / 100), 6) + 0.0).alias("score"))
-
-    # The reference's ages are whole steps, so 0.8 is the least that it leaves; older items keep that weight and no row is dropped.
+    # Ages are whole steps where this score comes from, so 0.8 is the least it leaves; older items keep that weight and no row is dropped.
     @reg.add("rec_recency_floor", score_sql + " SELECT s.vec_id, s.label, round(base * ln(greatest(271.8 - (newest - s.vec_id) / 20.0, 0.8) / 100), 6) + 0.0 AS score FROM s JOIN r ON s.label = r.label")
     def rec_recency_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = F.greatest(F.lit(271.8) - (F.col("newest") - F.col("vec_id")) / 20.0, F.lit(0.8))
@@ -134,13 +124,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("trace_contents", with_sql("pl") + "SELECT post_id, content FROM p WHERE post_id IN (SELECT post_id FROM l)")
     def trace_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rows(spark, sf_dir, "p").select("post_id", "content").join(rows(spark, sf_dir, "l").select("post_id"), "post_id", "left_semi")
-
-    @reg.add("rec_matrix", with_sql("ul", "t AS (SELECT DISTINCT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id) AS k FROM (SELECT DISTINCT user_id, post_id FROM l WHERE post_id IS NOT NULL))") + "SELECT u.user_id, coalesce(string_agg(CAST(t.post_id AS VARCHAR), ',' ORDER BY t.post_id), '') AS posts FROM u LEFT JOIN t ON u.user_id = t.user_id AND t.k <= 50 GROUP BY u.user_id")
-    def rec_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # A row of the matrix holds at most 50 posts, so no list grows with the data.
-        m = matrix(rows(spark, sf_dir, "u"), rows(spark, sf_dir, "l").select("user_id", "post_id"), 50)
-        return m.select("user_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("posts"))
+        return rows(spark, sf_dir, "p").select("post_id", "content").join(rows(spark, sf_dir, "l").select("post_id").distinct(), "post_id", "left_semi")
 
     @reg.add("rec_matrix_rows", with_sql("ul", "t AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id) - 1 AS position FROM (SELECT DISTINCT user_id, post_id FROM l WHERE post_id IS NOT NULL))") + "SELECT u.user_id, t.position, t.post_id FROM u LEFT JOIN t ON u.user_id = t.user_id")
     def rec_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,13 +153,6 @@ def register(reg: Registry) -> None:
         every = stage(best.filter("score > 0.3"), 0, "tfidf").unionByName(stage(best, 1, "loose")).unionByName(stage(query_frame(spark), 2, "static", F.lit(-1).cast("long")))
         return top_per_group(every, ["query_id"], [F.asc("priority")], 1).select("query_id", "method", "doc_id")
 
-    @reg.add("feed_refresh", with_sql("pu", "h AS (SELECT post_id, user_id AS author_id FROM p ORDER BY num_likes DESC, post_id LIMIT 20)") + "SELECT u.user_id, h.post_id FROM u JOIN h ON u.user_id <> h.author_id WHERE u.user_id % 20 = 0")
-    def feed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-        h = rows(spark, sf_dir, "p").orderBy(F.desc("num_likes"), "post_id").limit(20).select(F.struct("post_id", F.col("user_id").alias("author_id")).alias("s"))
-        feed = F.broadcast(h.agg(F.collect_list("s").alias("feed")))  # twenty posts
-        u = rows(spark, sf_dir, "u").filter("user_id % 20 = 0").select("user_id").join(feed)
-        return u.select("user_id", F.inline("feed")).filter("user_id <> author_id").select("user_id", "post_id")
-
     @reg.add("feed_refresh_comments")
     def feed_refresh_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = cut(rows(spark, sf_dir, "p"), "posts")

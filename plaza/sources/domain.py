@@ -6,7 +6,7 @@ largest; so ``min`` keeps every other column and ``max`` the counters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaza.sources.tables import table
@@ -25,11 +25,16 @@ _TABLES = {
 }
 
 
-def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One row per id of the table called ``name`` above; unused columns are pruned."""
+def rows(spark: SparkSession, sf_dir: str, name: str, where: Column | str | None = None) -> DataFrame:
+    """One row per id of the table called ``name`` above; unused columns are pruned.
+
+    ``where`` is a condition on the columns taken by min: repeated rows agree on
+    them, so it is applied in the scan, before the rows of an id are brought together.
+    """
     source, key, low, high = _TABLES[name]
     aggs = [F.min(c).alias(c) for c in low] + [F.max(c).alias(c) for c in high]
-    return table(spark, sf_dir, source).groupBy(key).agg(*aggs)
+    df = table(spark, sf_dir, source)
+    return (df if where is None else df.filter(where)).groupBy(key).agg(*aggs)
 
 
 def with_sql(names: str, *more: str) -> str:

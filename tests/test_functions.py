@@ -32,9 +32,9 @@ def value(spark, column, **values):
         (lambda c: F.array_join(text.label_tokens(c), ","), "x <LBL:A_B> LBL:CD y", "LBL:A_B,LBL:CD"),
         (lambda c: F.array_join(text.issues(c), ","), "<LBL:X> ```", "unimputed_label_token,bracketed_label_token,json_markdown_block"),
         (lambda c: text.persona_prefix(c, ["misinfo", "alpha"]), "Alpha_00012", "alpha"),
-        (lambda c: F.array_join(harm.categories(c), ","), "nice day", "benign"),
-        (lambda c: F.array_join(harm.categories(c), ","), "wake up sheeple", "conspiracy,misinfo"),
-        (lambda c: harm.action(harm.categories(c)), "race war", "intervene"),
+        (lambda c: F.array_join(harm.categories(harm.counts(c)), ","), "nice day", "benign"),
+        (lambda c: F.array_join(harm.categories(harm.counts(c)), ","), "wake up sheeple", "conspiracy,misinfo"),
+        (lambda c: harm.action(harm.categories(harm.counts(c))), "race war", "intervene"),
         (harm.spectrum, "hate kill destroy", "explicit_hate"),
         (harm.spectrum, "sunny", "neutral"),
     ],
