@@ -20,6 +20,16 @@ PATTERNS = [
     (r"(?:woke|sjw|forced\s*diversity|go\s*woke|get\s*woke)", ["gamergate"]),
     (r"(?:trad\s*wife|tradwife|natural\s*order|decline|degeneracy)", ["trad"]),
 ]
+#: Categories of the second detector and their patterns, of any case (fixed values).
+SECOND = {
+    "ed_risk": [r"thinspo", r"meanspo", r"pro[\s-]*ana", r"goal\s*weight", r"ugw", r"restrict", r"calorie", r"bmi", r"body\s*check", r"fast(?:ing)"],
+    "incel_misogyny": [r"blackpill", r"redpill", r"chad", r"stacy", r"foid", r"incel", r"hypergamy"],
+    "bullying": [r"kys", r"kill\s*yourself", r"rope", r"doxx", r"expose"],
+    "extremist": [r"race\s*war", r"boogaloo", r"1488", r"day\s*of\s*the"],
+    "hate_speech": [r"replacement", r"white\s*genocide", r"invasion"],
+    "misinfo": [r"wake\s*up", r"sheeple", r"msm", r"suppressed", r"do\s*your\s*research"],
+    "conspiracy": [r"deep\s*state", r"false\s*flag", r"cover[\s-]*up", r"psyop"],
+}
 #: Severity and action of the categories (fixed values).
 SEVERITY = {
     "benign": (0, "none"),
@@ -59,6 +69,13 @@ def categories(found: Column) -> Column:
     return F.when(F.size(every) > 0, F.array_sort(F.array_distinct(every))).otherwise(F.array(F.lit("benign")))
 
 
+def second_categories(c: Column) -> Column:
+    """Categories of SECOND of which a pattern occurs, in their order; ``benign`` where there are none."""
+    hits = F.array(*[F.when(c.rlike("(?i)" + "|".join(ps)), F.lit(k)) for k, ps in SECOND.items()])
+    found = F.filter(hits, lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("benign")))
+
+
 def n_words(c: Column) -> Column:
     """Number of words between white space."""
     return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))

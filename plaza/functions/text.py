@@ -140,3 +140,10 @@ def persona_prefix(c: Column, prefixes: list[str]) -> Column:
     """The first of ``prefixes`` that begins ``c`` before an underscore."""
     low = F.lower(c)
     return F.coalesce(*[F.when(low.startswith(p + "_"), F.lit(p)) for p in prefixes])
+
+
+def enforced(text: Column, tokens: Column) -> Column:
+    """A text without any label token, and the given ``tokens`` (an array) appended once; unchanged at its end where there are none."""
+    bare = F.regexp_replace(F.regexp_replace(text, "<LBL:([A-Z_]+)>", r" LBL:\$1"), "</LBL:[A-Z_]+>", "")
+    none = F.regexp_replace(bare, r"LBL:[A-Z_$0-9]+", "")
+    return F.when(F.size(tokens) == 0, none).otherwise(F.concat(F.rtrim(none), F.lit(" "), F.array_join(tokens, " ")))

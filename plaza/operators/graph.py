@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaza.lineage import cut
+from plaza.operators.rank import grouped_rank
 from plaza.operators.skew import collect_hot, spread_join
 
 
@@ -54,3 +57,25 @@ def two_hop(edges: DataFrame) -> DataFrame:
     hot = collect_hot(first, ["via"]) + collect_hot(second, ["via"])
     hop = spread_join(first, second, ["via"], hot, ["s"]).filter("t <> s").groupBy("s", "t").agg(F.count("*").alias("common"))
     return hop.join(e.select(F.col("src").alias("s"), F.col("dst").alias("t")), ["s", "t"], "left_anti")
+
+
+def random_edges(nodes: DataFrame, node: str, n: int, seed: int = 0) -> DataFrame:
+    """(src, dst): ``n`` different directed edges without loops between the nodes, drawn by hash, or all there are.
+
+    Edge numbers are drawn without repeats from the ``m * (m - 1)`` possible
+    ones by a stride prime to their number, so no edge is drawn twice and none
+    has to be looked up.
+    """
+    ranked = cut(grouped_rank(nodes.select(F.col(node).alias("v")).dropna().distinct().withColumn("one", F.lit(0)), ["one"], [F.col("v").asc()], "k").select("k", "v"), "nodes")
+    m = ranked.count()
+    every = m * (m - 1)
+    want = min(n, every)
+    if not want:
+        return ranked.select(F.col("v").alias("src"), F.col("v").alias("dst")).limit(0)
+    stride = next(s for s in range(int(every * 0.6180339887) | 1, every * 2 + 3) if math.gcd(s, every) == 1)
+    at = F.pmod(F.col("id").cast("decimal(38,0)") * stride + seed, F.lit(every).cast("decimal(38,0)")).cast("long")
+    drawn = nodes.sparkSession.range(want).select(at.alias("e"))
+    a, rest = F.floor(F.col("e") / (m - 1)).cast("long"), F.pmod("e", F.lit(m - 1)).cast("long")
+    ends = drawn.select(a.alias("a"), (rest + F.when(rest >= a, 1).otherwise(0)).alias("b"))
+    ends = ends.join(ranked.select(F.col("k").alias("a"), F.col("v").alias("src")), "a").join(ranked.select(F.col("k").alias("b"), F.col("v").alias("dst")), "b")
+    return ends.select("src", "dst")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plaza.functions import harm as H
 from plaza.functions.hashing import hash_order, seed32, uniform
+from plaza.functions.text import enforced
 from plaza.lineage import cut
 from plaza.operators.datasets import split
 from plaza.operators.feeds import swapped
@@ -18,8 +20,6 @@ from plaza.registry import Registry
 from plaza.sources.domain import rows, with_sql
 from plaza.sources.tables import table
 
-#: Categories of the second detector and the first words that point to them.
-SECOND = {"diet": r"calorie|weigh|meal planning", "health": r"vaccine|blood test|recovery", "politics": r"election|press freedom|fact checking", "play": r"speedrunning|indie games|e-sports"}
 #: Extra shares of the stages drawn for personas.
 STAGES = [("curious", 0.5), ("active", 0.3), ("entrenched", 0.2)]
 #: Phrases of the label tokens that the tables hold, from data/label_tokens_static_bank.yaml of the reference.
@@ -43,9 +43,18 @@ def register(reg: Registry) -> None:
 
     @reg.add("token_enforce", with_sql("p") + "SELECT post_id, rtrim(regexp_replace(regexp_replace(regexp_replace(content, '<LBL:([A-Z_]+)>', ' LBL:$1', 'g'), '</LBL:[A-Z_]+>', '', 'g'), 'LBL:[A-Z_$0-9]+', '', 'g')) || ' LBL:BENIGN' AS content FROM p WHERE contains(content, 'LBL:')")
     def token_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bare = F.regexp_replace(F.regexp_replace("content", "<LBL:([A-Z_]+)>", r" LBL:\$1"), "</LBL:[A-Z_]+>", "")
-        none = F.rtrim(F.regexp_replace(bare, r"LBL:[A-Z_$0-9]+", ""))
-        return rows(spark, sf_dir, "p").filter(F.col("content").contains("LBL:")).select("post_id", F.concat(none, F.lit(" LBL:BENIGN")).alias("content"))
+        held = rows(spark, sf_dir, "p", F.col("content").contains("LBL:"))
+        return held.select("post_id", enforced(F.col("content"), F.array(F.lit("LBL:BENIGN"))).alias("content"))
+
+    want = "list_transform(list_filter(list_transform(coalesce(category_labels, []), lambda x: replace(replace(lower(trim(x)), '-', '_'), ' ', '_')), lambda x: x <> '' AND x <> 'benign'), lambda x: 'LBL:' || upper(x))"
+    bare_sql = "regexp_replace(regexp_replace(regexp_replace(text, '<LBL:([A-Z_]+)>', ' LBL:$1', 'g'), '</LBL:[A-Z_]+>', '', 'g'), 'LBL:[A-Z_$0-9]+', '', 'g')"
+
+    @reg.add("token_enforce_records", with_sql("r", f"t AS (SELECT post_id, {bare_sql} AS bare, {want} AS w FROM r WHERE text IS NOT NULL)") + "SELECT post_id, CASE WHEN len(w) = 0 THEN bare ELSE rtrim(bare) || ' ' || array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') END AS text FROM t")
+    def token_enforce_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = rows(spark, sf_dir, "r").filter("text IS NOT NULL").select("post_id", "text", "category_labels")
+        named = F.transform(F.coalesce("category_labels", F.array().cast("array<string>")), label)
+        tokens = F.array_distinct(F.transform(F.filter(named, lambda x: (x != "") & (x != "benign")), lambda x: F.concat(F.lit("LBL:"), F.upper(x))))
+        return r.select("post_id", enforced(F.col("text"), tokens).alias("text"))
 
     @reg.add("zip_rows", with_sql("p", "a AS (SELECT post_id, row_number() OVER (ORDER BY post_id) AS k FROM p)", "b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents)") + "SELECT a.post_id, b.doc_id FROM a JOIN b ON a.k = b.k")
     def zip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +147,12 @@ def register(reg: Registry) -> None:
         n = s.agg(F.count("*").alias("n"))
         return q.join(F.broadcast(n)).withColumn("k", F.col("position") % F.col("n")).join(s, "k").select("position", "category", "seed")
 
-    @reg.add("second_detector", with_sql("d") + "SELECT doc_id, " + "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}', 'i') THEN '{c}' END" for c, p in SECOND.items()) + "], lambda x: x IS NOT NULL), ',') AS categories FROM d")
+    second = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{'|'.join(ps)}', 'i') THEN '{c}' END" for c, ps in H.SECOND.items()) + "], lambda x: x IS NOT NULL)"
+
+    @reg.add("second_detector", with_sql("d", f"t AS (SELECT doc_id, {second} AS found FROM d)") + "SELECT doc_id, CASE WHEN len(found) = 0 THEN 'benign' ELSE array_to_string(found, ',') END AS categories FROM t")
     def second_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), F.lit(c)) for c, p in SECOND.items()])
-        return rows(spark, sf_dir, "d").select("doc_id", F.array_join(F.filter(hits, lambda x: x.isNotNull()), ",").alias("categories"))
+        found = F.coalesce(H.second_categories(F.col("text")), F.array(F.lit("benign")))
+        return rows(spark, sf_dir, "d").select("doc_id", F.array_join(found, ",").alias("categories"))
 
     @reg.add("reply_template", with_sql("d") + "SELECT doc_id, CASE WHEN regexp_matches(text, 'vaccine|blood test', 'i') THEN 'health' WHEN regexp_matches(text, 'election', 'i') THEN 'politics' ELSE 'general' END || '_' || (CAST('0x' || substr(sha256('reply:' || doc_id), 1, 8) AS BIGINT) % 3) AS template FROM d")
     def reply_template(spark: SparkSession, sf_dir: str) -> DataFrame:

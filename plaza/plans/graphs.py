@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plaza.lineage import cut
-from plaza.operators.graph import assortativity, degrees, triangles, two_hop, undirected
+from plaza.operators.graph import assortativity, degrees, random_edges, triangles, two_hop, undirected
 from plaza.operators.rank import grouped_rank
 from plaza.operators.skew import collect_hot, lookup_join
 from plaza.plans.hierarchies import _TREE, tree
@@ -149,3 +149,17 @@ def register(reg: Registry) -> None:
         m = e.agg(F.count("*").alias("m"))
         u = rows(spark, sf_dir, "u").select("user_id").join(F.broadcast(m)).select("user_id", F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), "user_id"), F.col("m")) for i in range(4)])).alias("k"))
         return u.join(e.select("k", "dst"), "k").filter("user_id <> dst").select(F.col("user_id").alias("src"), "dst").distinct()
+
+    @reg.add("graph_pipeline")
+    def graph_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Blocks, then preferential attachment, then closure of two-hop pairs by the number of common neighbours; each edge once.
+        base = cut(block_model_edges(spark, sf_dir).unionByName(preferential_edges(spark, sf_dir)).distinct(), "base")
+        closing = F.pmod(F.xxhash64(F.lit(7), "s", "t"), F.lit(1000)) < F.least(F.lit(500), F.col("common") * 25)
+        closed = two_hop(base).filter(closing).select(F.col("s").alias("src"), F.col("t").alias("dst"))
+        return base.withColumn("stage", F.lit("base")).unionByName(closed.withColumn("stage", F.lit("closure")))
+
+    @reg.add("random_edge_set", with_sql("u") + "SELECT least(2 * count(*), count(*) * (count(*) - 1)) AS n_edges, CAST(0 AS BIGINT) AS n_loops FROM u")
+    def random_edge_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+        u = rows(spark, sf_dir, "u").select("user_id")
+        edges = random_edges(u, "user_id", 2 * u.count(), 314159)
+        return edges.distinct().agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"))

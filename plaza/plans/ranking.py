@@ -35,18 +35,6 @@ qr AS (SELECT query_id, term, tf * idf AS qw FROM qf JOIN idf USING (term)),
 ql AS (SELECT query_id, sqrt(sum(qw * qw)) AS length FROM qr GROUP BY query_id),
 hits AS (SELECT qr.query_id, w.doc_id, round(sum(w.w * qr.qw / ql.length), 9) AS score FROM w JOIN qr ON w.term = qr.term JOIN ql ON qr.query_id = ql.query_id GROUP BY ALL),
 best AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM hits WHERE score > 0)"""
-_UNIT = """
-v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS length FROM v),
-un AS (SELECT vec_id, label, unnest(e) / length AS x, generate_subscripts(e, 1) AS i FROM n WHERE length > 0)"""
-
-
-def unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, label, i, x): the coordinates of the vectors at unit length."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    return e.withColumn("length", length).filter("length > 0").select("vec_id", "label", F.posexplode(F.transform("e", lambda x: x / F.col("length"))).alias("i", "x"))
-
 
 def query_frame(spark: SparkSession) -> DataFrame:
     """(query_id, text) of QUERIES."""
@@ -70,50 +58,6 @@ def register(reg: Registry) -> None:
         e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
         return nearest(e, e.filter("id % 20 = 0"), 5).select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
-    @reg.add(
-        "rec_cosine",
-        f"""WITH {_UNIT}, c AS (SELECT label, i, avg(x) AS x FROM un GROUP BY ALL), cl AS (SELECT label, sqrt(sum(x * x)) AS length FROM c GROUP BY label),
-        s AS (SELECT c.label AS profile, un.vec_id, un.label, sum(c.x * un.x) / max(cl.length) AS score FROM c JOIN un ON c.i = un.i JOIN cl ON c.label = cl.label WHERE c.label <> un.label GROUP BY ALL)
-        SELECT profile, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
-    )
-    def rec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-        profile = unit_rows(spark, sf_dir).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-        # Profiles are the classes of a fixed label set; own items are skipped by asking for each class apart.
-        p = profile.select(F.col("label").cast("long").alias("id"), F.transform("v", lambda s: s["x"]).alias("vec"))
-        e = table(spark, sf_dir, "embeddings")
-        out = None
-        for (label,) in [tuple(r) for r in e.select("label").distinct().orderBy("label").limit(1000).collect()]:
-            others = e.filter(F.col("label") != label).select((F.col("vec_id") + (1 << 40)).alias("id"), F.col("embedding").alias("vec"))
-            part = nearest(others, p.filter(F.col("id") == label), 5)
-            out = part if out is None else out.unionByName(part)
-        return out.select(F.col("query").cast("int").alias("profile"), (F.col("id") - (1 << 40)).alias("vec_id"), F.round("similarity", 6).alias("score"), "rank")
-
-    score_sql = f"""WITH {_UNIT}, lk AS (SELECT label, i, avg(x) FILTER (WHERE vec_id % 7 = 0) AS a, avg(x) FILTER (WHERE vec_id % 11 = 0) AS b, avg(x) AS c FROM un GROUP BY ALL),
-        s AS (SELECT un.vec_id, un.label, sum(lk.c * un.x) AS base, sum(coalesce(lk.a, 0) * un.x) AS liked, sum(coalesce(lk.b, 0) * un.x) AS disliked FROM un JOIN lk ON un.label = lk.label AND un.i = lk.i GROUP BY ALL),
-        r AS (SELECT label, max(base) - min(base) AS span, max(vec_id) AS newest FROM s GROUP BY label)"""
-
-    def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-        un = unit_rows(spark, sf_dir)
-        part = lambda m: F.coalesce(F.avg(F.when(F.col("vec_id") % m == 0, F.col("x"))), F.lit(0.0))
-        lk = un.groupBy("label", "i").agg(part(7).alias("a"), part(11).alias("b"), F.avg("x").alias("c"))
-        s = un.join(lk, ["label", "i"]).groupBy("vec_id", "label").agg(F.sum(F.col("c") * F.col("x")).alias("base"), F.sum(F.col("a") * F.col("x")).alias("liked"), F.sum(F.col("b") * F.col("x")).alias("disliked"))
-        r = s.groupBy("label").agg((F.max("base") - F.min("base")).alias("span"), F.max("vec_id").alias("newest"))
-        return s.join(r, "label")
-
-    @reg.add("rec_trace_adjusted", score_sql + " SELECT s.vec_id, s.label, round(base + (liked - disliked) * span / 2, 6) + 0.0 AS score FROM s JOIN r ON s.label = r.label")
-    def rec_trace_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scored(spark, sf_dir).select("vec_id", "label", (F.round(F.col("base") + (F.col("liked") - F.col("disliked")) * F.col("span") / 2, 6) + 0.0).alias("score"))
-
-    # Ages are whole steps where this score comes from, so 0.8 is the least it leaves; older items keep that weight and no row is dropped.
-    @reg.add("rec_recency_floor", score_sql + " SELECT s.vec_id, s.label, round(base * ln(greatest(271.8 - (newest - s.vec_id) / 20.0, 0.8) / 100), 6) + 0.0 AS score FROM s JOIN r ON s.label = r.label")
-    def rec_recency_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-        left = F.greatest(F.lit(271.8) - (F.col("newest") - F.col("vec_id")) / 20.0, F.lit(0.8))
-        return scored(spark, sf_dir).select("vec_id", "label", (F.round(F.col("base") * F.log(left / 100), 6) + 0.0).alias("score"))
-
-    @reg.add("like_similarity", score_sql + " SELECT vec_id, round(liked, 6) + 0.0 AS similarity FROM s")
-    def like_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scored(spark, sf_dir).select("vec_id", (F.round("liked", 6) + 0.0).alias("similarity"))
-
     @reg.add("liked_history", with_sql("l", "t AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS LAST, like_id DESC) AS k FROM l WHERE post_id IS NOT NULL)") + "SELECT user_id, string_agg(CAST(post_id AS VARCHAR), ',' ORDER BY k) || repeat(',0', CAST(5 - count(*) AS INTEGER)) AS history FROM t WHERE k <= 5 GROUP BY user_id")
     def liked_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         likes = rows(spark, sf_dir, "l").filter("post_id IS NOT NULL")

@@ -39,6 +39,14 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_json_keyed(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "key") -> DataFrame:
+    """One JSON object per file whose fields are records: a row per record, its name in ``key``; a record that breaks the schema has nulls."""
+    fields = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    whole = spark.read.text(path, wholetext=True)
+    parsed = F.from_json("value", "map<string,string>")
+    return whole.select(F.explode(parsed).alias(key, "_record")).select(key, F.from_json("_record", fields).alias("_r")).select(key, "_r.*")
+
+
 def read_json_tree(spark: SparkSession, root: str, schema: T.StructType | str, pattern: str) -> DataFrame:
     """JSON files below ``root``; groups 1 and 2 of ``pattern`` on the path are event and label."""
     at = F.input_file_name()

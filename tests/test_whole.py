@@ -185,10 +185,3 @@ def test_diversity_swap_posts_draws_real_posts(spark):
     assert Counter(r.user_id for r in got) == likes
     assert Counter(r.user_id for r in got if r.is_swapped) == Counter({u: n // 10 for u, n in likes.items() if n >= 10})
     assert all(r.post_id in posts for r in got if r.is_swapped)
-
-
-def test_rec_recency_floor_keeps_old_items(spark, tmp_path):
-    vectors = [(i, [1.0, float(i % 7)], i % 2) for i in range(0, 20000, 10)] + [(20001, [0.0, 0.0], 1)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    every = {r.vec_id: r.score for r in entry.queries()["rec_recency_floor"](spark, str(tmp_path)).collect()}
-    assert set(every) == set(range(0, 20000, 10))  # a vector without length has no score
