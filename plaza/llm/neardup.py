@@ -46,6 +46,8 @@ SHARD_BYTES, PACK_ROWS = 16 << 20, 2048
 STAR_ROUNDS = 2
 #: Ids whose texts differ, up to which they are broadcast.
 FEW_IDS = 100_000
+#: Candidate pairs up to which the numbers of their classes are broadcast.
+FEW_PAIRS = 1_000_000
 #: Ranks taken at once, and element tables kept by a task.
 _BLOCK, _WORDS, _SLICE = 64, 1 << 14, 1 << 14
 
@@ -300,8 +302,14 @@ class NearDuplicates:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(x, y, table_name, a, b, similarity): pairs (x, y) of classes that are similar, with their representatives."""
-        pairs = cut(pairs, "candidates")
-        side = lambda n: self.classes.select(F.col("num").alias(n), F.col("words").alias(f"w{n}"), F.col("rep").alias(f"r{n}"), F.col("table_name").alias(f"t{n}"))
+        pairs, _, n = counted(pairs, "candidates", rows=F.count(F.lit(1)))
+
+        def side(c: str) -> DataFrame:
+            own = self.classes
+            if n["rows"] <= FEW_PAIRS:  # the few classes asked for are picked without shuffling all word sets
+                own = own.join(F.broadcast(pairs.select(F.col(c).alias("num")).distinct()), "num", "left_semi")
+            return own.select(F.col("num").alias(c), F.col("words").alias(f"w{c}"), F.col("rep").alias(f"r{c}"), F.col("table_name").alias(f"t{c}"))
+
         both = spread_join(pairs, side("x"), ["x"], collect_hot(pairs, ["x"]), ["y"])
         both = spread_join(both, side("y"), ["y"], collect_hot(pairs, ["y"]), ["x"]).filter("tx = ty")
         both = both.withColumn("both", F.size(F.array_intersect("wx", "wy"))).withColumn("either", F.size("wx") + F.size("wy") - F.col("both"))
