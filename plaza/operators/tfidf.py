@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaza.functions.hashing import md5_choice
+from plaza.lineage import cut
 from plaza.operators.rank import top_per_group
 
 
@@ -15,24 +16,37 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def weights(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(key, term, w) and (term, idf): ``tf * (ln((1 + n) / (1 + df)) + 1)``, each document of length 1."""
-    tf = postings(docs, key, text)
+def _frequencies(tf: DataFrame, docs: DataFrame, key: str, min_df: int, max_df: float) -> DataFrame:
+    """(term, idf) of the postings ``tf``: ``ln((1 + n) / (1 + df)) + 1``."""
     n = docs.select(key).distinct().agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
-    idf = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weights(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(key, term, w) and (term, idf): ``tf * idf``, each document of length 1."""
+    tf = cut(postings(docs, key, text), "postings")
+    idf = cut(_frequencies(tf, docs, key, min_df, max_df), "idf")
     raw = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("w")), idf
 
 
-def hits(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score): all documents that share a term with a query (query_id, text)."""
-    w, idf = weights(docs, key, text)
-    q = postings(queries, "query_id", "text").join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
+def hits(docs: DataFrame, key: str, text: str, queries: DataFrame, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+    """(query_id, key, score): all documents that share a term with a query (query_id, text).
+
+    The postings are made once; weights are worked out for the terms of the
+    queries only, and lengths for the documents that hold one of them.
+    """
+    tf = cut(postings(docs, key, text), "postings")
+    idf = cut(_frequencies(tf, docs, key, min_df, max_df), "idf")
+    q = postings(queries, "query_id", "text").join(idf, "term").select("query_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
     length = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("length"))
-    q = q.join(length, "query_id").select("query_id", "term", (F.col("qw") / F.col("length")).alias("qw"))
-    return w.join(q, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score")).filter("score > 0")
+    q = cut(q.join(length, "query_id").select("query_id", "term", (F.col("idf") * F.col("qw") / F.col("length")).alias("qw")), "query")
+    met = cut(tf.join(q, "term").groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qw")).alias("s")), "met")
+    own = tf.join(met.select(key).distinct(), key, "left_semi").join(idf, "term")
+    lengths = own.groupBy(key).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) * (F.col("tf") * F.col("idf")))).alias("length"))
+    return met.join(lengths, key).select("query_id", key, F.round(F.col("s") / F.col("length"), 9).alias("score")).filter("score > 0")
 
 
 def search(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
