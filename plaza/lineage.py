@@ -22,7 +22,7 @@ _SCRATCH: list[str] = []
 def _clean() -> None:
     """At the end of the driver: scratch tables that were not dropped before."""
     spark = SparkSession.getActiveSession()
-    for path in _SCRATCH:
+    for path in list(_SCRATCH):
         try:
             if spark is not None:
                 drop_path(spark, path)
@@ -60,11 +60,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all scratch tables made so far, once no result that reads them is needed any more; their number.
+
+    Long sessions call it between jobs, so that the shared folder does not fill.
+    """
+    paths, _SCRATCH[:] = list(_SCRATCH), []
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder; the table as read back, and its path."""
     spark = df.sparkSession

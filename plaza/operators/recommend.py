@@ -104,3 +104,14 @@ def coarse_pool(posts: DataFrame, seed: str = "coarse", size: int = POOL) -> Dat
     days = F.floor((F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86_400_000_000)
     dated = some.join(newest).select("post_id", "author_id", days.cast("double").alias("age"))
     return dated.join(text_vectors(some, "post_id", "content"), "post_id", "left")
+
+
+#: How the recommenders differ, by name.
+METHODS = {"profile": {}, "recency": {"recency": True, "own": True}, "liked": {"liking": True}, "recency_liked": {"recency": True, "liking": True, "own": True}}
+
+
+def recommend_by(method: str, users: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """``recommend`` by the method of a name; an unknown name raises."""
+    if method not in METHODS:
+        raise KeyError(f"no recommender {method}")
+    return recommend(users, pool, k, **METHODS[method])

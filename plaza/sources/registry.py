@@ -37,3 +37,9 @@ def load(spark: SparkSession, sources: dict[str, Source], name: str) -> DataFram
         raise ValueError(f"format {s.format} of {name} is unknown")
     label = F.col(s.label).cast("string") if s.label else F.lit(None).cast("string")
     return df.select(F.col(s.text).alias("text"), label.alias("label"))
+
+
+def load_pair(spark: SparkSession, sources: dict[str, Source], name: str, splits: tuple[str, str] = ("train", "test")) -> tuple[DataFrame, DataFrame]:
+    """The two data sets ``<name>_train`` and ``<name>_test`` of a registry."""
+    first, second = (load(spark, sources, f"{name}_{s}") for s in splits)
+    return first, second

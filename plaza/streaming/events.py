@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaza.lineage import drop_path, scratch_path
+from plaza.operators.rank import grouped_rank
 from plaza.sources.tables import table
 
 #: How late an event may be and still count in its window.
@@ -71,3 +72,36 @@ def dispatch(spark: SparkSession, stream: DataFrame, handlers: dict[str, Callabl
         df.unpersist()
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+
+
+def poll(table_: DataFrame, since: int | None, key: str = "id", most: int | None = None) -> tuple[DataFrame, int | None]:
+    """Rows of ``table_`` above ``since`` in order of ``key``, at most ``most``, and the greatest key of them to poll from next.
+
+    Without new rows ``since`` stays as it is; null keys are never returned.
+    """
+    new = table_.filter(F.col(key).isNotNull() if since is None else F.col(key) > since).orderBy(key)
+    if most is not None:
+        new = new.limit(most)
+    top = new.agg(F.max(key)).first()[0]
+    return new, since if top is None else top
+
+
+def active_events(events: DataFrame, step: int, most: int = 3) -> DataFrame:
+    """(topic, strength, ends) of the coordinated events in force at ``step``.
+
+    ``events`` is (topic, starts, lasts, strength).  Events of one topic that
+    overlap at the step are one, of the greatest strength and the latest end;
+    expired ones are left out; of the others the ``most`` strongest stay, ties
+    by topic.
+    """
+    now = events.withColumn("ends", F.col("starts") + F.col("lasts")).filter((F.col("starts") <= step) & (F.col("ends") > step))
+    merged = now.groupBy("topic").agg(F.max("strength").alias("strength"), F.max("ends").alias("ends"))
+    return merged.orderBy(F.desc("strength"), "topic").limit(most)
+
+
+def percentiles_every(rows: DataFrame, order: str, value: str, every: int = 100) -> DataFrame:
+    """(upto, p50, p95): exact percentiles of ``value`` over each full run of ``every`` rows by ``order``, refreshed when it is complete."""
+    ranked = grouped_rank(rows.select(order, value).dropna().withColumn("_one", F.lit(0)), ["_one"], [F.col(order).asc(), F.col(value).asc()], "_k")
+    run = ranked.groupBy(((F.floor(F.col("_k") / every) + 1) * every).alias("upto"))
+    got = run.agg(F.expr(f"percentile({value}, 0.5)").alias("p50"), F.expr(f"percentile({value}, 0.95)").alias("p95"), F.count(F.lit(1)).alias("_n"))
+    return got.filter(F.col("_n") == every).drop("_n")

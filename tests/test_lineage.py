@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from plaza.lineage import counted, cut, drop_path, scratch_path, shared_dir, written
+from plaza.lineage import counted, cut, drop_path, release, scratch_path, shared_dir, written
 
 
 def test_shared_dir_is_the_cluster_setting():
@@ -42,3 +42,9 @@ def test_counted(spark):
     _, _, got = counted(spark.range(7), "n", rows=F.count(F.lit(1)), top=F.max("id"))
     assert got == {"rows": 7, "top": 6}
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_release_drops_all_scratch_tables(spark):
+    path = written(spark.range(3), "r")[1]
+    assert release(spark) >= 1 and not Path(path.removeprefix("file://")).exists()
+    assert release(spark) == 0

@@ -11,10 +11,12 @@ from plaza.functions import harm
 from plaza.functions.text import enforced
 from plaza.operators.actions import counters, outcomes
 from plaza.operators.graph import random_edges
-from plaza.operators.recommend import coarse_pool, liked_vectors, recommend, text_vectors
+from plaza.operators.recommend import coarse_pool, liked_vectors, recommend, recommend_by, text_vectors
 from plaza.sources.config import read_mappings, read_phrases, read_sources, read_yaml
+from plaza.sources.registry import Source, load_pair
 from plaza.sources.sinks import add_column, append_rows, backup, reset_column, write_by_split
 from plaza.sources.tables import read_json_keyed
+from plaza.streaming.events import active_events, percentiles_every, poll
 
 T0 = dt.datetime(2025, 1, 1)
 POSTS = [(1, 0, "I like dogs"), (2, 1, "I like cats"), (3, 9, "birds"), (4, 9, None), (5, None, "")]
@@ -124,3 +126,40 @@ def test_keyed_json_and_table_changes(spark, tmp_path):
     assert [tuple(r) for r in reset_column(add_column(add_column(df, "n", "int", 3), "n", "int", 9), "split").collect()] == [(1, None, 3), (2, None, 3)]
     write_by_split(df, "split", f"{tmp_path}/s", f"{tmp_path}/all")
     assert spark.read.json(f"{tmp_path}/s").count() == spark.read.json(f"{tmp_path}/all").count() == 2
+
+
+def test_recommenders_by_name(spark):
+    u = users(spark, [(0, "I like cats")])
+    assert lists(recommend_by("profile", u, pool(spark), 1)) == {0: [2]}
+    assert lists(recommend_by("recency", u, pool(spark), 1)) == {0: [2]}
+    with pytest.raises(KeyError):
+        recommend_by("none", u, pool(spark), 1)
+
+
+def test_poll_keeps_the_greatest_key(spark):
+    t = spark.createDataFrame([(3,), (1,), (None,), (7,)], "id long")
+    new, since = poll(t, None, most=2)
+    assert [r.id for r in new.collect()] == [1, 3] and since == 3
+    new, since = poll(t, since)
+    assert [r.id for r in new.collect()] == [7] and since == 7
+    new, since = poll(t, since)
+    assert new.count() == 0 and since == 7
+
+
+def test_coordinated_events_expire_and_merge(spark):
+    e = spark.createDataFrame([("a", 1, 5, 0.2), ("a", 3, 9, 0.1), ("b", 1, 2, 0.9), ("c", 4, 1, 0.2), ("d", 4, 2, 0.5), ("e", 4, 2, 0.1)], "topic string, starts int, lasts int, strength double")
+    assert [tuple(r) for r in active_events(e, 4).collect()] == [("d", 0.5, 6), ("a", 0.2, 12), ("c", 0.2, 5)]
+    assert active_events(e, 99).count() == 0
+
+
+def test_percentiles_are_refreshed_every_so_many_rows(spark):
+    df = spark.range(250).select(F.col("id").alias("at"), (F.col("id") % 10).cast("double").alias("v"))
+    assert [tuple(r) for r in percentiles_every(df, "at", "v").orderBy("upto").collect()] == [(100, 4.5, 9.0), (200, 4.5, 9.0)]
+    assert percentiles_every(df.limit(5), "at", "v").count() == 0
+
+
+def test_pairs_of_data_sets(spark, tmp_path):
+    for n in ("train", "test"):
+        (tmp_path / f"{n}.jsonl").write_text(f'{{"t": "{n}"}}\n')
+    s = {f"x_{n}": Source(f"{tmp_path}/{n}.jsonl", "jsonl", "t") for n in ("train", "test")}
+    assert [df.first().text for df in load_pair(spark, s, "x")] == ["train", "test"]
