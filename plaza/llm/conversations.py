@@ -3,8 +3,8 @@
 Rows arrive as a stream in several micro-batches, in the order of a column
 ``order`` or, where a table keeps no order of arrival, in order of their times.
 The stream is keyed by shard: a hash of the thread, so that one call serves the
-open threads of some SHARD_ROWS rows (a key for each thread costs five times the
-CPU).  A state buffers the rows of its open threads, early or late; when the
+open threads of some SHARD_ROWS rows (a key for each thread takes four times the
+CPU in Python).  A state buffers the rows of its open threads, early or late; when the
 event-time watermark has passed a thread's last row by ``GAP`` the thread is
 closed: the state judges it, emits the ordered messages with their roles, or its
 verdict, and forgets it.  The timer of a state is that of its first thread to
